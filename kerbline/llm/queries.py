@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import exact_dedup, line_dedup, mixing, token_output, url_filter, warc
+from kerbline.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, repeats, simhash, token_output, url_filter, warc
 from kerbline.llm.common import fresh_path
 
 
@@ -32,6 +32,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
@@ -47,6 +52,44 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.document_index(spark, path)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"), keep_text=False)
+    hit = decontaminate.n_hit(F.col("spans"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def held_out(doc_id):
+    """Documents that no model may learn from; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    found = language_id.identify(docs.select("doc_id", "text"), model, keep_text=False)
+    doc_id = F.col("row.doc_id")
+    return found.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "lang_pred", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"), "source", "text")
     kept = F.coalesce(F.col("kept_text"), F.lit(""))
@@ -60,7 +103,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_warc, op2_mix_sources, op4_url_filter, op5_exact_dedup, op6_token_output, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_warc, op2_mix_sources, op3_simhash, op4_url_filter, op5_exact_dedup,
+        op6_token_output, op7_decontaminate, op8_remove_repeats, op9_language_id, op10_line_dedup,
+    )
 }
 
 _SQL_OP5 = """
