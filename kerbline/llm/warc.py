@@ -84,12 +84,14 @@ def write_archive(
         _header("Content-Length", F.when(F.col("revisit"), 0).otherwise(F.col("size")).cast("string")),
     )
     typed.select("rid", F.col("address").alias("payload_address"), headers.alias("headers")).write.parquet(f"{path}/records")
-    wanted = first.select(F.col("address").alias("wanted"), F.col("keep.id").alias("keep_id"))
-    held = source.withColumn("address", F.sha2("payload", 256))
+    held_as = F.concat("address", F.lit(":"), F.coalesce(F.col("id").cast("string"), F.lit("none")))
+    wanted = first.select("address", F.col("keep.id").alias("id")).select(held_as.alias("held_as"))
     (
-        held.join(wanted, (F.col("address") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("keep_id")))
-        .select("address", "id", "payload")
-        .dropDuplicates(["address", "id"])  # dealt as the join's rows already are; each address has one id here
+        source.withColumn("address", F.sha2("payload", 256))
+        .withColumn("held_as", held_as)
+        .join(wanted, "held_as")
+        .select("held_as", "address", "payload")
+        .dropDuplicates(["held_as"])  # dealt as the join's rows already are; each address is held as one
         .select("address", "payload")
         .write.option("compression", "zstd")
         .parquet(f"{path}/payloads")
