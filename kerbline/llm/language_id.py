@@ -143,30 +143,32 @@ def _score(model: LanguageModel, texts: list[str | None], hashes: int) -> tuple[
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True, hashes: int = HASHES) -> DataFrame:
-    """One row per input row: ``row`` (its columns, without the text unless ``keep_text``), lang_pred, score (0 to 1).
+    """One row per input row: ``row`` (its other columns), text if ``keep_text``, lang_pred, score (0 to 1).
 
     ``und`` with score 0 for a null text, one without a letter of any script, and any text if nothing was learned. A text with letters but
     no known n-gram gets the language with most training text and score 0; ties go to the first name. Only the text is looked at.
     """
-    columns = [c for c in docs.columns if keep_text or c != text_col]
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    columns = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns])
     text = F.col(f"`{text_col}`")
+    outputs = ["row", *(["text"] if keep_text else []), "lang_pred", "score"]
+    work = docs.select(row.alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     if not model.languages:
-        return docs.select(row.alias("row"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return work.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).select(*outputs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    work = docs.select(row.alias("row"), F.when(text.rlike(r"\p{L}"), text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array(model.languages, object)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = [t if x else None for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             preds, scores = [], []
             for a, b in slices([len(t or "") for t in texts], BATCH_BYTES):
                 best, share = _score(model, texts[a:b], hashes)
                 preds += [UNKNOWN if t is None else p for t, p in zip(texts[a:b], names[best])]
                 scores += [0.0 if t is None else s for t, s in zip(texts[a:b], share.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+            kept = [batch.column(0), *([batch.column(1)] if keep_text else []), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(kept, outputs)
 
-    schema = work.select("row").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = work.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).select(*outputs).schema
     return work.mapInArrow(run, schema)

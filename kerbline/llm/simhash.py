@@ -287,7 +287,7 @@ def near_duplicates(
     max_bits: int = MAX_BITS,
     keep_text: bool = False,
 ) -> DataFrame:
-    """One row per input row: ``row`` (its columns, without the text unless ``keep_text``), fp, component_id.
+    """One row per input row: ``row`` (its columns, without the text unless ``keep_text``), fp, group, component_id.
 
     component_id is the smallest id that can be reached over links, the row's own included; null ids don't count, and a component of
     null ids alone has null. Fingerprints link at ``max_bits`` (at most 4) or fewer differing bits. A text of fewer words than
@@ -300,4 +300,17 @@ def near_duplicates(
     found = cut(fingerprint_components(prints, max_bits)).select(F.col("fp").alias("of"), F.col("component"))
     labelled = prints.join(found, F.col("fp") == F.col("of"), "left").select("row", "fp", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy(F.col("component").alias("c")).agg(F.min(F.col(f"row.`{id_col}`")).alias("component_id"))
-    return labelled.join(cut(smallest), F.col("component") == F.col("c")).select("row", "fp", "component_id")
+    return labelled.join(cut(smallest), F.col("component") == F.col("c")).select("row", "fp", F.col("component").alias("group"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near duplicates keeps the one with the smallest id (null last)."""
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(every.alias("whole"), F.xxhash64(F.lit(1), every).alias("k1"), F.xxhash64(F.lit(2), every).alias("k2"))
+    narrow = keyed.select(F.col(f"whole.`{id_col}`").alias("id"), F.col(f"whole.`{text_col}`").alias("text"), "k1", "k2")
+    found = near_duplicates(narrow, "id", "text", shingle, max_bits)
+    place = F.struct(F.col("row.id").isNull().alias("last"), "row.id", "row.k1", "row.k2")
+    stay = cut(found.groupBy("group").agg(F.min(place).alias("p")).select(F.col("p.k1").alias("s1"), F.col("p.k2").alias("s2")))
+    # rows that are equal in every column have one key: one of them stays
+    kept = keyed.join(stay, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).dropDuplicates(["k1", "k2"])
+    return kept.select("whole.*")
