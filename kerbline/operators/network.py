@@ -11,3 +11,12 @@ def exploded_parts(segments: DataFrame) -> DataFrame:
     return segments.select("segment_id", F.posexplode("parts").alias("part", "path")).withColumn(
         "edge_id", F.concat_ws(":", "segment_id", "part")
     )
+
+
+def barrier_sets(matches: DataFrame) -> DataFrame:
+    """(restriction_id, segments): each restriction's distinct segment ids, sorted."""
+    return matches.groupBy("restriction_id").agg(F.array_sort(F.collect_set("segment_id")).alias("segments"))
+
+
+def affected_length(matches: DataFrame, segments: DataFrame) -> DataFrame:
+    return matches.join(segments, "segment_id").groupBy("restriction_id").agg(F.sum("length_m").alias("length_m"))

@@ -1,8 +1,8 @@
 """All queries of the engine's own operators."""
 
-from kerbline.queries import fixtures, scalars  # noqa: F401
+from kerbline.queries import fixtures, records, scalars  # noqa: F401
 
-MODULES = [scalars]
+MODULES = [scalars, records]
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:
