@@ -137,13 +137,17 @@ def tile_row(zoom: Column, row: Column) -> Column:
     return (F.pow(F.lit(2), zoom) - 1 - row).cast("long")
 
 
-def _segment_point(px, py, ax, ay, bx, by) -> Column:
-    """Squared distance of a point from a segment."""
+def _along(px, py, ax, ay, bx, by) -> Column:
+    """Where on a segment, from 0 to 1, the point nearest to another lies."""
     dx, dy = bx - ax, by - ay
     length = dx * dx + dy * dy
     t = F.when(length > 0, ((px - ax) * dx + (py - ay) * dy) / length).otherwise(0.0)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    ex, ey = ax + t * dx - px, ay + t * dy - py
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+
+
+def _to_place(px, py, ax, ay, bx, by, t) -> Column:
+    """Squared distance of a point from the place ``t`` of a segment."""
+    ex, ey = ax + t * (bx - ax) - px, ay + t * (by - ay) - py
     return ex * ex + ey * ey
 
 
@@ -155,23 +159,19 @@ def _inside(ax, ay, bx, by, px, py) -> Column:
     return px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
 
 
-def pieces_cross(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
-    """Whether two segments have a point in common, by the sides on which their ends lie."""
-    s1, s2 = _side(ax, ay, bx, by, cx, cy), _side(ax, ay, bx, by, dx, dy)
-    s3, s4 = _side(cx, cy, dx, dy, ax, ay), _side(cx, cy, dx, dy, bx, by)
-    return (
-        ((s1 != s2) & (s3 != s4))
-        | ((s1 == 0) & _inside(ax, ay, bx, by, cx, cy))
-        | ((s2 == 0) & _inside(ax, ay, bx, by, dx, dy))
-        | ((s3 == 0) & _inside(cx, cy, dx, dy, ax, ay))
-        | ((s4 == 0) & _inside(cx, cy, dx, dy, bx, by))
-    )
-
-
-def piece_distance(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
-    """Distance of two segments; zero if they cross."""
-    nearest = F.least(
-        _segment_point(ax, ay, cx, cy, dx, dy), _segment_point(bx, by, cx, cy, dx, dy),
-        _segment_point(cx, cy, ax, ay, bx, by), _segment_point(dx, dy, ax, ay, bx, by),
-    )
-    return F.when(pieces_cross(ax, ay, bx, by, cx, cy, dx, dy), 0.0).otherwise(F.sqrt(nearest))
+def with_piece_distance(rows, *names: str):
+    """Add ``distance`` of two segments whose ends' coordinates are the columns ax, ay, bx, by, cx, cy, dx, dy; zero if they have a point in common.
+
+    Done in steps, each a projection of its own, so that no part of the expression is repeated.
+    """
+    a, b, c, d = (tuple(F.col(n) for n in names[i : i + 2]) for i in range(0, 8, 2))
+    corners = ((a, c, d), (b, c, d), (c, a, b), (d, a, b))
+    ends = ((a, b, c), (a, b, d), (c, d, a), (c, d, b))
+    rows = rows.withColumns({f"_t{i}": _along(*r, *p, *q) for i, (r, p, q) in enumerate(corners)} | {f"_s{i}": _side(*p, *q, *r) for i, (p, q, r) in enumerate(ends)})
+    rows = rows.withColumns({f"_d{i}": _to_place(*r, *p, *q, F.col(f"_t{i}")) for i, (r, p, q) in enumerate(corners)})
+    s = [F.col(f"_s{i}") for i in range(4)]
+    cross = (s[0] != s[1]) & (s[2] != s[3])
+    for i, (p, q, r) in enumerate(ends):
+        cross = cross | ((s[i] == 0) & _inside(*p, *q, *r))
+    near = F.sqrt(F.least(*[F.col(f"_d{i}") for i in range(4)]))
+    return rows.withColumn("distance", F.when(cross, 0.0).otherwise(near)).drop(*[f"_{k}{i}" for k in "tsd" for i in range(4)])
