@@ -10,3 +10,94 @@ def columns_named(df: DataFrame, tokens: list[str]) -> DataFrame:
     """The columns whose name holds one of the tokens, whatever its case."""
     names = [c for c in df.columns if any(t.lower() in c.lower() for t in tokens)]
     return df.sparkSession.createDataFrame([(n,) for n in names], "name string")
+
+
+def _unpivoted(df: DataFrame, fields: list[str]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("value")) for f in fields])
+    return df.select(F.inline(pairs))
+
+
+def _percent(n, total):
+    return F.coalesce(F.round(F.try_divide(n * 100, total), 4), F.lit(0.0))
+
+
+def field_profile(df: DataFrame, fields: list[str], time_fields: tuple[str, ...] = ()) -> DataFrame:
+    """Per text field: observed type (blank, epoch_milliseconds_timestamp, binary_indicator_or_enum, numeric, text), counts and distinct values."""
+    from kerbline.functions.text import finite
+
+    filled = F.col("value") != ""
+    every = lambda cond: F.coalesce(F.bool_and(F.when(filled, cond)), F.lit(False))
+    number = F.coalesce(finite(F.col("value")).isNotNull(), F.lit(False))
+    out = _unpivoted(df, fields).groupBy("field").agg(
+        F.count("*").alias("count"), F.count_if(filled).alias("non_empty"), F.count_if(~filled).alias("blank"), F.count_distinct(F.when(filled, F.col("value"))).alias("distinct"),
+        every(number).alias("_number"), every(F.col("value").isin("0", "1")).alias("_binary"),
+    )
+    is_time = F.col("field").isin(*time_fields) if time_fields else F.lit(False)
+    kind = F.when(F.col("non_empty") == 0, "blank").when(is_time & F.col("_number"), "epoch_milliseconds_timestamp").when(F.col("_binary"), "binary_indicator_or_enum").when(F.col("_number"), "numeric").otherwise("text")
+    return out.select("field", kind.alias("type"), "count", "non_empty", "blank", _percent(F.col("blank"), F.col("count")).alias("blank_percent"), "distinct")
+
+
+def id_uniqueness(df: DataFrame, key: str) -> DataFrame:
+    """One row: rows, filled ids, distinct ids, rows that repeat one, ids that are repeated."""
+    counts = df.groupBy(F.nullif(F.trim(key), F.lit("")).alias("id")).agg(F.count("*").alias("n"))
+    filled = F.col("id").isNotNull()
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0)).alias("filled"), F.count_if(filled).alias("distinct"),
+                      F.coalesce(F.sum(F.when(filled, F.col("n") - 1)), F.lit(0)).alias("extra_rows"), F.count_if(filled & (F.col("n") > 1)).alias("repeated_ids"))
+
+
+def coordinate_quality(df: DataFrame, lon: str, lat: str) -> DataFrame:
+    """One row of counts over text coordinates: parsed, failed, missing, outside the globe, outside the city, and their range."""
+    from kerbline.functions.geo import BOUNDS, within
+    from kerbline.functions.text import finite
+
+    x, y = finite(F.col(lon)), finite(F.col(lat))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    both = x.isNotNull() & y.isNotNull()
+    return df.agg(
+        F.count_if(both).alias("parsed"), F.count_if(x.isNull() & ~blank(lon)).alias("lon_failed"), F.count_if(y.isNull() & ~blank(lat)).alias("lat_failed"), F.count_if(blank(lon) | blank(lat)).alias("missing"),
+        F.count_if(both & ~(x.between(-180, 180) & y.between(-90, 90))).alias("outside_globe"), F.count_if(both & ~within(x, y, BOUNDS)).alias("outside_city"), F.min(x).alias("west"), F.max(y).alias("north"),
+    )
+
+
+def polyline_quality(df: DataFrame, column: str) -> DataFrame:
+    """One row: filled, parsed and malformed polylines, their vertices and those outside the city."""
+    from kerbline.functions.geo import BOUNDS, within
+    from kerbline.functions.text import points
+
+    p = points(F.col(column), finite_only=True)
+    filled = F.coalesce(F.trim(column) != "", F.lit(False))
+    outside = F.size(F.filter(p, lambda v: ~within(v["x"], v["y"], BOUNDS)))
+    return df.agg(F.count_if(filled).alias("filled"), F.count_if(p.isNotNull()).alias("parsed"), F.count_if(filled & p.isNull()).alias("malformed"),
+                  F.coalesce(F.sum(F.when(p.isNotNull(), F.size(p))), F.lit(0)).alias("vertices"), F.coalesce(F.sum(F.when(p.isNotNull(), outside)), F.lit(0)).alias("outside_city"))
+
+
+def temporal_quality(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Per field of epoch milliseconds as text: parsed, failed, blank and its first and last time."""
+    from kerbline.functions.times import from_millis
+
+    t, filled = from_millis(F.col("value")), F.col("value") != ""
+    return _unpivoted(df, fields).groupBy("field").agg(
+        F.count_if(filled & t.isNotNull()).alias("parsed"), F.count_if(filled & t.isNull()).alias("failed"), F.count_if(~filled).alias("blank"),
+        _percent(F.count_if(~filled), F.count("*")).alias("blank_percent"), F.min(t).alias("first"), F.max(t).alias("last"))
+
+
+def exact_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: rows that repeat another in all columns, and how many sets of filled fields occur."""
+    from kerbline.functions.text import record_hash
+
+    rows = df.select(record_hash(*map(F.col, columns)).alias("h"), F.concat_ws(",", *[F.when(F.col(c).isNotNull(), F.lit(c)) for c in columns]).alias("s"))
+    hashes = rows.groupBy("h").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    return hashes.crossJoin(F.broadcast(rows.agg(F.count_distinct("s").alias("field_sets"))))  # one row each
+
+
+def geometry_quality(rows: DataFrame) -> DataFrame:
+    """One row over (geom_type, parts, error, blob): counts by type, null, failed, duplicate blobs and the share that is valid."""
+    of = lambda t: F.count_if(F.col("geom_type") == t)
+    out = rows.agg(F.count("*").alias("n"), of("LineString").alias("lines"), of("MultiLineString").alias("multilines"), F.count_if(F.col("blob").isNull()).alias("null_blobs"),
+                   F.count_if(F.col("error").isNotNull()).alias("failed"), (F.count("blob") - F.count_distinct(F.sha2("blob", 256))).alias("duplicates"))
+    return out.withColumn("valid_percent", _percent(F.col("lines") + F.col("multilines"), F.col("n")))
+
+
+def identifier_fields(profile: DataFrame, total_field: str = "count") -> DataFrame:
+    """Fields of a profile whose values are all there and all different."""
+    return profile.where((F.col("non_empty") == F.col(total_field)) & (F.col("distinct") == F.col(total_field)) & (F.col(total_field) > 0)).select("field")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, into the shared folder; its files go when nothing refers to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once, into a table in the shared folder, and read it back: its lineage is cut and its generated ids hold.
+
+    A table and not ``checkpoint()``: that keeps the constraints and statistics of the plan behind it, which grow with every round of a loop.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

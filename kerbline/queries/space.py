@@ -249,17 +249,12 @@ def i6(spark, d):
     return paths.shortest_paths(_edges(spark, d), _queries(spark, d)).select("q", "src", "dst", F.round("dist", 6).alias("dist"))
 
 
-@reg.add("i7_path_edges")
-def i7(spark, d):
-    found = paths.shortest_paths(_edges(spark, d), _queries(spark, d), with_path=True)
-    return found.select("q", F.posexplode("path").alias("pos", "edge_id"))
-
-
-@reg.add("i8_path_geometry")
+@reg.add("i7_i8_path_geometry")
 def i8(spark, d):
     e = view(spark, d, "fx_edges").select(c("seg").alias("edge_id"), "u", "v", F.array(_pt("x1", "y1"), _pt("x2", "y2")).alias("coords"))
     found = paths.shortest_paths(_edges(spark, d), _queries(spark, d), with_path=True)
-    return paths.path_geometry(found.where("reached").select("q", "src", "path"), e)
+    found = cut(found.where("reached").select("q", "src", "path"))
+    return paths.path_geometry(found, e).join(found.select("q", F.size("path").alias("edges")), "q")
 
 
 _OWN = _search("sp.q <> b.seg").replace("v + 2 as dst", "v as dst").replace(" and exists (select 1 from fx_nodes where k = v + 2)", "")
@@ -272,7 +267,7 @@ def i12(spark, d):
     return r.select("edge_id", "path_exists", F.round("replacement_m", 6).alias("replacement_m"), F.round("added_m", 6).alias("added_m"), F.round("ratio", 6).alias("ratio"), "lost")
 
 
-@reg.add("i10_experiments", _OWN + ", base as (select seg, len_m from fx_edges) select q.q as query, round(e.len_m, 6) as baseline_m, round(sp.dist, 6) as hard_m, sp.dist is null as hard_lost from q join fx_edges e on e.seg = q.q left join sp on sp.q = q.q and sp.node = q.dst")
+@reg.add("i10_i11_experiments", _OWN + ", base as (select seg, len_m from fx_edges) select q.q as query, round(e.len_m, 6) as baseline_m, round(sp.dist, 6) as hard_m, sp.dist is null as hard_lost from q join fx_edges e on e.seg = q.q left join sp on sp.q = q.q and sp.node = q.dst")
 def i10(spark, d):
     e = _edges(spark, d)
     q = e.where("u % 97 = 0").select(c("edge_id").alias("q"), c("u").alias("src"), c("v").alias("dst"))
@@ -280,13 +275,6 @@ def i10(spark, d):
     return x.select("query", F.round("baseline_m", 6).alias("baseline_m"), F.round("hard_m", 6).alias("hard_m"), "hard_lost")
 
 
-@reg.add("i11_segment_experiment")
-def i11(spark, d):
-    e = _edges(spark, d)
-    q = e.where("u % 211 = 0").select(c("edge_id").alias("q"), c("u").alias("src"), c("v").alias("dst"))
-    return paths.experiments(e, q, q.select("q", c("q").alias("edge_id")))
-
-
 _SETS = "sets as (select (u // 200)::bigint as s, seg from fx_edges where u % 200 = 3)"
 
 
@@ -318,11 +306,6 @@ def _routes(spark, d):
     return paths.routes(e, q, bars, cut(paths.node_components(e, _nodes(spark, d))))
 
 
-@reg.add("i9_route_comparison")
-def i9b(spark, d):
-    return _routes(spark, d)
-
-
 @reg.add("i14_cohort_run")
 def i14(spark, d):
     from kerbline.plans.replacement_run import cohort_run
