@@ -1,8 +1,8 @@
 """All queries of the engine's own operators."""
 
-from kerbline.queries import fixtures, judged, records, scalars, space  # noqa: F401
+from kerbline.queries import fixtures, files, judged, records, scalars, space, streams  # noqa: F401
 
-MODULES = [scalars, records, space, judged]
+MODULES = [scalars, records, space, judged, streams, files]
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:

@@ -81,7 +81,7 @@ def decoded(rows: DataFrame) -> DataFrame:
                 [*batch.columns, pa.array(kinds, pa.string()), pa.array(parts, part), pa.array(errors, pa.string())], [*batch.schema.names, "geom_type", "parts", "error"]
             )
 
-    schema = rows.withColumns({"geom_type": F.lit("").cast("string"), "parts": F.lit(None).cast(PARTS), "error": F.lit("").cast("string")}).schema
+    schema = rows.withColumns({"geom_type": F.lit(None).cast("string"), "parts": F.lit(None).cast(PARTS), "error": F.lit(None).cast("string")}).schema
     return rows.mapInArrow(run, schema)
 
 
