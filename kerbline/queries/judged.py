@@ -239,6 +239,13 @@ def k5(spark, d):
     return summaries.classification_report(scored.select(c("target").alias("truth"), c("prediction").alias("predicted")))
 
 
+@reg.add("k8_logistic_baseline")
+def k8b(spark, d):
+    train, test = model.temporal_split(model.features(view(spark, d, "fx_restrictions")), 1999)
+    scored = model.predict(model.train(train, logistic=True), test)
+    return summaries.classification_report(scored.select(c("target").alias("truth"), c("prediction").alias("predicted")))
+
+
 @reg.add("k10_importance")
 def k10(spark, d):
     return model.importances(model.train(model.features(view(spark, d, "fx_restrictions")), trees=10, depth=4))

@@ -6,7 +6,7 @@ Each job reads a stream DataFrame and ends by itself with the ``availableNow`` t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from kerbline.plans.checkpoint import shared_dir
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def read_stream(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``path`` as a stream of its files."""
@@ -27,13 +25,10 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", state: bool = False, **trigger) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", **trigger) -> DataFrame:
     """Run the stream into a Parquet table in the shared folder and return the table."""
     spark = stream.sparkSession
     out, checkpoint = _place(spark, name), _place(spark, f"{name}-checkpoint")
-    spark.range(0).limit(0)
-    if state:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
