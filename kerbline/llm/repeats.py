@@ -145,7 +145,8 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 kind = np.where(n[back] > 1, _SETTLED, _OPEN)
                 base = starts[of]
                 columns = [kind, key, span, k1[lo:hi][of], k2[lo:hi][of], x - base, y - base, q - base]
-                columns[1] = np.where(kind == _SETTLED, both, key)  # settled rows are only passed on: dealt evenly
+                # settled rows are only passed on: dealt by their own place, as many copies share an anchor
+                columns[1] = np.where(kind == _SETTLED, _mix(k1[lo:hi][of].view(np.uint64) ^ (base + x).astype(np.uint64) * _A), key)
                 yield _batch(columns)
                 again = at[n > 1]
                 if len(again):
