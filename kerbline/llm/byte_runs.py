@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 #: Lower-cases A-Z and leaves all other bytes.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -22,6 +23,15 @@ def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return LOWER[np.frombuffer(b"\0".join([*raw, b""]), np.uint8)], starts
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column where Arrow holds them, and where each text begins (with one more end); null is empty."""
+    column = column.fill_null("") if column.null_count else column
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    starts = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), starts
+
+
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.diff(inside.view(np.int8), prepend=0, append=0)

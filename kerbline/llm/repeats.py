@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.byte_runs import runs, slices
+from kerbline.llm.byte_runs import runs, slices, text_bytes
 from kerbline.llm.common import cut, shuffle_partitions
 
 LENGTH = 400
 GRAM = 8
 SIDE = 200
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Bytes of spans with one key that a task compares at once; windows of larger sets are grouped by Spark, one row each.
 SET_BYTES = 32_000_000
 
@@ -109,22 +109,15 @@ def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def _bytes_of(texts) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    raw = [b"" if t is None else t.encode() for t in texts]
-    starts = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum([len(x) for x in raw], out=starts[1:])
-    return np.frombuffer(b"".join(raw), np.uint8), starts, raw
-
-
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     """Rows of _ROW for docs (k1, k2, text); of equal rows in a batch all are settled at once and one goes on as a witness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
-            texts = batch.column(2).to_pylist()
-            for lo, hi in slices([len(t or "") for t in texts], BATCH_BYTES):
-                data, starts, _ = _bytes_of(texts[lo:hi])
+            every, offsets = text_bytes(batch.column(2))
+            for lo, hi in slices(np.diff(offsets).tolist(), BATCH_BYTES):
+                data, starts = every[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 of, a, b, p = anchors(data, starts, length)
                 if not len(of):
                     continue
