@@ -121,8 +121,8 @@ def _merged(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
-def _score(model: LanguageModel, texts: list[str | None], hashes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the language, share) of each text."""
+def _score(model: LanguageModel, texts: list[str | None], hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the language, share, n-grams, share of these that the language knows) of each text."""
     grams, of = _grams(texts)
     n = np.bincount(of, minlength=len(texts)).astype(np.float64)
     places = [(grams * np.uint32(f)) >> np.uint32(model.shift) for f in _FACTORS[:hashes]]
@@ -139,11 +139,13 @@ def _score(model: LanguageModel, texts: list[str | None], hashes: int) -> tuple[
     total = real.sum(axis=1)
     best = np.where(total > 0, real.argmax(axis=1), model.common)
     share = np.where(total > 0, real.max(axis=1, initial=0.0) / np.maximum(total, 1e-9), 0.0)
-    return best, np.clip(share, 0.0, 1.0)
+    known = real.max(axis=1, initial=0.0) / np.maximum(n, 1.0)
+    return best, np.clip(share, 0.0, 1.0), n.astype(np.int64), np.clip(known, 0.0, 1.0)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True, hashes: int = HASHES) -> DataFrame:
-    """One row per input row: ``row`` (its other columns), text if ``keep_text``, lang_pred, score (0 to 1).
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True, hashes: int = HASHES, with_known: bool = False) -> DataFrame:
+    """One row per input row: ``row`` (its other columns), text if ``keep_text``, lang_pred, score (0 to 1); and n_grams and
+    known, the share of these that the language knows, if ``with_known``.
 
     ``und`` with score 0 for a null text, one without a letter of any script, and any text if nothing was learned. A text with letters but
     no known n-gram gets the language with most training text and score 0; ties go to the first name. Only the text is looked at.
@@ -151,10 +153,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     columns = [c for c in docs.columns if c != text_col]
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns])
     text = F.col(f"`{text_col}`")
-    outputs = ["row", *(["text"] if keep_text else []), "lang_pred", "score"]
+    outputs = ["row", *(["text"] if keep_text else []), "lang_pred", "score", *(["n_grams", "known"] if with_known else [])]
     work = docs.select(row.alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     if not model.languages:
-        return work.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).select(*outputs)
+        return work.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "n_grams": F.lit(0).cast("long"), "known": F.lit(0.0)}).select(*outputs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +164,17 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
         names = np.array(model.languages, object)
         for batch in batches:
             texts = [t if x else None for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            preds, scores = [], []
+            preds, scores, sizes, known = [], [], [], []
             for a, b in slices([len(t or "") for t in texts], BATCH_BYTES):
-                best, share = _score(model, texts[a:b], hashes)
+                best, share, n, part = _score(model, texts[a:b], hashes)
                 preds += [UNKNOWN if t is None else p for t, p in zip(texts[a:b], names[best])]
                 scores += [0.0 if t is None else s for t, s in zip(texts[a:b], share.tolist())]
+                sizes += n.tolist()
+                known += part.tolist()
             kept = [batch.column(0), *([batch.column(1)] if keep_text else []), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
+            if with_known:
+                kept += [pa.array(sizes, pa.int64()), pa.array(known, pa.float64())]
             yield pa.RecordBatch.from_arrays(kept, outputs)
 
-    schema = work.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).select(*outputs).schema
+    schema = work.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "n_grams": F.lit(0).cast("long"), "known": F.lit(0.0)}).select(*outputs).schema
     return work.mapInArrow(run, schema)
