@@ -1,9 +1,9 @@
 """URL filtering by rules and by a path-template tree that is learned from labelled pages.
 
-Per host, the tree is built from the root, one path segment at a time. Under a node, segments with digits, and all children
-of a node with more than ``max_children`` different ones, become a wildcard. A child whose share of bad labels
-can't be told from its siblings' merges with the wildcard too, so what stays named differs in size and in kind. A template
-is rejected if its smoothed share of bad labels reaches ``threshold``.
+Per host, the tree is built from the root, one path segment at a time, to the last segment of the longest path. Under a node,
+segments with digits become a wildcard. A child whose share of bad labels can't be told from its siblings' merges with the wildcard
+too, however many or few they are, so what stays named differs in size and in kind. A template is rejected if its smoothed share of
+bad labels reaches ``threshold``.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.common import ascii_lower, cut
 
+# Bounds of the SQL alone, which the given tables do not reach; the tree has neither.
 DEPTH = 4
 MAX_CHILDREN = 20
 MIN_Z = 2.0
@@ -52,10 +53,10 @@ def _share(bad: Column, labelled: Column, prior_share: Column) -> Column:
     return (bad + F.lit(PRIOR) * prior_share) / (labelled + F.lit(PRIOR))
 
 
-def template_tree(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, min_z: float = MIN_Z) -> DataFrame:
+def template_tree(urls: DataFrame, min_z: float = MIN_Z) -> DataFrame:
     """(host, path, template) for each distinct (host, path) of ``urls`` (host, path, labelled, bad).
 
-    Segments beyond ``depth`` are one last wildcard. The table is reduced to distinct paths first, with counts.
+    The table is reduced to distinct paths first, with counts. Each round takes the paths that have a further segment.
     """
     seg = F.filter(F.split("path", "/"), lambda s: s != "")
     paths = cut(
@@ -64,15 +65,16 @@ def template_tree(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_C
         .withColumn("segments", seg)
         .withColumn("template", F.lit(""))
     )
-    for d in range(1, depth + 1):
+    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
+    whole = paths.where(F.size("segments") == 0)
+    for d in range(1, deepest + 1):
         here = F.get(F.col("segments"), F.lit(d - 1))
-        rows = paths.withColumn("seg", F.when(here.rlike("[0-9]"), "*").otherwise(here))
-        children = rows.where("seg is not null").groupBy("host", "template", "seg").agg(
+        rows = paths.where(F.size("segments") >= d).withColumn("seg", F.when(here.rlike("[0-9]"), "*").otherwise(here))
+        children = rows.groupBy("host", "template", "seg").agg(
             F.sum("labelled").alias("c_labelled"), F.sum("bad").alias("c_bad")
         )
         # nodes are summed from their children: no task sees more than one row for each of these
         nodes = children.groupBy("host", "template").agg(
-            F.count_if(F.col("seg") != "*").alias("named"),
             F.sum("c_labelled").alias("n_labelled"),
             F.sum("c_bad").alias("n_bad"),
         )
@@ -80,18 +82,17 @@ def template_tree(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_C
         pooled = (F.col("n_bad") + 1) / (F.col("n_labelled") + 2)
         gap = (F.col("c_bad") + 1) / (F.col("c_labelled") + 2) - (rest_bad + 1) / (rest_labelled + 2)
         spread = pooled * (1 - pooled) * (1 / (F.col("c_labelled") + 2) + 1 / (rest_labelled + 2))
-        differs = (gap * gap > F.lit(min_z * min_z) * spread) & (F.col("named") <= max_children)
+        differs = gap * gap > F.lit(min_z * min_z) * spread
         step = children.join(nodes, ["host", "template"]).select(
             "host", "template", "seg", F.when((F.col("seg") != "*") & differs, F.col("seg")).otherwise("*").alias("as")
         )
         paths = cut(
-            rows.join(step, ["host", "template", "seg"], "left").select(
-                "host", "path", "labelled", "bad", "segments",
-                F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "as")).alias("template"),
+            rows.join(step, ["host", "template", "seg"]).select(
+                "host", "path", "labelled", "bad", "segments", F.concat("template", F.lit("/"), "as").alias("template")
             )
         )
-    tail = F.when(F.size("segments") > depth, "/**").otherwise("")
-    return paths.select("host", "path", F.concat("template", tail).alias("template"), "labelled", "bad")
+        whole = whole.unionByName(paths.where(F.size("segments") == d))
+    return whole.select("host", "path", "template", "labelled", "bad")
 
 
 def judge_urls(
