@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kerbline.llm.byte_runs import slices, text_bytes
 from kerbline.llm.common import cut, shuffle_partitions
 
 END_ID = 2
@@ -28,11 +31,15 @@ ORC = {
     "orc.stripe.size": str(16 * 2**20),
     "orc.rows.between.memory.checks": "100",
 }
-#: Distinct pieces whose ids a worker keeps at hand, and bytes of text that it encodes at a time.
-KEPT_PIECES, BATCH_BYTES = 3_000_000, 4_000_000
+#: Bytes of text that a worker encodes at a time; a longer text is cut between pieces.
+BATCH_BYTES = 2_000_000
+#: Pieces that a worker has at hand, in two generations of this many, and the longest of them in bytes.
+KEPT_PIECES, KEPT_BYTES = 250_000, 64
 
 #: White space beyond ASCII's, or that patterns differ on: texts with it are encoded whole.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
+_ODD_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]"
+#: Pieces that the tokenizer's pattern leaves whole, so that its model can have them as they are.
+_WHOLE = re.compile(r" ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 
 # Classes of bytes: white space, the space, letter, digit, other ASCII, other.
 _WS, _SPACE, _LETTER, _DIGIT, _MARK, _HIGH = range(6)
@@ -49,25 +56,23 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_RNG = np.random.default_rng(42)
-_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write bytes that aren't printable in Latin-1 as the characters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [x for x in range(256) if x not in printable]
+    return {x: chr(256 + i) for i, x in enumerate(others)}
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
 
+_BYTE_LETTERS = _byte_letters()
 
-def piece_starts(data: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
-    """Places where the tokenizer's own pre-tokens begin, or some of them, for texts without odd white space.
 
-    A piece is a run of letters, digits or other ASCII with the space before it, or white space. No boundary is set beside
-    a byte that may be a letter or not, or after an apostrophe, so contractions and all else are left to the tokenizer.
+def piece_starts(data: np.ndarray, doc_starts: np.ndarray, odd: np.ndarray | None = None) -> np.ndarray:
+    """Places where the tokenizer's own pre-tokens begin, or some of them; of texts that are ``odd``, the texts' first bytes.
+
+    ``doc_starts`` has one more end. A piece is a run of letters, digits or other ASCII with the space before it, or white space. No
+    boundary is set beside a byte that may be a letter or not, or after an apostrophe, so contractions and all else are left to the tokenizer.
     """
     kind = _CLASS[data]
     latin = np.flatnonzero(data[:-1] == 0xC3)
@@ -83,102 +88,126 @@ def piece_starts(data: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     prev, here = kind[:-1], kind[1:]
     apart = (prev != here) & (prev >= _LETTER) & (prev <= _MARK) & (here >= _LETTER) & (here <= _MARK) & (data[:-1] != 39)
     start[1:] = np.where(blank[1:], ~blank[:-1] | after[1:], (prev == _WS) | apart)
+    if odd is not None:
+        for i in np.flatnonzero(odd).tolist():
+            start[doc_starts[i] : doc_starts[i + 1]] = False
     start[doc_starts[doc_starts < len(kind)]] = True
     return np.flatnonzero(start)
 
 
 class PieceEncoder:
-    """Encodes texts with the tokenizers library, which sees each distinct piece once while the piece is kept."""
+    """Encodes texts with the tokenizers library, which sees a piece once while the piece is kept.
+
+    Pieces are told apart by their bytes. Those of the older generation go when the younger one is full.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.newline = self._ids(["\n"])[0][0]
-        self.clear()
+        from tokenizers import Tokenizer
 
-    def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.slots = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
-        self.sizes = np.zeros(0, np.int64)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokens = self.tokenizer.model.tokenize
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        """hashes: sorted. Pieces without white space inside are encoded as lines of one text, which changes none of them."""
-        line = np.array([not p.isspace() for p in pieces], bool)
-        order = np.concatenate([np.flatnonzero(line), np.flatnonzero(~line)])
-        ids, sizes = [], []
-        if line.any():
-            joined = b"".join(p + b"\n" for p, x in zip(pieces, line) if x).decode()
-            found = np.array(self._ids([joined])[0], np.int32)
-            ends = np.flatnonzero(found == self.newline)
-            ids.append(found[found != self.newline])
-            sizes.append(np.diff(ends, prepend=-1) - 1)
-        rest = self._ids([p.decode() for p, x in zip(pieces, line) if not x])
-        ids.append(np.array([i for x in rest for i in x], np.int32))
-        sizes.append(np.array([len(x) for x in rest], np.int64))
-        slot = np.empty(len(pieces), np.int64)
-        slot[order] = len(self.sizes) + np.arange(len(pieces))
-        at = np.searchsorted(self.known, hashes)
-        self.known, self.slots = np.insert(self.known, at, hashes), np.insert(self.slots, at, slot)
-        self.flat, self.sizes = np.concatenate([self.flat, *ids]), np.concatenate([self.sizes, *sizes])
-        self.starts = np.cumsum(self.sizes) - self.sizes
+    def _encoded(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if not _WHOLE.fullmatch(text):
+            ids = self._ids([text])[0]
+        elif text.isascii():
+            ids = [x.id for x in self.tokens(_BYTE_LETTERS[32] + text[1:] if text[0] == " " else text)]
+        else:
+            ids = [x.id for x in self.tokens(piece.decode("latin-1").translate(_BYTE_LETTERS))]
+        return array("i", ids).tobytes()
+
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as bytes of int32."""
+        out = [*map(self.young.get, pieces)]
+        for i, x in enumerate(out):
+            if x is None:
+                p = pieces[i]
+                x = out[i] = self.old.get(p) or self._encoded(p)
+                if len(p) <= KEPT_BYTES:
+                    if len(self.young) >= KEPT_PIECES:
+                        self.old, self.young = self.young, {}
+                    self.young[p] = x
+        return out
+
+    def _part(self, data: np.ndarray, starts: np.ndarray, odd: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        begin = piece_starts(data, starts, odd)
+        offsets = np.append(begin, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        raw = self._known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        known, at = np.frombuffer(b"".join(raw), np.int32), np.cumsum(sizes) - sizes
+        of = pieces.indices.to_numpy()
+        n = sizes[of]
+        ends = np.cumsum(n)
+        flat = known[np.repeat(at[of] - (ends - n), n) + np.arange(int(ends[-1]))]
+        return flat, np.diff(np.concatenate([[0], ends])[np.searchsorted(begin, starts)])
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEPT_PIECES:
-            self.clear()
-        odd = {i: np.array(self._ids([t])[0], np.int32) for i, t in enumerate(texts) if _ODD_SPACE.search(t)}
-        raw = [b"" if i in odd else t.encode() for i, t in enumerate(texts)]
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        doc_ends = np.cumsum([len(x) for x in raw])
+    def encode(self, data: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has; ``starts``: where each text begins in ``data``, with one more end.
+
+        A single text over BATCH_BYTES is cut after bytes that aren't white space, where a piece begins.
+        """
         if not len(data):
-            return [odd.get(i, np.zeros(0, np.int32)) for i in range(len(texts))]
-        begin = piece_starts(data, np.concatenate([[0], doc_ends[:-1]]))
-        length = np.diff(begin, append=len(data))
-        offset = np.arange(len(data)) - np.repeat(begin, length)
-        if int(length.max()) > len(_POWERS):
-            offset %= len(_POWERS)
-        mixed = np.add.reduceat(_VALUE[data] * _POWERS[offset], begin) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        unique, first, back = np.unique(mixed, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, unique)
-        new = np.ones(len(unique), bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != unique[inside]
-        if new.any():
-            where = first[new]
-            self._learn(unique[new], [data[a : a + n].tobytes() for a, n in zip(begin[where].tolist(), length[where].tolist())])
-            at = np.searchsorted(self.known, unique)
-        slot = self.slots[at][back]
-        n = self.sizes[slot]
-        ends = np.cumsum(n)
-        flat = self.flat[np.repeat(self.starts[slot] - (ends - n), n) + np.arange(int(ends[-1]))]
-        upto = np.concatenate([[0], ends])[np.searchsorted(begin, doc_ends)]
-        return [odd[i] if i in odd else x for i, x in enumerate(np.split(flat, upto[:-1]))]
+            return np.zeros(0, np.int32), np.zeros(len(starts) - 1, np.int64)
+        if len(starts) > 2 or len(data) <= BATCH_BYTES or odd[0]:
+            return self._part(data, starts, odd)
+        found, at, width = [], 0, BATCH_BYTES
+        while at < len(data):
+            end = min(at + width, len(data))
+            if end < len(data):
+                begin = piece_starts(data[at:end], np.array([0, end - at]))
+                begin = begin[(begin > 0) & (begin < end - at - 1)]
+                begin = begin[_CLASS[data[at + begin - 1]] > _SPACE]
+                if not len(begin):
+                    width *= 2
+                    continue
+                end = at + int(begin[-1])
+            found.append(self._part(data[at:end], np.array([0, end - at]), None)[0])
+            at, width = end, BATCH_BYTES
+        flat = np.concatenate(found)
+        return flat, np.array([len(flat)])
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        column = pa.array(texts, pa.string())
+        data, starts = text_bytes(column)
+        flat, n = self.encode(data[: starts[-1]], starts, odd_spaces(column))
+        return np.split(flat, np.cumsum(n)[:-1])
+
+
+def odd_spaces(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, _ODD_SPACE), False).to_numpy(zero_copy_only=False)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> PieceEncoder:
+    """One for each worker process, which keeps its pieces from task to task."""
+    return PieceEncoder(path)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids) of (doc_id, text): whole texts, ``end_id`` after each; keeps partitions and order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(ids):
-                # a few texts at a time, or one long one, so that a batch's ids stay small
-                size, to = 0, at
-                while to < len(ids) and (to == at or size < BATCH_BYTES):
-                    size += len(texts[to].as_py() or "")
-                    to += 1
-                found = encoder.encode_many([t or "" for t in texts[at:to].to_pylist()])
-                ends = np.cumsum([len(x) + 1 for x in found])
-                flat = np.full(int(ends[-1]), end_id, np.int32)
-                for x, end in zip(found, ends):
-                    flat[end - 1 - len(x) : end - 1] = x
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([ids[at:to], lists], ["doc_id", "ids"])
-                at = to
+            every, offsets = text_bytes(texts)
+            odd = odd_spaces(texts)
+            # a few texts at a time, or one long one, so that a batch's ids stay small
+            for lo, hi in slices(np.diff(offsets).tolist(), BATCH_BYTES):
+                flat, n = encoder.encode(every[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], odd[lo:hi])
+                ends = np.cumsum(n + 1)
+                out = np.full(int(ends[-1]), end_id, np.int32)
+                out[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out))
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists], ["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids array<int>")
 

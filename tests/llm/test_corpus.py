@@ -97,6 +97,21 @@ def test_token_pieces():
     assert [x.tolist() for x in e.encode_many(texts)] == e._ids(texts)
 
 
+def test_token_pieces_are_told_apart_by_their_bytes(monkeypatch):
+    e = token_output.PieceEncoder(queries.tokenizer_path())
+    blocks = ["ab" * 2048, "cd" * 2048]
+    texts = ["".join(blocks), "".join(blocks[::-1]), "x" * 9000, "".join(blocks), ""]
+    assert [x.tolist() for x in e.encode_many(texts)] == e._ids(texts)
+    # a text that is cut, and pieces that are forgotten
+    monkeypatch.setattr(token_output, "BATCH_BYTES", 300)
+    monkeypatch.setattr(token_output, "KEPT_PIECES", 50)
+    r = random.Random(6)
+    alphabet = list(" \n\t''.,!-abzAZ019éß×÷—½漢\rst<|>") + ["'s", "'ll", " the", "\n\n", "  ", "<|endoftext|>"]
+    for _ in range(40):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(200, 4000)))
+        assert [x.tolist() for x in e.encode_many([text])] == e._ids([text])
+
+
 def test_token_rows_can_be_found(spark, docs):
     path = fresh_path(spark, "tokens")
     token_output.write_tokens(docs, path, queries.tokenizer_path())
