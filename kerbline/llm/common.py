@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_keys(columns: list[str]) -> tuple[Column, Column]:
+    """Two 64-bit hashes of the whole row; a null counts by its place, as a hash alone passes over it."""
+    every = [F.col(f"`{c}`") for c in columns]
+    nulls = F.concat(F.lit(""), *[F.when(c.isNull(), "1").otherwise("0") for c in every])
+    return F.xxhash64(F.lit(1), nulls, *every), F.xxhash64(F.lit(2), nulls, *every)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.byte_runs import runs, slices, text_bytes
-from kerbline.llm.common import cut, shuffle_partitions
+from kerbline.llm.common import cut, row_keys, shuffle_partitions
 
 LENGTH = 400
 GRAM = 8
@@ -348,8 +348,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     columns = [c for c in docs.columns if keep_text or c != text_col]
     text = F.col(f"`{text_col}`")
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    work = docs.select(F.xxhash64(F.lit(1), every).alias("k1"), F.xxhash64(F.lit(2), every).alias("k2"), text.alias("text"), row.alias("row"))
+    k1, k2 = row_keys(docs.columns)
+    work = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text"), row.alias("row"))
     found = repeated_windows(work.select("k1", "k2", "text"), length, set_bytes)
     gathered = found.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(
         F.collect_list(F.struct("first", "last")).alias("runs")  # of one text

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import cut, shuffle_partitions
+from kerbline.llm.common import cut, row_keys, shuffle_partitions
 from kerbline.operators.components import components
 
 SHINGLE = 5
@@ -306,7 +306,8 @@ def near_duplicates(
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay when each group of near duplicates keeps the one with the smallest id (null last)."""
     every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(every.alias("whole"), F.xxhash64(F.lit(1), every).alias("k1"), F.xxhash64(F.lit(2), every).alias("k2"))
+    k1, k2 = row_keys(docs.columns)
+    keyed = docs.select(every.alias("whole"), k1.alias("k1"), k2.alias("k2"))
     narrow = keyed.select(F.col(f"whole.`{id_col}`").alias("id"), F.col(f"whole.`{text_col}`").alias("text"), "k1", "k2")
     found = near_duplicates(narrow, "id", "text", shingle, max_bits)
     place = F.struct(F.col("row.id").isNull().alias("last"), "row.id", "row.k1", "row.k2")

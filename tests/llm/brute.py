@@ -1,6 +1,7 @@
 """Plain versions of the contracts, for tests."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -95,3 +96,99 @@ def tokens(docs, path, end=2):
         out.append((d, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+def one_of_each_group(rows, k=5, similarity=0.8):
+    """The ids that stay of (id, text) without null ids."""
+    sets = {}
+    for d, t in rows:
+        words = lower(t).split()
+        sets[d] = {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return [d for d in ids if root(d) == d]
+
+
+def mix(docs, labels, weights=(5, 2, 1), epochs=3):
+    """(id, source, size, copies) of docs (id, text, source), in the order of their exponential keys within a source.
+
+    The key is -ln(u) / weight, u from Spark's XXH64 of the seed and the id: its first 53 bits and a half.
+    """
+    quality = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            quality[d] = max(q, quality.get(d, q))
+
+    def key(d):
+        seed = xxhash.xxh64_intdigest((17).to_bytes(4, "little"), 42)
+        h = seed if d is None else xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), seed)
+        weight = {None: 0.5, 1: 1.0, 0: 0.25}[quality.get(d)]
+        return -math.log(((h >> 11) + 0.5) / 2.0**53) / weight
+
+    rows = [(d, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t, s in docs]
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, x, n in rows if x == s) for s in sources}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    total, capped = sum(size.values()), set()
+    while len(capped) < len(sources):
+        level = (total - sum(epochs * size[s] for s in capped)) / sum(weight[s] for s in sources if s not in capped)
+        more = {s for s in sources if s not in capped and weight[s] * level > epochs * size[s]}
+        if not more:
+            break
+        capped |= more
+    out = []
+    for s in sources:
+        target = epochs * size[s] if s in capped else weight[s] * level
+        whole = min(epochs, int(target // size[s])) if size[s] else 0
+        rest, before = target - whole * size[s], 0
+        for d, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: (key(r[0]), r[0] is not None, r[0] or 0, r[2])):
+            out.append((d, s, n, 0 if n == 0 else whole + (whole < epochs and before + n / 2 <= rest)))
+            before += n
+    return out
+
+
+def language(train, docs, places=1 << 21, min_rate=2e-6, min_share=0.5):
+    """(language, score) of each text of ``docs``, learned from (text, language); the filter is two tables of sets."""
+    factors, shift = (0x2545F491, 0x1B873593), 32 - (places.bit_length() - 1)
+
+    def grams(text):
+        data = b"".join(bytes([x]) if 97 <= x <= 122 or x >= 128 or x == 0 else b" " for x in lower(text))
+        data = re.sub(rb" +", b" ", data)
+        return [int.from_bytes(data[i : i + 4], "little") for i in range(len(data) - 3) if 0 not in data[i : i + 4]]
+
+    counts = defaultdict(Counter)
+    for text, lang in train:
+        if text is not None and lang is not None:
+            counts[lang].update(grams(text))
+    names = sorted(counts)
+    totals = {x: sum(c.values()) for x, c in counts.items()}
+    best = Counter()
+    for x, c in counts.items():
+        for g, n in c.items():
+            best[g] = max(best[g], n / totals[x])
+    held = {x: {g for g, n in c.items() if n / totals[x] >= min_rate and n / totals[x] >= min_share * best[g]} for x, c in counts.items()}
+    place = lambda g: [(g * f & 0xFFFFFFFF) >> shift for f in factors]
+    filled = {x: {p for g in held[x] for p in place(g)} for x in names}
+    false = {x: (len(filled[x]) / places) ** 2 for x in names}
+    common = max(names, key=lambda x: totals[x], default=None)
+    out = []
+    for text in docs:
+        if text is None or not any(c.isalpha() for c in text) or not names:
+            out.append(("und", 0.0))
+            continue
+        gs = grams(text)
+        real = [max(0.0, (sum(all(p in filled[x] for p in place(g)) for g in gs) - len(gs) * false[x]) / (1 - false[x])) for x in names]
+        total = sum(real)
+        out.append((names[real.index(max(real))], max(real) / total) if total > 0 else (common, 0.0))
+    return out

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import zlib
 
 import brute
 import pytest
@@ -176,6 +177,41 @@ def test_mix_meets_its_targets(spark, sf):
     assert got(queries.op2_mix_sources(spark, sf)) == got(queries.op2_mix_sources(spark, sf))
 
 
+def test_mix_equals_the_plain_version(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()]
+    have = got(queries.op2_mix_sources(spark, sf).select("doc_id", "source", "size", "copies"))
+    assert have == sorted(brute.mix(docs, labels), key=repr)
+
+
+def test_mix_takes_what_the_plan_takes(spark):
+    rows = [(None, "w " * 290, "s"), (None, "v " * 300, "t"), (7, "a b c", "t"), (7, "d e f g", "s"), (1, "p q", "s"), (1, "p q", "s"), (1, "p q", "s"), (2, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mix(docs).collect()
+    for source in "st":
+        want = sum(r["taken"] for r in plan if r["source"] == source)
+        assert sum(len(r["text"].split()) for r in mixing.mix(docs).where(F.col("source") == source).collect()) == want
+    # equal rows of which the plan takes some once more
+    docs = spark.createDataFrame([(1, "p q", "s")] * 25 + [(2, "x " * 11, "t")], "doc_id long, text string, source string")
+    copies = {s: sum(r["copies"] for r in mixing.plan_mix(docs).collect() if r["source"] == s) for s in "st"}
+    assert {s: mixing.mix(docs).where(F.col("source") == s).count() for s in "st"} == copies and copies["s"] not in (25, 50, 75)
+
+
+def test_rows_with_nulls_in_other_places_differ(spark):
+    rows = [(1, "a b c d e f", None), (1, None, "a b c d e f"), (2, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert len(got(simhash.one_of_each_group(docs))) == 3
+
+
+def test_languages_equal_the_plain_version(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    held = {d for d, _, _ in docs if zlib.crc32(str(d).encode()) % 4 == 2}
+    want = dict(zip([d for d, _, _ in docs], brute.language([(t, x) for d, t, x in docs if d not in held], [t for _, t, _ in docs])))
+    for r in queries.op9_language_id(spark, sf).collect():
+        assert r["lang_pred"] == want[r["doc_id"]][0] and math.isclose(r["score"], want[r["doc_id"]][1], abs_tol=1e-9)
+        assert r["held_out"] == (r["doc_id"] in held)
+
+
 def test_languages_on_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
