@@ -21,9 +21,10 @@ from kerbline.llm.common import ascii_lower, cut
 
 WINDOW = 10
 SHINGLE = 5
-#: Windows that are sent to the tasks at once; a larger benchmark is split into parts of that size, and each text meets them in turn.
-BROADCAST_WINDOWS = 200_000
-BATCH_BYTES = 4_000_000
+#: Windows, and their bytes with the item ids, that are sent to the tasks at once; a larger benchmark is split into such parts, and each
+#: text meets them in turn. A window of many items is several of ITEMS ids or so each.
+BROADCAST_WINDOWS, BROADCAST_BYTES, ITEMS = 200_000, 64_000_000, 1000
+BATCH_BYTES = 1_000_000
 # Fixed value: what a word is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -36,7 +37,7 @@ Window = tuple[tuple[bytes, ...], list[str]]
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(words, items): the distinct windows, with the ids (as text) of the items they are from."""
+    """(words, items): the distinct windows, with the ids (as text) of the items they are from, in lists of about ITEMS ids."""
     words = F.regexp_extract_all(ascii_lower(F.col(f"`{text_col}`")), F.lit(WORD), 0)
     items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), words.alias("words")).where(
         "item is not null and size(words) > 0"
@@ -44,7 +45,9 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     cuts = F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - window + 1)), lambda i: F.slice("words", i, window)
     )
-    return items.select("item", F.explode(cuts).alias("words")).groupBy("words").agg(F.collect_set("item").alias("items"))
+    lists = -(-items.count() // ITEMS) or 1
+    rows = items.select("item", F.explode(cuts).alias("words"), F.pmod(F.xxhash64("item"), F.lit(lists)).alias("list"))
+    return rows.groupBy("words", "list").agg(F.collect_set("item").alias("items")).drop("list")
 
 
 class _Words:
@@ -203,7 +206,7 @@ def contamination(
     An empty benchmark finds nothing. Repeated rows are judged each.
     """
     windows = cut(benchmark_windows(benchmark, item_id_col, item_text_col, window))
-    n = windows.count()
+    n, size = windows.agg(F.count("*"), F.sum(F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", ",")))).first()
     columns = [c for c in docs.columns if keep_text or c != text_col]
     work = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
@@ -212,9 +215,9 @@ def contamination(
         F.lit(None).cast("array<struct<first: bigint, end: bigint>>").alias("spans"),
         F.lit(None).cast("array<string>").alias("items"),
     )
-    parts = max(1, -(-n // broadcast_windows))
+    parts = max(1, -(-n // broadcast_windows), -(-(size or 0) // BROADCAST_BYTES))
     for part in range(parts):
-        chosen = windows.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == part).collect()
+        chosen = windows.where(F.pmod(F.xxhash64("words", "items"), F.lit(parts)) == part).collect()
         work = _with_finds(work, [(tuple(w.encode() for w in r["words"]), sorted(r["items"])) for r in chosen], shingle)
     return work
 
