@@ -19,6 +19,11 @@ from kerbline.llm.common import cut
 BLOCK_BYTES = 2048
 
 
+def wide_hash(block: Column) -> Column:
+    """128 bits, so that unequal blocks hardly ever meet, however many there are."""
+    return F.struct(F.xxhash64(block).alias("a"), F.xxhash64(F.lit(1), block).alias("b"))
+
+
 def _blocks(data: Column, block_bytes: int) -> Column:
     last = F.greatest(F.lit(0), F.ceil(F.octet_length(data) / F.lit(block_bytes)).cast("int") - 1)
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
@@ -34,7 +39,7 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
-    route: Callable[[Column], Column] = F.xxhash64,
+    route: Callable[[Column], Column] = wide_hash,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 

@@ -91,11 +91,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"), "source", "text")
+    pages = _table(spark, sf_dir, "pages").select("page_id", url_filter.host_of(F.col("url")).alias("host"), line_dedup.html_text(F.col("html")).alias("text"))
     kept = F.coalesce(F.col("kept_text"), F.lit(""))
-    return cleaned.select(
-        F.col("row.doc_id").alias("doc_id"),
-        F.col("row.source").alias("source"),
+    return line_dedup.drop_boilerplate(pages).select(
+        F.col("row.page_id").alias("page_id"),
+        F.col("row.host").alias("host"),
         "n_lines",
         "n_dropped",
         F.sha2(kept, 256).alias("kept_sha256"),
@@ -118,25 +118,26 @@ select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
 from documents
 """
 
-_SQL_OP10 = f"""
-with lines as (
-  select doc_id, source, pos, line
-  from (select doc_id, source, string_split(text, chr(10)) as ls, unnest(range(len(string_split(text, chr(10))))) as pos,
-               unnest(string_split(text, chr(10))) as line from documents)),
-totals as (select source, count(*) as total from documents group by source),
+_SQL_OP10 = rf"""
+with texts as (
+  select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         string_split(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(10), 'g'), chr(10)) as ls
+  from pages),
+lines as (select page_id, host, unnest(range(len(ls))) as pos, unnest(ls) as line from texts),
+totals as (select host, count(*) as total from texts group by host),
 boiler as (
-  select l.source, l.line from lines l join totals t on l.source is not distinct from t.source
-  where trim(l.line) <> '' group by l.source, l.line, t.total
-  having count(distinct doc_id) >= {line_dedup.MIN_PAGES} and count(distinct doc_id) > {line_dedup.RATIO}::double * t.total),
+  select l.host, l.line from lines l join totals t using (host)
+  where trim(l.line) <> '' group by l.host, l.line, t.total
+  having count(distinct page_id) >= {line_dedup.MIN_PAGES} and count(distinct page_id) > {line_dedup.RATIO}::double * t.total),
 marked as (
-  select l.*, b.line is not null as gone from lines l left join boiler b on l.source is not distinct from b.source and l.line = b.line),
+  select l.*, b.line is not null as gone from lines l left join boiler b on l.host = b.host and l.line = b.line),
 kept as (
-  select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  select page_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
          sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
-  from marked group by doc_id)
-select d.doc_id, d.source, coalesce(k.n_lines, 0)::int as n_lines, coalesce(k.n_dropped, 0)::int as n_dropped,
+  from marked group by page_id)
+select t.page_id, t.host, coalesce(k.n_lines, 0)::int as n_lines, coalesce(k.n_dropped, 0)::int as n_dropped,
        coalesce(k.kept_sha256, sha256('')) as kept_sha256
-from documents d left join kept k on d.doc_id = k.doc_id
+from texts t left join kept k on t.page_id = k.page_id
 """
 
 _B32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(d, {a}, 5))::int >> {s}) & 31), 1)"
@@ -170,16 +171,24 @@ t0 as (
   select host, path, sum(labelled)::double as labelled, sum(bad)::double as bad,
          list_filter(string_split(path, '/'), lambda s: s <> '') as segments, '' as template
   from p0 group by host, path)"""
+    z2 = url_filter.MIN_Z**2
+
+    def apart(b1, n1, b2, n2):
+        return (f"(pow(({b1} + 1) / ({n1} + 2) - ({b2} + 1) / ({n2} + 2), 2) > {z2} * (({b1} + {b2} + 1) / ({n1} + {n2} + 2)"
+                f" * (1 - ({b1} + {b2} + 1) / ({n1} + {n2} + 2)) * (1 / ({n1} + 2) + 1 / ({n2} + 2))))")
+
     for d in range(1, url_filter.DEPTH + 1):
         sql += rf""",
 r{d} as (select *, case when regexp_matches(segments[{d}], '[0-9]') then '*' else segments[{d}] end as seg from t{d - 1}),
 c{d} as (select host, template, seg, sum(labelled) as cl, sum(bad) as cb from r{d} where seg is not null group by all),
-n{d} as (select host, template, count(*) filter (seg <> '*') as named, sum(cl) as nl, sum(cb) as nb from c{d} group by all),
-x{d} as (select host, template, seg, named, (cb + 1) / (cl + 2) - (nb - cb + 1) / (nl - cl + 2) as gap,
-                (nb + 1) / (nl + 2) * (1 - (nb + 1) / (nl + 2)) * (1 / (cl + 2) + 1 / (nl - cl + 2)) as spread
+n{d} as (select host, template, sum(cl) as nl, sum(cb) as nb from c{d} group by all),
+x{d} as (select *, case when seg <> '*' and {apart('cb', 'cl', '(nb - cb)', '(nl - cl)')} then floor((cb + 1) / (cl + 2) * {url_filter.BINS}) end as bin
          from c{d} join n{d} using (host, template)),
-s{d} as (select host, template, seg, case when seg <> '*' and gap * gap > {url_filter.MIN_Z**2} * spread and named <= {url_filter.MAX_CHILDREN}
-                then seg else '*' end as nxt from x{d}),
+g{d} as (select host, template, bin, sum(cl) as n, sum(cb) as b, min(seg) as first, count(*) as children from x{d} where bin is not null group by all),
+h{d} as (select *, case when lag(n) over w is null or {apart('b', 'n', 'lag(b) over w', 'lag(n) over w')} then 1 else 0 end as new from g{d} window w as (partition by host, template order by bin)),
+i{d} as (select *, sum(new) over (partition by host, template order by bin) as branch from h{d}),
+m{d} as (select host, template, bin, min(first) over w || case when sum(children) over w > 1 then '#' else '' end as nxt from i{d} window w as (partition by host, template, branch)),
+s{d} as (select host, template, seg, coalesce(nxt, '*') as nxt from x{d} left join m{d} using (host, template, bin)),
 t{d} as (select r.host, r.path, r.labelled, r.bad, r.segments,
                 case when r.seg is null then r.template else r.template || '/' || s.nxt end as template
          from r{d} r left join s{d} s on r.host = s.host and r.template = s.template and r.seg = s.seg)"""

@@ -3,8 +3,8 @@
 A 64-bit fingerprint is cut into segments of 21, 21 and 22 bits, each padded to a word of the perfect binary Golay code (23, 12, 7).
 A word, and the words one bit away from it, decode to one to six codewords; two words at most two bits apart share one of these.
 If two fingerprints differ in at most four bits, two of their segments differ in at most two bits together: in none and at
-most two, or in one each. So pairs of segments give the keys - the bits of one with a codeword of the other, or the codewords of
-both - and fingerprints that share a key are compared. Copies have one fingerprint and are compared once.
+most two, or in one each, and then in the third in two at most. So the keys are the bits of one segment with a codeword of another, or
+codewords of all three, and fingerprints that share a key are compared. Copies have one fingerprint and are compared once.
 """
 
 from __future__ import annotations
@@ -94,8 +94,18 @@ def _near(segment: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return table[segment].astype(np.int64), row, found[row, column].astype(np.int64)
 
 
+def _times(row: np.ndarray, other: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes that pair each entry of ``row`` with every entry of ``other`` for the same of ``n`` rows; ``other`` is sorted."""
+    count = np.bincount(other, minlength=n)
+    first = np.cumsum(count) - count
+    times = count[row]
+    left = np.repeat(np.arange(len(row)), times)
+    step = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+    return left, first[row[left]] + step
+
+
 def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of each fingerprint's keys."""
+    """(row, key) of each fingerprint's keys, of 33 or 34 bits for two segments, and of 36 for three."""
     value = fp.view(np.uint64)
     parts = [((value >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
     near = [_near(x, width) for x, (_, width) in zip(parts, SEGMENTS)]
@@ -110,12 +120,14 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if p < q:
                 own_p, row_p, code_p = near[p]
                 own_q, row_q, code_q = near[q]
-                tag = (9 + 3 * p + q) << 40
-                left = tag | own_p[row_q] << 12 | code_q
-                right = tag | code_p << 12 | own_q[row_p]
                 extra = code_p != own_p[row_p]  # else it is among the left ones
-                rows += [row_q, row_p[extra]]
-                keys += [left, right[extra]]
+                row = np.concatenate([row_q, row_p[extra]])
+                code = np.concatenate([own_p[row_q] << 12 | code_q, (code_p << 12 | own_q[row_p])[extra]])
+                # the third segment differs in two bits at most
+                _, row_r, code_r = near[3 - p - q]
+                left, right = _times(row, row_r, len(fp))
+                rows.append(row[left])
+                keys.append((9 + 3 * p + q) << 40 | code[left] << 12 | code_r[right])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -264,8 +276,8 @@ def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS, part: in
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy()
-            for at in range(0, len(fp), 20_000):
-                some = fp[at : at + 20_000]
+            for at in range(0, len(fp), 5000):
+                some = fp[at : at + 5000]
                 row, key = fuzzy_keys(some)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[row])], ["key", "fp"])
 

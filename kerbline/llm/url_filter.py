@@ -2,21 +2,22 @@
 
 Per host, the tree is built from the root, one path segment at a time, to the last segment of the longest path. Under a node,
 segments with digits become a wildcard. A child whose share of bad labels can't be told from its siblings' merges with the wildcard
-too, however many or few they are, so what stays named differs in size and in kind. A template is rejected if its smoothed share of
-bad labels reaches ``threshold``.
+too, however many or few they are. The children that can are merged with one another where their shares are alike: those whose
+shares fall into one of BINS bins, and neighbouring bins that can't be told apart. Such a branch is called by its first child's name
+with a ``#`` behind it, which no path has. A template is rejected if its smoothed share of bad labels reaches ``threshold``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import ascii_lower, cut
 
-# Bounds of the SQL alone, which the given tables do not reach; the tree has neither.
+#: Segments that the SQL looks at, which the given tables do not reach; the tree has no such bound.
 DEPTH = 4
-MAX_CHILDREN = 20
 MIN_Z = 2.0
+BINS = 10
 PRIOR = 5.0
 MIN_LABELS = 5
 THRESHOLD = 0.5
@@ -53,6 +54,25 @@ def _share(bad: Column, labelled: Column, prior_share: Column) -> Column:
     return (bad + F.lit(PRIOR) * prior_share) / (labelled + F.lit(PRIOR))
 
 
+def _apart(b1: Column, n1: Column, b2: Column, n2: Column, min_z: float) -> Column:
+    """Whether two shares of bad labels differ by ``min_z`` deviations."""
+    pooled = (b1 + b2 + 1) / (n1 + n2 + 2)
+    gap = (b1 + 1) / (n1 + 2) - (b2 + 1) / (n2 + 2)
+    return gap * gap > F.lit(min_z * min_z) * (pooled * (1 - pooled) * (1 / (n1 + 2) + 1 / (n2 + 2)))
+
+
+def _merged(named: DataFrame, min_z: float) -> DataFrame:
+    """(host, template, bin, as): the names of merged branches of the children (host, template, seg, c_labelled, c_bad, bin) that stand out."""
+    c = F.col
+    bins = named.groupBy("host", "template", "bin").agg(F.sum("c_labelled").alias("n"), F.sum("c_bad").alias("b"), F.min("seg").alias("first"), F.count("*").alias("children"))
+    ordered = Window.partitionBy("host", "template").orderBy("bin")  # BINS rows at most
+    apart = _apart(c("b"), c("n"), F.lag("b").over(ordered), F.lag("n").over(ordered), min_z)
+    bins = bins.withColumn("apart", F.coalesce(apart, F.lit(True))).withColumn("branch", F.sum(c("apart").cast("int")).over(ordered))
+    branch = Window.partitionBy("host", "template", "branch")
+    several = F.sum("children").over(branch) > 1
+    return bins.select("host", "template", "bin", F.concat(F.min("first").over(branch), F.when(several, "#").otherwise("")).alias("as"))
+
+
 def template_tree(urls: DataFrame, min_z: float = MIN_Z) -> DataFrame:
     """(host, path, template) for each distinct (host, path) of ``urls`` (host, path, labelled, bad).
 
@@ -79,12 +99,14 @@ def template_tree(urls: DataFrame, min_z: float = MIN_Z) -> DataFrame:
             F.sum("c_bad").alias("n_bad"),
         )
         rest_labelled, rest_bad = F.col("n_labelled") - F.col("c_labelled"), F.col("n_bad") - F.col("c_bad")
-        pooled = (F.col("n_bad") + 1) / (F.col("n_labelled") + 2)
-        gap = (F.col("c_bad") + 1) / (F.col("c_labelled") + 2) - (rest_bad + 1) / (rest_labelled + 2)
-        spread = pooled * (1 - pooled) * (1 / (F.col("c_labelled") + 2) + 1 / (rest_labelled + 2))
-        differs = gap * gap > F.lit(min_z * min_z) * spread
-        step = children.join(nodes, ["host", "template"]).select(
-            "host", "template", "seg", F.when((F.col("seg") != "*") & differs, F.col("seg")).otherwise("*").alias("as")
+        differs = (F.col("seg") != "*") & _apart(F.col("c_bad"), F.col("c_labelled"), rest_bad, rest_labelled, min_z)
+        share = (F.col("c_bad") + 1) / (F.col("c_labelled") + 2)
+        marked = children.join(nodes, ["host", "template"]).select(
+            "host", "template", "seg", "c_labelled", "c_bad", F.when(differs, F.floor(share * BINS)).otherwise(-1).alias("bin")
+        )
+        marked = cut(marked)
+        step = marked.join(_merged(marked.where("bin >= 0"), min_z), ["host", "template", "bin"], "left").select(
+            "host", "template", "seg", F.coalesce("as", F.lit("*")).alias("as")
         )
         paths = cut(
             rows.join(step, ["host", "template", "seg"]).select(

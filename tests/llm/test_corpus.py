@@ -119,7 +119,7 @@ def test_token_rows_can_be_found(spark, docs):
     assert token_output.read_tokens(spark, path).where("doc_id = 17").count() == 1
 
 
-@pytest.mark.parametrize("route", [F.xxhash64, lambda b: F.octet_length(b) % 3])
+@pytest.mark.parametrize("route", [exact_dedup.wide_hash, F.xxhash64, lambda b: F.octet_length(b) % 3])
 def test_exact_groups(docs, plain, route):
     rows = plain + [(1000, plain[5][1]), (1001, plain[5][1]), (1002, None), (1003, "")]
     df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
@@ -266,10 +266,17 @@ def test_url_templates_learn(spark):
 
 def test_line_dedup_small(spark):
     rows = [(i, "s", f"menu\nonly {i}\n\nmenu") for i in range(4)] + [(9, None, "menu"), (10, "t", "menu\nx")]
-    r = {x["row"]["doc_id"]: x for x in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"), ratio=0.5).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    r = {x["row"]["doc_id"]: x for x in line_dedup.drop_boilerplate(df, ratio=0.5).collect()}
     assert r[0]["kept_text"] == "only 0\n" and r[0]["n_dropped"] == 2 and r[9]["kept_text"] == "menu" and r[10]["kept_text"] == "menu\nx"
-    salted = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"), ratio=0.5, broadcast_lines=0)
-    assert {x["row"]["doc_id"]: x["kept_text"] for x in salted.collect()} == {k: v["kept_text"] for k, v in r.items()}
+    for hot in (0.0, 0.5, 1.0):
+        joined = line_dedup.drop_boilerplate(df, ratio=0.5, broadcast_lines=0, hot=hot)
+        assert {x["row"]["doc_id"]: x["kept_text"] for x in joined.collect()} == {k: v["kept_text"] for k, v in r.items()}
+
+
+def test_lines_of_pages(spark):
+    html = "<p>Menu</p>\nText <b>bold</b><!-- no\nline --><SCRIPT>a<b</SCRIPT><br>end"
+    assert spark.range(1).select(line_dedup.html_text(F.lit(html))).first()[0] == "\nMenu\n\nText \nbold\n\nend"
 
 
 def operators(df, spark):
@@ -281,7 +288,7 @@ def operators(df, spark):
     yield decontaminate.contamination(df, bench)
     yield repeats.remove_repeats(df)
     yield language_id.identify(df, language_id.fit(df))
-    yield line_dedup.drop_boilerplate(df)
+    yield line_dedup.drop_boilerplate(df, "source")
     yield mixing.plan_mix(df, labels)
     yield mixing.mix(df, labels)
     yield url_filter.judge_urls(df.withColumns({"page_id": F.col("doc_id"), "url": F.col("text")}), labels)
