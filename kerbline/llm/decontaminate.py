@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.byte_runs import joined, run_hashes, runs, slices
+from kerbline.llm.byte_runs import joined, released, run_hashes, runs, slices
 from kerbline.llm.common import ascii_lower, cut
 
 WINDOW = 10
@@ -128,7 +128,7 @@ def _shingle_counts(docs: DataFrame, windows: list[Window], shingle: int) -> dic
             )
 
     # as many rows as the windows sent out have shingles, at most
-    rows = docs.mapInArrow(run, "size int, which long, n long").groupBy("size", "which").agg(F.sum("n").alias("n")).collect()
+    rows = docs.mapInArrow(released(run), "size int, which long, n long").groupBy("size", "which").agg(F.sum("n").alias("n")).collect()
     return {(r["size"], int(probe.keys[r["size"]][r["which"]])): r["n"] for r in rows}
 
 
@@ -184,7 +184,7 @@ def _with_finds(docs: DataFrame, windows: list[Window], shingle: int) -> DataFra
                 names=batch.schema.names,
             )
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def contamination(

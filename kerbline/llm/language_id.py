@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.byte_runs import joined, slices
+from kerbline.llm.byte_runs import joined, released, slices
 from kerbline.llm.common import cut
 
 #: Places in the filter (a power of two), and how many of them an n-gram has.
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", places:
     taught = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where(
         "text is not null and lang is not null"
     )
-    counts = cut(taught.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
+    counts = cut(taught.mapInArrow(released(count), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
     languages = sorted(totals)
     shift = 32 - (places.bit_length() - 1)
@@ -177,4 +177,4 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
             yield pa.RecordBatch.from_arrays(kept, outputs)
 
     schema = work.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "n_grams": F.lit(0).cast("long"), "known": F.lit(0.0)}).select(*outputs).schema
-    return work.mapInArrow(run, schema)
+    return work.mapInArrow(released(run), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.byte_runs import runs, slices, text_bytes
+from kerbline.llm.byte_runs import released, runs, slices, text_bytes
 from kerbline.llm.common import cut, row_keys, shuffle_partitions
 
 LENGTH = 400
@@ -146,7 +146,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     columns[0], columns[1] = np.full(len(kind), _WITNESS), key
                     yield _batch([c[again] for c in columns])
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.mapInArrow(released(run), _ROW)
 
 
 def _settled(rows: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def _settled(rows: DataFrame) -> DataFrame:
         if carry is not None:
             yield from finish(carry, before, True)[0]
 
-    return rows.mapInArrow(run, _ROW)
+    return rows.mapInArrow(released(run), _ROW)
 
 
 _FOUND = "g long, k1 long, k2 long, first int, last int, open boolean"
@@ -286,7 +286,7 @@ def _compared(spans: DataFrame, length: int, set_bytes: int) -> DataFrame:
             else:
                 yield from settle(held)
 
-    return spans.mapInArrow(run, _FOUND)
+    return spans.mapInArrow(released(run), _FOUND)
 
 
 def _bytes_of_raw(raw: list[bytes]):
@@ -316,7 +316,7 @@ def _fetched(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             for at in range(0, len(out), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 5000]), schema)], schema=schema)
 
-    return joined.mapInArrow(run, "kind int, key long, k1 long, k2 long, first int, last int, anchor int, bytes binary")
+    return joined.mapInArrow(released(run), "kind int, key long, k1 long, k2 long, first int, last int, anchor int, bytes binary")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, set_bytes: int = SET_BYTES) -> DataFrame:
@@ -393,4 +393,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                 ["row", "n_bytes", "spans", "n_removed", "kept"],
             )
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(released(run), schema)

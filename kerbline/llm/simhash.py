@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.llm.byte_runs import released
 from kerbline.llm.common import cut, row_keys, shuffle_partitions
 from kerbline.operators.components import components
 
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
             found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["row", "fp"])
 
-    return work.mapInArrow(run, work.select("row", F.lit(0).cast("long").alias("fp")).schema)
+    return work.mapInArrow(released(run), work.select("row", F.lit(0).cast("long").alias("fp")).schema)
 
 
 @lru_cache(maxsize=1)
@@ -231,7 +232,7 @@ def _linked(keyed: DataFrame, max_bits: int, part: int) -> DataFrame:
                 for out in _split(key, fp, part, settle, large):
                     yield out
 
-    return keyed.mapInArrow(run, "kind int, key long, part int, u long, v long")
+    return keyed.mapInArrow(released(run), "kind int, key long, part int, u long, v long")
 
 
 def _split(key, fp, part, settle, large):
@@ -281,7 +282,7 @@ def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS, part: in
                 row, key = fuzzy_keys(some)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[row])], ["key", "fp"])
 
-    keyed = distinct.mapInArrow(key_rows, "key long, fp long")
+    keyed = distinct.mapInArrow(released(key_rows), "key long, fp long")
     sorted_ = keyed.repartition(shuffle_partitions(prints.sparkSession), "key").sortWithinPartitions("key")
     found = cut(_linked(sorted_, max_bits, part).distinct())
     links = found.where("kind = 0").select("u", "v")

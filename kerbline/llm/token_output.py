@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.byte_runs import slices, text_bytes
+from kerbline.llm.byte_runs import released, slices, text_bytes
 from kerbline.llm.common import cut, shuffle_partitions
 
 END_ID = 2
@@ -34,7 +34,7 @@ ORC = {
 #: Bytes of text that a worker encodes at a time; a longer text is cut between pieces.
 BATCH_BYTES = 2_000_000
 #: Pieces that a worker has at hand, in two generations of this many, and the longest of them in bytes.
-KEPT_PIECES, KEPT_BYTES = 250_000, 64
+KEPT_PIECES, KEPT_BYTES = 200_000, 64
 
 #: White space beyond ASCII's, or that patterns differ on: texts with it are encoded whole.
 _ODD_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]"
@@ -209,7 +209,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists], ["doc_id", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.mapInArrow(released(run), "doc_id long, ids array<int>")
 
 
 def write_tokens(
@@ -252,7 +252,7 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
                 ["shard", "seq", "doc_id", "n_tokens", "ids_crc32"],
             )
 
-    rows = cut(read_tokens(spark, path).mapInArrow(run, "shard int, seq long, doc_id long, n_tokens long, ids_crc32 long"))
+    rows = cut(read_tokens(spark, path).mapInArrow(released(run), "shard int, seq long, doc_id long, n_tokens long, ids_crc32 long"))
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # as many rows as files were written
     starts = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     within = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
