@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.plans.ranks import numbered
+
 
 def filtered(records: DataFrame, **equal) -> DataFrame:
     """Rows whose columns equal the values that aren't None."""
@@ -39,8 +41,7 @@ def search(records: DataFrame, fields: list[str], query: str = "", sort_key: str
 
 def search_rank(records: DataFrame, fields: list[str], query: str, sort_key: str) -> DataFrame:
     """The search's rows with their place (1 first); ties share the order of the id."""
-    kept = search(records, fields, query, sort_key)
-    return kept.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce(F.col(sort_key), F.lit("")), "restriction_id")))
+    return numbered(search(records, fields, query, sort_key), [F.coalesce(F.col(sort_key), F.lit("")), F.col("restriction_id")])
 
 
 def lookup(records: DataFrame, ids: DataFrame) -> DataFrame:

@@ -17,9 +17,29 @@ METRIC_CRS, SOURCE_CRS = "EPSG:26917", "EPSG:4326"
 THRESHOLDS = (2.0, 5.0, 10.0)
 
 
+# EPSG's codes of projected systems are in these ranges; geographic ones (4001 to 4999, and others) are not.
+PROJECTED = ((2000, 3999), (5041, 5042), (5105, 5130), (6931, 6933), (20000, 32799))
+
+
+def is_projected(crs: str) -> bool:
+    """Whether an ``EPSG:n`` names a projected system."""
+    authority, _, code = crs.upper().partition(":")
+    return authority == "EPSG" and code.isdigit() and any(a <= int(code) <= b for a, b in PROJECTED)
+
+
 def require_metric(crs: str) -> None:
-    if crs == SOURCE_CRS:
-        raise ValueError("distance matching requires a projected CRS, not EPSG:4326")
+    """Refuse a geographic or unknown system, whose distances aren't metres."""
+    if not is_projected(crs):
+        raise ValueError(f"distance matching requires a projected CRS, not {crs}")
+
+
+def refused(rows: DataFrame) -> DataFrame:
+    """(crs, refused): of rows with a ``crs``, how many of each system metric matching refuses."""
+    number = F.when(F.upper("crs").rlike("^EPSG:[0-9]+$"), F.substring_index("crs", ":", -1).cast("int"))
+    projected = F.lit(False)
+    for a, b in PROJECTED:
+        projected = projected | number.between(a, b)
+    return rows.where(~F.coalesce(projected, F.lit(False))).groupBy("crs").agg(F.count("*").alias("refused"))
 
 
 def _pieces(rows: DataFrame, key: str, prefix: str, grow: float, size: float) -> DataFrame:
@@ -143,6 +163,15 @@ def extent_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("inside", side("x").alias("width"), side("y").alias("height"))
 
 
+def cross_report(restrictions: DataFrame, network: DataFrame, network_crs: str = SOURCE_CRS) -> DataFrame:
+    """One row on points (x, y) of both datasets: how many restrictions have a point, how many lie in the network's extent, the extents' common
+    width and height, the network's system, and the one that metric work should take: its own if projected, else ``METRIC_CRS``."""
+    known = restrictions.where("x is not null and y is not null")
+    n = known.agg(F.count("*").alias("valid_points"))
+    advice = network_crs if is_projected(network_crs) else METRIC_CRS
+    return n.crossJoin(F.broadcast(extent_overlap(known, network))).withColumns({"network_crs": F.lit(network_crs), "metric_crs": F.lit(advice)})  # one row each
+
+
 def network_nearby(restrictions: DataFrame, segments: DataFrame, metres: float = 100.0) -> DataFrame:
     """(restriction_id, edges, length_m) of the segments (segment_id, path, len_m) within reach, zero included."""
     pairs = near_pairs(restrictions, segments, "restriction_id", "segment_id", metres).join(segments.select("segment_id", "len_m"), "segment_id")

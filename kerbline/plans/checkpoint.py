@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kerbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not sc.getCheckpointDir():
@@ -20,12 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into a table in the shared folder, and read it back: its lineage is cut and its generated ids hold.
 
     A table and not ``checkpoint()``: that keeps the constraints and statistics of the plan behind it, which grow with every round of a loop.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

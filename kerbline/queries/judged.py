@@ -1,5 +1,7 @@
 """K, L and M: rules, explanations, profiles, and the SQL-checkable side of the model."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from kerbline.operators import profile, rules, summaries
@@ -57,34 +59,90 @@ def m5(spark, d):
 _ABOUT = "case when duration_hours is null then 'unknown duration' when duration_hours >= 24 then 'about ' || round(duration_hours / 24)::bigint || ' days (' || round(duration_hours)::bigint || ' hours)' else 'about ' || round(duration_hours)::bigint || ' hours' end"
 
 
+def _q(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _say(name, **values):
+    """A sentence in SQL, with expressions in its braces."""
+    parts = re.split(r"\{(\w+)\}", explain.SENTENCES[name])
+    return " || ".join(f"({values[p]})::varchar" if i % 2 else _q(p) for i, p in enumerate(parts) if p)
+
+
+def _kept(*parts):
+    return f"list_filter([{', '.join(parts)}], lambda x: x is not null)"
+
+
+_WAYS = _kept(*[f"case when {n} > 0 then {_say(k, n=n)} end" for n, k in (("direct", "direct"), ("near", "proximity"), ("low", "fallback"))])
+_MATCH = f"case when edges = 0 then {_q(explain.SENTENCES['no_match'])} else {_say('match', n='edges', ways='array_to_string(ways, ' + _q(' and ') + ') || case when len(ways) > 0 then ' + _q(' — ') + ' else ' + _q('') + ' end', confidence='evidence_confidence')} end"
+_TIMES = f"coalesce({_say('times', ratio='round(detour_ratio, 1)')}, '')"
+_WAY = f"case when alternative_edges > 0 then {_say('detour', added='coalesce(round(added_distance_m)::bigint::varchar, ' + _q(explain.SENTENCES['unreported']) + ')', times=_TIMES)} else {_q(explain.SENTENCES['no_detour'])} end"
+_LOSS = f"case when loss_count > 0 then {_say('loss', n='loss_count')} else {_q(explain.SENTENCES['no_loss'])} end"
+_IMPACT = f"case when impact_status = 'EVALUATED' then {_WAY} || ' ' || {_LOSS} when impact_status is not null then {_say('not_evaluated', status='impact_status')} else '' end"
+_MEANING = "case impact_severity " + " ".join(f"when {_q(k)} then {_q(v)}" for k, v in explain.INTERPRETATIONS.items()) + " end"
+_TITLE = "case impact_severity when 'NOT_EVALUATED' then 'Not Evaluated' else upper(impact_severity[1]) || lower(impact_severity[2:]) end"
+_BULLETS = _kept(
+    _say("candidates_bullet", n="edges"), _say("confidence_bullet", confidence="evidence_confidence"), _say("severity_bullet", severity="impact_severity"),
+    f"case when impact_status is not null then {_say('detour_bullet', added='round(added_distance_m)::bigint', ratio='coalesce(round(detour_ratio, 1)::varchar, ' + _q('—') + ')')} end",
+    f"case when impact_status is not null then {_say('loss_bullet', lost='case when loss_count > 0 then ' + _q('yes') + ' else ' + _q('no') + ' end')} end", _say("duration_bullet", duration=_ABOUT))
+
+
 @reg.add("m6_restriction_text", f"""
-select restriction_id, case impact_severity when 'NOT_EVALUATED' then 'Not Evaluated' else upper(impact_severity[1]) || lower(impact_severity[2:]) end || ' impact — ' || candidate_edge_count || ' candidate segment(s), ' || evidence_confidence || ' confidence' as headline,
-  case when candidate_edge_count = 0 then 'No candidate pedestrian-network segments were matched for this location, so evidence confidence is INSUFFICIENT.' else
-    'Its location matched ' || candidate_edge_count || ' candidate pedestrian-network segment(s) — ' || array_to_string(list_filter([case when direct_count > 0 then direct_count || ' by direct intersection' end, case when proximity_count > 0 then proximity_count || ' by proximity' end, case when low_count > 0 then low_count || ' by nearest-point fallback' end], lambda x: x is not null), ' and ') || ' — giving an evidence confidence of ' || evidence_confidence || '.' end as match_sentence,
-  'Duration: ' || {_ABOUT} as duration
-from (select * replace (candidate_edge_count::bigint as candidate_edge_count, direct_count::bigint as direct_count, proximity_count::bigint as proximity_count, low_count::bigint as low_count) from fx_records)""")
+with r as (select *, candidate_edge_count::bigint as edges, direct_count::bigint as direct, proximity_count::bigint as near, low_count::bigint as low, case when k % 4 <> 1 then evaluation_status end as impact_status,
+             case when k % 4 = 0 then k % 5 + 1 else 0 end as alternative_edges, case when connectivity_lost then k % 3 + 1 else 0 end as loss_count from fx_records),
+w as (select *, {_WAYS} as ways from r)
+select restriction_id, {_say('restriction_headline', severity=_TITLE, n='edges', confidence='evidence_confidence')} as headline,
+  {_say('restriction', id='restriction_id', status="replace(lower(evaluation_status), '_', ' ')", match=_MATCH, impact=_IMPACT, severity='impact_severity', duration=_ABOUT, meaning=_MEANING)} as narrative,
+  array_to_string({_BULLETS}, '; ') as bullets, restriction_id || ': ' || {_q(', '.join(explain.RESTRICTION_FIELDS))} as cited, case when valid_polyline then 2 else 3 end as n_limitations
+from w""")
 def m6(spark, d):
-    t = explain.restriction_texts(view(spark, d, "fx_records"))
-    return t.select("restriction_id", "headline", "match_sentence", F.element_at("bullets", -1).alias("duration"))
+    r = view(spark, d, "fx_records").withColumns({
+        "impact_status": F.when(c("k") % 4 != 1, c("evaluation_status")), "alternative_edges": F.when(c("replacement_available"), c("k") % 5 + 1).otherwise(0), "loss_count": F.when(c("connectivity_lost"), c("k") % 3 + 1).otherwise(0),
+        "limitations": F.when(~c("valid_polyline"), F.array(F.lit("RESTRICTION_POLYLINE_MALFORMED")))})
+    t = explain.restriction_texts(r)
+    cite = c("citations")[0]
+    return t.select("restriction_id", "headline", "narrative", F.array_join("bullets", "; ").alias("bullets"), F.concat(cite["restriction_id"], F.lit(": "), F.array_join(cite["fields"], ", ")).alias("cited"), F.size("limitations").alias("n_limitations"))
+
+
+_ROUTES = """(select o_orderkey as q, o_orderkey % 7 <> 0 as reachable, case when o_orderkey % 10 = 0 then 'R-' || o_orderkey when o_orderkey % 2 = 0 then 'all' end as avoid, 100 + o_orderkey % 9 as base_m, 4 as base_edges,
+  case when o_orderkey % 3 = 0 then 2 else 0 end as barriers, case when o_orderkey % 2 = 0 and o_orderkey % 11 <> 0 then o_orderkey % 4 end as added_m from orders)"""
+_CASES = [("avoid is not null and added_m > 0", "longer"), ("avoid is not null and added_m is not null", "same"), ("avoid is not null", "no_way"), ("barriers > 0", "crosses"), ("true", "clear")]
 
 
-@reg.add("m7_route_text", "select o_orderkey as q, case when o_orderkey % 7 = 0 then 'No walking route exists between these points' when o_orderkey % 2 = 0 then 'Recommended route avoids 3 barrier segment(s) for +' || round(o_orderkey + 0.2e0)::bigint || ' m' when o_orderkey % 3 = 0 then 'Shortest route crosses 2 barrier segment(s)' else 'Shortest route is clear of represented disruptions' end as headline from orders")
+def _by_case(suffix=""):
+    label = f"case when avoid = 'all' then {_q(explain.SENTENCES['avoid_all'])} else {_say('avoid_one', id='avoid')} end"
+    values = dict(avoided="3", added="added_m", on="barriers", label=label, ratio="1.5")
+    return " ".join(f"when {w} then {_say(n + suffix, **values)}" for w, n in _CASES)
+
+
+@reg.add("m7_route_text", f"""select q, case when not reachable then {_q(explain.SENTENCES['unreachable_headline'])} {_by_case('_headline')} end as headline,
+  case when not reachable then {_q(explain.SENTENCES['unreachable'])} else {_say('route', base='base_m', edges='base_edges', detail='case ' + _by_case() + ' end')} end as narrative,
+  case when not reachable then '' else array_to_string({_kept(_say('baseline_bullet', base='base_m', edges='base_edges'), "case when avoid is not null then " + _say('recommended_bullet', recommended='base_m + added_m', recommended_edges='6') + " end",
+    "case when avoid is not null and added_m is not null then " + _say('avoided_bullet', avoided='3') + " end", "case when avoid is not null then " + _say('cost_bullet', added='added_m') + " end")}, '; ') end as bullets from {_ROUTES}""")
 def m7(spark, d):
     k = c("q")
     o = table(spark, d, "orders").select(c("o_orderkey").alias("q"))
-    r = o.select("q", (k % 7 != 0).alias("reachable"), F.when(k % 2 == 0, "all").alias("avoid"), F.lit(100.0).alias("base_m"), F.lit(4).alias("base_edges"), F.when(k % 3 == 0, 2).otherwise(0).alias("barriers_on_path"),
-                 F.when(k % 2 == 0, 100.2 + k).alias("recommended_m"), F.when(k % 2 == 0, k + 0.2).alias("added_m"), F.when(k % 2 == 0, 3).alias("avoided"))
-    r = r.withColumn("added_m", F.when(k == 0, 0.2).otherwise(c("added_m")))
-    return explain.route_texts(r).select("q", "headline")
+    avoid = F.when(k % 10 == 0, F.concat(F.lit("R-"), k.cast("string"))).when(k % 2 == 0, "all")
+    r = o.withColumns({"reachable": k % 7 != 0, "avoid": avoid, "base_m": 100.0 + k % 9, "base_edges": F.lit(4), "barriers_on_path": F.when(k % 3 == 0, 2).otherwise(0)})
+    way = (k % 2 == 0) & (k % 11 != 0)
+    r = r.withColumns({"added_m": F.when(way, 0.0 + k % 4), "ratio": F.when(way, 1.5), "avoided": F.when(way, 3), "recommended_edges": F.when(way, 6)}).withColumn("recommended_m", c("base_m") + c("added_m"))
+    return explain.route_texts(r).select("q", "headline", "narrative", F.array_join("bullets", "; ").alias("bullets"))
 
 
 def _phrases(f):
     return f"(select string_agg(n || ' ' || v, ', ' order by n desc, v) from (select {f} as v, count(*) as n from fx_records group by 1))"
 
 
-@reg.add("m8_overview_text", f"select count(*) || ' street disruptions represented in current evidence' as headline, count(*) filter (impact_evaluable) || ' evaluated / ' || count(*) filter (not impact_evaluable) || ' not evaluated' as evaluation, {_phrases('impact_severity')} as severity, {_phrases('evidence_confidence')} as confidence from fx_records")
+@reg.add("m8_overview_text", f"""
+with d as (select duration_hours from (select duration_hours from fx_records order by restriction_id limit 100) where duration_hours is not null),
+m as (select count(*) as n, list_sort(list(duration_hours))[count(*) // 2 + 1] as duration_hours from d),
+o as (select count(*) as total, count(*) filter (impact_evaluable) as evaluated, count(*) filter (not impact_evaluable) as rest, {_phrases('impact_severity')} as severity, {_phrases('evidence_confidence')} as confidence,
+        (select {_say('durations', n='n', median=_ABOUT)} from m) as durations from fx_records)
+select {_say('overview_headline', total='total')} as headline, {_say('overview', total='total', evaluated='evaluated', rest='rest', severity='severity', confidence='confidence', durations='durations')} as narrative,
+  {_say('evaluated_bullet', evaluated='evaluated', rest='rest')} || '; ' || {_say('severities_bullet', severity='severity')} || '; ' || {_say('confidences_bullet', confidence='confidence')} as bullets, {_q(', '.join(explain.OVERVIEW_FIELDS))} as cited from o""")
 def m8(spark, d):
-    return explain.overview_text(view(spark, d, "fx_records")).drop("durations")
+    t = explain.overview_text(view(spark, d, "fx_records"))
+    return t.select("headline", "narrative", F.array_join("bullets", "; ").alias("bullets"), F.array_join(c("citations")[0]["fields"], ", ").alias("cited"))
 
 
 _GEOM = "select restriction_id, count(*) as candidates, count(*) filter (pos % 2 = 0) as with_geometry from fx_matches group by 1"
@@ -104,22 +162,19 @@ def e19(spark, d):
     return integrity(view(spark, d, "fx_matches").withColumn("geom", F.when(c("pos") % 2 == 0, "g")))
 
 
-@reg.add("m10_network_impact", "select restriction_id, s.scenario, case when k % 2 = 0 then ['A', 'B'] else [] end as limitations from fx_records, (values ('HIGH_ONLY'), ('HIGH_MEDIUM')) s(scenario) where k % 5 = 0")
+@reg.add("m10_network_impact", "select restriction_id, s.scenario, case when k % 2 = 0 then ['A', 'B'] else [] end as limitations from fx_records, (values ('HIGH_ONLY'), ('HIGH_MEDIUM')) s(scenario)")
 def m10(spark, d):
     from kerbline.plans.artifact import impact_view
 
-    k = view(spark, d, "fx_records").where("k % 5 = 0")
+    k = view(spark, d, "fx_records")
     rows = k.select("restriction_id", F.explode(F.array(F.lit("HIGH_ONLY"), F.lit("HIGH_MEDIUM"))).alias("scenario"), F.when(c("k") % 4 == 0, "A;B").when(c("k") % 2 == 0, '["A","B"]').otherwise("").alias("limitations"))
     return impact_view(rows)
 
 
-@reg.add("m11_report", "select 'base' as run, avg(confidence) as f1, false as best from fx_predictions union all select 'extended', avg(confidence) + 0.1e0, true from fx_predictions")
+@reg.add("m11_report")
 def m11(spark, d):
-    from pyspark.sql import Window
-
-    p = view(spark, d, "fx_predictions").agg(F.avg("confidence").alias("v"))
-    runs = p.select(F.inline(F.array(F.struct(F.lit("base").alias("run"), c("v").alias("f1")), F.struct(F.lit("extended").alias("run"), (c("v") + 0.1).alias("f1")))))
-    return runs.withColumn("best", c("f1") == F.max("f1").over(Window.partitionBy()))  # a row per run
+    train, test = _parts(spark, d)
+    return model.report({"Original (9 features)": (model.train(train), test), "Extended (13 features)": (model.train(train, model.EXTENDED), test)})
 
 
 # ---- profiles ----
@@ -183,11 +238,25 @@ def k1(spark, d):
     return f.select("restriction_id", "target", "duration_days", "year", "weekday", "month", "weekend", F.round("centre_km", 9).alias("centre_km"))
 
 
-@reg.add("k2_feature_sets", "select unnest(['base', 'extended']) as name, unnest([9, 13])::int as n")
+_SET_SQL = {"type": "type", "road_class": "road_class", "directions_affected": "directions_affected", "work_period": "work_period", "district": "district", "lat": "lat", "lon": "lon",
+            "duration_days": "epoch_ms(end_ts) - epoch_ms(start_ts)", "centre_km": "lat + lon", "year": "start_ts", "weekday": "start_ts", "month": "start_ts", "weekend": "start_ts"}
+
+
+def _set_sql(name, n):
+    chosen = [*_SET_SQL.items()][:n]
+    return f"select '{name}' as name, {n}::int as n, count(*) as rows, count(*) filter ({' and '.join(f'({e}) is not null' for _, e in chosen)} and curr_impact is not null) as complete, count(distinct ({', '.join(e for _, e in chosen)})) as combinations from x"
+
+
+@reg.add("k2_feature_sets", f"with x as (select * replace (case when k % 6 <> 0 then district end as district) from fx_restrictions) {_set_sql('base', 9)} union all {_set_sql('extended', 13)}")
 def k2(spark, d):
-    have = set(model.features(view(spark, d, "fx_restrictions")).columns)
-    rows = [(n, len([f for f in fs if f in have])) for n, fs in (("base", model.BASE), ("extended", model.EXTENDED))]
-    return spark.createDataFrame(rows, "name string, n int")
+    rows = model.features(view(spark, d, "fx_restrictions").withColumn("district", F.when(c("k") % 6 != 0, c("district"))))
+    out = None
+    for name, columns in (("base", model.BASE), ("extended", model.EXTENDED)):
+        whole = rows.agg(F.count("*").alias("rows"), F.count_distinct(F.struct(*columns)).alias("combinations"))
+        one = whole.crossJoin(F.broadcast(model.complete(rows, columns).agg(F.count("*").alias("complete"))))  # one row each
+        one = one.select(F.lit(name).alias("name"), F.lit(len(columns)).alias("n"), "rows", "complete", "combinations")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @reg.add("k3_encoding", "select work_period as value, dense_rank() over (order by work_period)::int - 1 as code from (select distinct work_period from fx_restrictions) union all select 'unseen', -1")
@@ -231,32 +300,36 @@ def e23(spark, d):
     return summaries.classification_report(r.select(c("curr_impact").alias("truth"), F.when(c("k") % 4 == 0, "Low").otherwise(c("curr_impact")).alias("predicted")))
 
 
+def _parts(spark, d):
+    """Rows before and after the turn of a year, with every feature and a part of their own each."""
+    return model.temporal_split(model.features(view(spark, d, "fx_restrictions")), 1999)
+
+
 @reg.add("k5_k7_k10_trained_model")
 def k5(spark, d):
-    train, test = model.temporal_split(model.features(view(spark, d, "fx_restrictions")), 1999)
-    fitted = model.train(train, trees=20, depth=4)
-    scored = model.predict(fitted, test)
+    train, test = _parts(spark, d)
+    scored = model.predict(model.train(train), test)
     return summaries.classification_report(scored.select(c("target").alias("truth"), c("prediction").alias("predicted")))
 
 
 @reg.add("k8_logistic_baseline")
 def k8b(spark, d):
-    train, test = model.temporal_split(model.features(view(spark, d, "fx_restrictions")), 1999)
+    train, test = _parts(spark, d)
     scored = model.predict(model.train(train, logistic=True), test)
     return summaries.classification_report(scored.select(c("target").alias("truth"), c("prediction").alias("predicted")))
 
 
 @reg.add("k10_importance")
 def k10(spark, d):
-    return model.importances(model.train(model.features(view(spark, d, "fx_restrictions")), trees=10, depth=4))
+    return model.importances(model.train(model.features(view(spark, d, "fx_restrictions"))))
 
 
 @reg.add("k12_a24_saved_model")
 def k12(spark, d):
-    from kerbline.plans.checkpoint import shared_dir
-    import uuid
+    from kerbline.plans.checkpoint import fresh_path
 
-    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
-    rows = model.features(view(spark, d, "fx_restrictions"))
-    model.save(model.train(rows, trees=5, depth=3), path)
-    return model.predict(model.load(spark, path), rows).select("restriction_id", "prediction", F.round("confidence", 6).alias("confidence"))
+    rows = view(spark, d, "fx_restrictions")
+    info = model.training_job(rows, fresh_path(spark, "model")).first()
+    fitted, metadata = model.load(spark, info["path"])
+    out = model.predict(fitted, model.features(rows))
+    return out.select("restriction_id", "prediction", F.round("confidence", 6).alias("confidence"), F.lit(info["version"]).alias("version"), F.lit(info["n_samples"]).alias("n_samples"), F.lit(len(metadata["feature_cols"])).alias("n_features"))

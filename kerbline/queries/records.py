@@ -32,10 +32,10 @@ def g2(spark, d):
     return listing.search_rank(view(spark, d, REC), FIELDS, "contractor 7", "to_road").select("restriction_id", "place")
 
 
-@reg.add("c3_lookup", "select w.id as restriction_id, r.restriction_id is not null as found, r.impact_severity from (select restriction_id as id from fx_records where k % 100 = 0 union all select 'R-none') w left join fx_records r on r.restriction_id = w.id")
+@reg.add("c3_lookup", "select w.id as restriction_id, r.restriction_id is not null as found, r.impact_severity from (select restriction_id as id from fx_records where k % 20 = 0 union all select 'R-none') w left join fx_records r on r.restriction_id = w.id")
 def c3(spark, d):
     r = view(spark, d, REC)
-    ids = r.where("k % 100 = 0").select("restriction_id").union(spark.sql("select 'R-none' as restriction_id"))
+    ids = r.where("k % 20 = 0").select("restriction_id").union(spark.sql("select 'R-none' as restriction_id"))
     return listing.lookup(r, ids).select("restriction_id", "found", "impact_severity")
 
 
@@ -87,12 +87,12 @@ def c11(spark, d):
     return list_items(view(spark, d, REC)).select("restriction_id", "state", c("candidates").cast("int").alias("candidates"), "replacement")
 
 
-@reg.add("c12_map_features", "select restriction_id, 'point' as role, lon as x, lat as y from fx_records where k % 5 <> 0 union all select restriction_id, 'segment' as role, lon as x, lat as y from fx_matches join fx_restrictions using (restriction_id, k) where k % 10 = 0")
+@reg.add("c12_map_features", "select restriction_id, 'point' as role, lon as x, lat as y from fx_records where k % 5 <> 0 union all select restriction_id, 'segment' as role, lon as x, lat as y from fx_matches join fx_restrictions using (restriction_id, k)")
 def c12(spark, d):
     from kerbline.plans.shapes import map_features
 
     points = view(spark, d, REC).where("k % 5 <> 0").select("restriction_id", c("lon").alias("x"), c("lat").alias("y"))
-    seg = view(spark, d, "fx_matches").where("k % 10 = 0").join(view(spark, d, "fx_restrictions").select("restriction_id", c("lon").alias("x"), c("lat").alias("y")), "restriction_id")
+    seg = view(spark, d, "fx_matches").join(view(spark, d, "fx_restrictions").select("restriction_id", c("lon").alias("x"), c("lat").alias("y")), "restriction_id")
     return map_features(points, seg)
 
 
@@ -161,19 +161,19 @@ def c18(spark, d):
     return view(spark, d, REC).join(m, "restriction_id", "left").select("restriction_id", "evaluation_status", c("candidate_edge_count").cast("int").alias("n"), "duration_hours", "match_type")
 
 
-@reg.add("c19_spatial_lookup", "select w.id as restriction_id, r.restriction_id is not null as known, m.n from (select restriction_id as id from fx_records where k % 50 = 0 union all select 'R-none') w left join fx_records r on r.restriction_id = w.id left join (select restriction_id, count(*) as n from fx_matches group by 1) m on m.restriction_id = w.id")
+@reg.add("c19_spatial_lookup", "select w.id as restriction_id, r.restriction_id is not null as known, m.n from (select restriction_id as id from fx_records where k % 20 = 0 union all select 'R-none') w left join fx_records r on r.restriction_id = w.id left join (select restriction_id, count(*) as n from fx_matches group by 1) m on m.restriction_id = w.id")
 def c19(spark, d):
     r = view(spark, d, REC)
-    ids = r.where("k % 50 = 0").select("restriction_id").union(spark.sql("select 'R-none' as restriction_id"))
+    ids = r.where("k % 20 = 0").select("restriction_id").union(spark.sql("select 'R-none' as restriction_id"))
     m = view(spark, d, "fx_matches").groupBy("restriction_id").agg(F.count("*").alias("n"))
     return listing.lookup(r.select("restriction_id"), ids).withColumnRenamed("found", "known").join(m, "restriction_id", "left")
 
 
-@reg.add("c20_catalogue", "select p_partkey, p_name as resource_name, upper(p_type) as format, p_brand as title from part where p_partkey % 3 = 0")
+@reg.add("c20_catalogue", "select p_partkey, p_name as resource_name, upper(p_type) as format, p_brand as title from part")
 def c20(spark, d):
     from kerbline.plans.shapes import catalogue_metadata
 
-    rows = table(spark, d, "part").where("p_partkey % 3 = 0").select("p_partkey", c("p_brand").alias("title"), c("p_name").alias("name"), c("p_type").alias("format"))
+    rows = table(spark, d, "part").select("p_partkey", c("p_brand").alias("title"), c("p_name").alias("name"), c("p_type").alias("format"))
     return catalogue_metadata(rows).select("p_partkey", c("resource.name").alias("resource_name"), c("resource.format").alias("format"), c("dataset.title").alias("title"))
 
 
@@ -304,11 +304,11 @@ def e6(spark, d):
     return summaries.impact_aggregate(e, ["k"])
 
 
-@reg.add("e7_affected_length", "select m.k, sum(p.p_size)::bigint as length_m from fx_matches m join part p on m.segment_id like 'S-' || p.p_partkey || '-%' where m.k % 100 = 0 group by m.k")
+@reg.add("e7_affected_length", "select m.k, sum(p.p_size)::bigint as length_m from fx_matches m join part p on split_part(m.segment_id, '-', 2)::bigint = p.p_partkey group by m.k")
 def e7(spark, d):
     from kerbline.operators.network import affected_length
 
-    m = view(spark, d, "fx_matches").where("k % 100 = 0").withColumn("part", F.split("segment_id", "-")[1].cast("long"))
+    m = view(spark, d, "fx_matches").withColumn("part", F.split("segment_id", "-")[1].cast("long"))
     return affected_length(m.select(c("k").alias("restriction_id"), c("part").alias("segment_id")), table(spark, d, "part").select(c("p_partkey").alias("segment_id"), c("p_size").alias("length_m"))).select(c("restriction_id").alias("k"), "length_m")
 
 

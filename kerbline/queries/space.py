@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kerbline.operators import network, paths, spatial
 from kerbline.plans.checkpoint import cut
+from kerbline.plans.ranks import numbered
 from kerbline.queries.registry import VIEWS, Registry, view
 
 reg = Registry()
@@ -99,9 +100,9 @@ def d7(spark, d):
     return network.last_part_edges(parts)
 
 
-@reg.add("d8_geometry_join", "select m.restriction_id, m.segment_id, e.x1 from (select restriction_id, 'S-' || k || '-0' as segment_id from fx_matches where k < 2000) m left join fx_edges e on e.seg = m.segment_id")
+@reg.add("d8_geometry_join", "select m.restriction_id, m.segment_id, e.x1 from (select restriction_id, 'S-' || k || '-0' as segment_id from fx_matches) m left join fx_edges e on e.seg = m.segment_id")
 def d8(spark, d):
-    m = view(spark, d, "fx_matches").where("k < 2000").select("restriction_id", F.concat(F.lit("S-"), c("k").cast("string"), F.lit("-0")).alias("segment_id"))
+    m = view(spark, d, "fx_matches").select("restriction_id", F.concat(F.lit("S-"), c("k").cast("string"), F.lit("-0")).alias("segment_id"))
     return m.join(view(spark, d, "fx_edges").select(c("seg").alias("segment_id"), "x1"), "segment_id", "left").select("restriction_id", "segment_id", "x1")
 
 
@@ -142,6 +143,26 @@ def d16(spark, d):
     return spatial.extent_overlap(xy("fx_restrictions"), xy("fx_pois")).select("inside", F.round("width", 9).alias("width"), F.round("height", 9).alias("height"))
 
 
+@reg.add("l10_cross_report", """
+with r as (select case when k % 9 <> 0 then lon end as lon, lat from fx_restrictions), b as (select min(lon) as w, max(lon) as e, min(lat) as s, max(lat) as n from fx_pois), v as (select * from r where lon is not null)
+select count(*) as valid_points, count(*) filter (lon between w and e and lat between s and n) as inside, round(greatest(0, least(max(lon), max(e)) - greatest(min(lon), min(w))), 9) as width, round(greatest(0, least(max(lat), max(n)) - greatest(min(lat), min(s))), 9) as height,
+  'EPSG:4326' as network_crs, 'EPSG:26917' as metric_crs from v, b""")
+def l10(spark, d):
+    r = view(spark, d, "fx_restrictions").select(F.when(c("k") % 9 != 0, c("lon")).alias("x"), c("lat").alias("y"))
+    n = view(spark, d, "fx_pois").select(c("lon").alias("x"), c("lat").alias("y"))
+    return spatial.cross_report(r, n).withColumns({"width": F.round("width", 9), "height": F.round("height", 9)})
+
+
+@reg.add("d5_metric_guard", "select kind as crs, count(*) as refused from (select case o_orderkey % 4 when 0 then 'EPSG:4326' when 1 then 'EPSG:4269' when 2 then 'EPSG:26917' else 'EPSG:4617' end as kind from orders) where kind <> 'EPSG:26917' group by 1")
+def d5(spark, d):
+    """How many sites of each system the metric match refuses."""
+    from kerbline.queries.registry import table
+
+    k = c("o_orderkey") % 4
+    rows = table(spark, d, "orders").select(F.when(k == 0, "EPSG:4326").when(k == 1, "EPSG:4269").when(k == 2, "EPSG:26917").otherwise("EPSG:4617").alias("crs"))
+    return spatial.refused(rows)
+
+
 @reg.add("d18_forbidden", "select q, seg from (values ('a'), ('b')) t(q), fx_edges where not ((q = 'a' and u % 2 = 0) or (q = 'b' and u % 3 = 0))")
 def d18(spark, d):
     e = view(spark, d, "fx_edges")
@@ -178,9 +199,7 @@ def i1t(spark, d):
 
 
 def _built(spark, d, tol=0.0):
-    from pyspark.sql import Window
-
-    e = view(spark, d, "fx_edges").withColumn("pos", F.row_number().over(Window.orderBy("u", "seg")) - 1)
+    e = numbered(view(spark, d, "fx_edges"), [c("u"), c("seg")], "pos", 0)
     return network.build_graph(e.select(c("seg").alias("segment_id"), F.lit(0).alias("part"), "pos", F.array(_pt("x1", "y1"), _pt("x2", "y2")).alias("path")), tol)
 
 
@@ -228,13 +247,15 @@ def e22(spark, d):
     return ends.groupBy("node").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("n"))
 
 
-_Q = "q as (select seg as q, u as src, v + 2 as dst from fx_edges where u % 97 = 0 and exists (select 1 from fx_nodes where k = v + 2))"
+# searches: from every node whose number is divisible by 20 to one that is some twelve steps off, if there is one
+_Q = "q as (select k as q, k as src, k + 6 * w + 6 as dst from fx_nodes where k % 20 = 0 and k + 6 * w + 6 in (select k from fx_nodes))"
+_OWN_Q = "q as (select seg as q, u as src, v as dst from fx_edges where u % 20 = 0)"
 
 
 def _queries(spark, d):
-    e = view(spark, d, "fx_edges").where("u % 97 = 0")
-    n = view(spark, d, "fx_nodes").select(c("k").alias("dst"))
-    return e.select(c("seg").alias("q"), c("u").alias("src"), (c("v") + 2).alias("dst")).join(n, "dst").select("q", "src", "dst")
+    n = view(spark, d, "fx_nodes")
+    q = n.where("k % 20 = 0").select(c("k").alias("q"), c("k").alias("src"), (c("k") + 6 * c("w") + 6).alias("dst"))
+    return q.join(n.select(c("k").alias("dst")), "dst").select("q", "src", "dst")
 
 
 def _search(block: str) -> str:
@@ -257,20 +278,20 @@ def i8(spark, d):
     return paths.path_geometry(found, e).join(found.select("q", F.size("path").alias("edges")), "q")
 
 
-_OWN = _search("sp.q <> b.seg").replace("v + 2 as dst", "v as dst").replace(" and exists (select 1 from fx_nodes where k = v + 2)", "")
+_OWN = _search("sp.q <> b.seg").replace(_Q, _OWN_Q)
 
 
 @reg.add("i12_replacements", _OWN + " select q.q as edge_id, sp.dist is not null as path_exists, round(sp.dist, 6) as replacement_m, round(sp.dist - e.len_m, 6) as added_m, round(sp.dist / e.len_m, 6) as ratio, sp.dist is null as lost from q join fx_edges e on e.seg = q.q left join sp on sp.q = q.q and sp.node = q.dst")
 def i12(spark, d):
     e = _edges(spark, d)
-    r = paths.replacements(e, e.where("u % 97 = 0").select("edge_id"))
+    r = paths.replacements(e, e.where("u % 20 = 0").select("edge_id"))
     return r.select("edge_id", "path_exists", F.round("replacement_m", 6).alias("replacement_m"), F.round("added_m", 6).alias("added_m"), F.round("ratio", 6).alias("ratio"), "lost")
 
 
 @reg.add("i10_i11_experiments", _OWN + ", base as (select seg, len_m from fx_edges) select q.q as query, round(e.len_m, 6) as baseline_m, round(sp.dist, 6) as hard_m, sp.dist is null as hard_lost from q join fx_edges e on e.seg = q.q left join sp on sp.q = q.q and sp.node = q.dst")
 def i10(spark, d):
     e = _edges(spark, d)
-    q = e.where("u % 97 = 0").select(c("edge_id").alias("q"), c("u").alias("src"), c("v").alias("dst"))
+    q = e.where("u % 20 = 0").select(c("edge_id").alias("q"), c("u").alias("src"), c("v").alias("dst"))
     x = paths.experiments(e, q, q.select("q", c("q").alias("edge_id")))
     return x.select("query", F.round("baseline_m", 6).alias("baseline_m"), F.round("hard_m", 6).alias("hard_m"), "hard_lost")
 
@@ -293,15 +314,22 @@ def i13(spark, d):
     return paths.edge_set_removal(e, sets, cut(paths.node_components(e, _nodes(spark, d))))
 
 
-@reg.add("i9_routes", _search("true") + f""", {_CC.strip()}
-select q.q, q.src, q.dst, a.lbl = b.lbl as reachable, round(sp.dist, 1) as base_m from q join cc a on a.node = q.src join cc b on b.node = q.dst left join sp on sp.q = q.q and sp.node = q.dst""")
+@reg.add("i9_routes", _search("true") + f""", {_CC.strip()},
+bars as (select 'R-' || (u % 3) as r, seg from fx_edges where u % 11 = 0), qa as (select q, case when src % 40 = 0 then 'all' when src % 100 = 20 then 'R-1' end as avoid from q),
+forbidden as (select distinct q, seg from qa join bars on avoid = 'all' or avoid = r),
+av(q, node, dist) using key (q, node) as (select q.q, q.src, 0e0 from q join qa using (q) where avoid is not null union
+  select av.q, b.v, min(av.dist + b.len_m) from av join b on b.u = av.node left join recurring.av r on r.q = av.q and r.node = b.v left join forbidden f on f.q = av.q and f.seg = b.seg
+  where f.q is null and (r.dist is null or av.dist + b.len_m < r.dist) group by av.q, b.v)
+select q.q, q.src, q.dst, qa.avoid, a.lbl = b.lbl as reachable, round(sp.dist, 1) as base_m, round(av.dist, 1) as recommended_m,
+  case when av.dist is not null then round(round(av.dist, 1) - round(sp.dist, 1), 1) end as added_m, case when av.dist is not null then round(round(av.dist, 1) / round(sp.dist, 1), 3) end as ratio
+from q join qa using (q) join cc a on a.node = q.src join cc b on b.node = q.dst left join sp on sp.q = q.q and sp.node = q.dst left join av on av.q = q.q and av.node = q.dst""")
 def i9(spark, d):
-    return _routes(spark, d).select("q", "src", "dst", "reachable", "base_m")
+    return _routes(spark, d).select("q", "src", "dst", "avoid", "reachable", "base_m", "recommended_m", "added_m", "ratio")
 
 
 def _routes(spark, d):
     e = cut(_edges(spark, d))
-    q = _queries(spark, d).withColumn("avoid", F.when(c("src") % 2 == 0, "all").when(c("src") % 5 == 0, "R-1"))
+    q = _queries(spark, d).withColumn("avoid", F.when(c("src") % 40 == 0, "all").when(c("src") % 100 == 20, "R-1"))
     bars = e.where("u % 11 = 0").select(F.concat(F.lit("R-"), (c("u") % 3).cast("string")).alias("restriction_id"), "edge_id")
     return paths.routes(e, q, bars, cut(paths.node_components(e, _nodes(spark, d))))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kerbline.operators.summaries import BASELINE
-from kerbline.queries.registry import Registry, table, view
+from kerbline.queries.registry import Registry, table
 from kerbline.streaming import feeds
 
 reg = Registry()
@@ -65,8 +65,14 @@ def j6(spark, d):
     return feeds.burst_flags(table(spark, d, "events"), "user_id", "ts", limit=3, window_s=86400.0)
 
 
+@reg.add("j6_burst_stream")
+def j6s(spark, d):
+    s = feeds.burst_stream(feeds.read_stream(spark, d, "events"), "user_id", "ts", limit=3, window_s=86400.0)
+    return feeds.run_to_table(s, "bursts").drop("_batch")
+
+
 @reg.add("j7_prediction_feed", "with n as (select * from fx_predictions order by ts desc, event_id desc limit 20) select event_id, prediction, n_name as name from n left join nation on n_nationkey = user_id % 25")
 def j7(spark, d):
-    log = view(spark, d, "fx_predictions").withColumn("district", (c("user_id") % 25).cast("int"))
-    places = table(spark, d, "nation").select(c("n_nationkey").alias("district"), c("n_name").alias("name"))
+    log = _predictions(spark, d).withColumn("district", (c("user_id") % 25).cast("int"))
+    places = table(spark, d, "nation").select(c("n_nationkey").cast("int").alias("district"), c("n_name").alias("name"))
     return feeds.prediction_feed(log, places).select("event_id", "prediction", "name")

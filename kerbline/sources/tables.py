@@ -66,9 +66,9 @@ def location_sidecar(closures: DataFrame) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of every file below ``path``."""
+    """(path, name, bytes, sha256) of every file below ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def checked_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,14 +5,16 @@ Each job reads a stream DataFrame and ends by itself with the ``availableNow`` t
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbline.plans.checkpoint import shared_dir
+from kerbline.plans.checkpoint import cut, fresh_path
 
 
 def read_stream(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -21,35 +23,48 @@ def read_stream(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{path}/{name}*")
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _folders(spark: SparkSession, name: str, place: str | None) -> tuple[str, str]:
+    """Where a job has its table and its checkpoint: below ``place``, where a restarted job goes on, or else below a new path."""
+    place = place or fresh_path(spark, name)
+    return f"{place}/table", f"{place}/checkpoint"
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", **trigger) -> DataFrame:
-    """Run the stream into a Parquet table in the shared folder and return the table."""
-    spark = stream.sparkSession
-    out, checkpoint = _place(spark, name), _place(spark, f"{name}-checkpoint")
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
-
+def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", **trigger) -> None:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
+
+
+def _start(spark: SparkSession, schema, out: str) -> None:
+    """The table of batches, with an empty batch -1 so that it can always be read."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/_batch=-1")
+
+
+def _keep(batch: DataFrame, out: str, number: int) -> None:
+    """A batch has a folder of its own, so that one that runs again after a failure replaces what it had written."""
+    batch.write.mode("overwrite").parquet(f"{out}/_batch={number}")
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", place: str | None = None, **trigger) -> DataFrame:
+    """Run the stream into a Parquet table in the shared folder and return the table, with the batch of each row in ``_batch``."""
+    spark = stream.sparkSession
+    out, checkpoint = _folders(spark, name, place)
+    _start(spark, stream.schema, out)
+    _run(stream, lambda batch, number: _keep(batch, out, number), checkpoint, mode, **trigger)
     return spark.read.parquet(out)
 
 
-def ingest_snapshots(stream: DataFrame, key: str = "source", sha: str = "sha256") -> DataFrame:
+def ingest_snapshots(stream: DataFrame, key: str = "source", sha: str = "sha256", place: str | None = None) -> DataFrame:
     """Append each payload whose hash its source has not had yet; the manifest table is the state."""
     spark = stream.sparkSession
-    out, checkpoint = _place(spark, "manifest"), _place(spark, "manifest-checkpoint")
-    spark.createDataFrame([], stream.schema).write.parquet(out)
+    out, checkpoint = _folders(spark, "manifest", place)
+    _start(spark, stream.schema, out)
 
     def write(batch: DataFrame, number: int) -> None:
-        seen = spark.read.parquet(out).select(key, sha).distinct()
-        batch.dropDuplicates([key, sha]).join(seen, [key, sha], "left_anti").write.mode("append").parquet(out)
+        seen = spark.read.parquet(out).where(F.col("_batch") < number).select(key, sha).distinct()
+        _keep(batch.dropDuplicates([key, sha]).join(seen, [key, sha], "left_anti"), out, number)
 
-    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    _run(stream, write, checkpoint)
+    return spark.read.parquet(out).drop("_batch")
 
 
 def scored(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -58,20 +73,22 @@ def scored(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFr
     return s.select(F.lit("prediction").alias("type"), "restriction_id", F.col("prediction").alias("impact"), "confidence")
 
 
-def batch_status(stream: DataFrame) -> DataFrame:
+def batch_status(stream: DataFrame, place: str | None = None) -> DataFrame:
     """(batch, status, rows): one row for each batch; an error becomes a row too."""
     spark = stream.sparkSession
-    out, checkpoint = _place(spark, "status"), _place(spark, "status-checkpoint")
+    out, checkpoint = _folders(spark, "status", place)
+    schema = "batch long, status string, rows long"
+    _start(spark, schema, out)
 
     def write(batch: DataFrame, number: int) -> None:
         try:
             n, status = batch.count(), "ok"
         except Exception as e:
             n, status = 0, f"error: {type(e).__name__}"
-        spark.createDataFrame([(number, status, n)], "batch long, status string, rows long").write.mode("append").parquet(out)
+        _keep(spark.createDataFrame([(number, status, n)], schema), out, number)
 
-    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    _run(stream, write, checkpoint)
+    return spark.read.parquet(out).drop("_batch")
 
 
 def label_windows(stream: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -82,8 +99,6 @@ def label_windows(stream: DataFrame, width: str = "1 day", late: str = "1 day")
 
 def drift_by_window(counts: DataFrame, baseline: dict[str, float], threshold: float = 0.1) -> DataFrame:
     """(start, magnitude, drifted) per window, over labels that both the window and the baseline have."""
-    from pyspark.sql import Window
-
     q = F.col("n") / F.sum("n").over(Window.partitionBy("start"))
     known = F.create_map(*[F.lit(x) for kv in baseline.items() for x in kv])
     rows = counts.withColumns({"q": q, "p": F.try_element_at(known, F.col("prediction"))}).where("p > 0 and q > 0")
@@ -98,46 +113,123 @@ def latest_version(updates: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*keys, "l.*").drop("_batch")
 
 
-def recent_buffer(stream: DataFrame, n: int = 100) -> DataFrame:
-    """The newest ``n`` messages (ts, event_id, ...) after each batch; the table of the last batch is returned."""
+def recent_buffer(stream: DataFrame, n: int = 100, place: str | None = None) -> DataFrame:
+    """The newest ``n`` messages (ts, event_id, ...) after the last batch. A batch's table has the newest of the one before and its own, so
+    what there is of the buffer is in the shared folder alone."""
     spark = stream.sparkSession
-    root, checkpoint = _place(spark, "buffer"), _place(spark, "buffer-checkpoint")
-    current = {"path": f"{root}/empty"}
-    spark.createDataFrame([], stream.schema).write.parquet(current["path"])
+    out, checkpoint = _folders(spark, "buffer", place)
+    _start(spark, stream.schema, out)
 
     def write(batch: DataFrame, number: int) -> None:
-        new = f"{root}/{number}"
-        both = spark.read.parquet(current["path"]).unionByName(batch)
-        both.orderBy(F.desc("ts"), F.desc("event_id")).limit(n).write.mode("overwrite").parquet(new)
-        current["path"] = new
-
-    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(current["path"])
+        before = spark.read.parquet(out).where(F.col("_batch") == number - 1).drop("_batch")
+        _keep(before.unionByName(batch).orderBy(F.desc("ts"), F.desc("event_id")).limit(n), out, number)
+
+    _run(stream, write, checkpoint)
+    table = spark.read.parquet(out)
+    last = table.agg(F.max("_batch").alias("last"))
+    return table.join(F.broadcast(last), F.col("_batch") == F.col("last"), "left_semi").drop("_batch")  # one row
+
+
+def _accept(times: np.ndarray, passed: deque, limit: int, window_s: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of a key's events in order, which pass and how long the others must wait; ``passed`` has the last ``limit`` times that passed, and goes on."""
+    accepted, wait = np.ones(len(times), bool), np.zeros(len(times))
+    for i, at in enumerate(times.tolist()):
+        while passed and passed[0] <= at - window_s:
+            passed.popleft()
+        if len(passed) < limit:
+            passed.append(at)
+        else:
+            accepted[i], wait[i] = False, passed[0] + window_s - at
+    return accepted, wait
+
+
+def _sessions(rows: DataFrame, window_s: float) -> DataFrame:
+    """Rows (key, at) with ``start``, the first time of their session: a key's events with no gap of ``window_s`` between them.
+
+    The rows are dealt by ranges of (key, at), so that a key, however frequent, goes to many tasks. What tells whether a range goes on
+    with the session of the one before is a row for each range.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_at, start, lead = None, None, None, True
+        for batch in batches:
+            key, at = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            if not len(key):
+                continue
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (at[1:] - at[:-1] >= window_s)
+            if last_key is not None:
+                new[0] = key[0] != last_key or at[0] - last_at >= window_s
+            begun = np.where(new, np.arange(len(key)), -1)
+            begun = np.maximum.accumulate(begun)
+            starts = np.where(begun < 0, np.nan if start is None else start, at[np.maximum(begun, 0)])
+            first = last_key is None
+            leads = np.cumsum(new) == (1 if first else 0) if lead else np.zeros(len(key), bool)
+            last_key, last_at, start, lead = key[-1], at[-1], starts[-1], bool(leads[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(starts), pa.array(leads)], ["part", "key", "at", "start", "lead"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, "key", "at").sortWithinPartitions("key", "at").select(F.spark_partition_id().alias("part"), "key", "at")
+    marked = cut(ranged.mapInArrow(run, "part int, key long, at double, start double, lead boolean"))
+    ends = marked.groupBy("part").agg(F.min(F.struct("key", "at")).alias("first"), F.max(F.struct("key", "at", "start", "lead")).alias("last"))
+    parts = Window.orderBy("part")  # a row for each range
+    before = F.lag("last").over(parts)
+    goes_on = F.coalesce((before["key"] == F.col("first.key")) & (F.col("first.at") - before["at"] < window_s), F.lit(False))
+    known = F.when(~F.col("last.lead"), F.col("last.start")).when(~F.col("goes_on"), F.col("first.at"))
+    ends = ends.withColumn("goes_on", goes_on).withColumn("known", F.last(known, ignorenulls=True).over(parts))
+    ends = ends.withColumn("lead_start", F.when(F.col("goes_on"), F.lag("known").over(parts)).otherwise(F.col("first.at"))).select("part", "lead_start")
+    return marked.join(F.broadcast(ends), "part").select("key", "at", F.when(F.col("lead"), F.col("lead_start")).otherwise(F.col("start")).alias("start"))
+
+
+_FLAGS = "key long, at double, accepted boolean, retry_after_s double"
 
 
 def burst_flags(events: DataFrame, key: str, ts: str, limit: int = 240, window_s: float = 60.0) -> DataFrame:
-    """(key, ts, accepted, retry_after_s): an event passes if fewer than ``limit`` passed in the trailing window of its key. Which events
-    count depends on those before, so each key's events are gone through in order; a key's own events are what a task holds."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        passed: list[float] = []
-        first, accepted, wait = 0, [], []
-        for at in pdf["at"]:
-            while first < len(passed) and passed[first] <= at - window_s:
-                first += 1
-            ok = len(passed) - first < limit
-            accepted.append(ok)
-            wait.append(0.0 if ok else passed[first] + window_s - at)
-            if ok:
-                passed.append(at)
-        return pdf.assign(accepted=accepted, retry_after_s=wait)
-
-    rows = events.select(F.col(key).alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
-    return rows.groupBy("key").applyInPandas(run, "key long, at double, accepted boolean, retry_after_s double")
-
-
-def prediction_feed(log: DataFrame, places: DataFrame, n: int = 20) -> DataFrame:
-    """The newest ``n`` predictions with their district's place; ``log`` may be a stream's table, ``places`` is static."""
-    newest = log.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
-    return newest.join(places, "district", "left")
+    """(key, at, accepted, retry_after_s): an event passes if fewer than ``limit`` passed in the trailing window of its key.
+
+    Which events count depends on those before, so events are gone through in order; but after a gap of ``window_s`` nothing before
+    counts, so a key is cut into sessions there, which are dealt out. A task has the last ``limit`` times of one session at hand. Rows
+    without a key or a time are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, passed = None, deque()
+        for batch in batches:
+            key, at, start = (batch.column(i).to_numpy() for i in range(3))
+            if not len(key):
+                continue
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (start[1:] != start[:-1])]))
+            accepted, wait = np.ones(len(key), bool), np.zeros(len(key))
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
+                if (key[a], start[a]) != current:
+                    current, passed = (key[a], start[a]), deque()
+                accepted[a:b], wait[a:b] = _accept(at[a:b], passed, limit, window_s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(accepted), pa.array(wait)], ["key", "at", "accepted", "retry_after_s"])
+
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _timed(events, key, ts)
+    return _sessions(rows, window_s).repartition(n, "key", "start").sortWithinPartitions("key", "start", "at").mapInArrow(run, _FLAGS)
+
+
+def _timed(events: DataFrame, key: str, ts: str) -> DataFrame:
+    rows = events.select(F.col(key).cast("long").alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
+    return rows.where("key is not null and at is not null")
+
+
+def burst_stream(stream: DataFrame, key: str, ts: str, limit: int = 240, window_s: float = 60.0) -> DataFrame:
+    """burst_flags of a stream: each key's state has the last ``limit`` times that passed. A batch's events are taken in order, those of
+    later batches as they come; a key's events of one batch are what a task holds, so batches are to be kept small by the source's limits."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        at = np.sort(np.concatenate([f["at"].to_numpy() for f in frames]), kind="stable")
+        passed = deque(state.get[0] if state.exists else [])
+        accepted, wait = _accept(at, passed, limit, window_s)
+        state.update(([*passed],))
+        yield pd.DataFrame({"key": key[0], "at": at, "accepted": accepted, "retry_after_s": wait})
+
+    return _timed(stream, key, ts).groupBy("key").applyInPandasWithState(run, _FLAGS, "passed array<double>", "append", "NoTimeout")
+
+
+def prediction_feed(log: DataFrame, places: DataFrame, n: int = 20, place: str | None = None) -> DataFrame:
+    """The newest ``n`` predictions of the stream ``log`` with their district's place; ``places`` is static."""
+    return recent_buffer(log.join(places, "district", "left"), n, place)
