@@ -238,7 +238,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian uint32)."""
+    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian uint32).
+
+    Rows with a null id come first, and each row that repeats an id is a document of its own. Files of no documents have no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

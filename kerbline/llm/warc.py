@@ -107,7 +107,11 @@ def _page_of(name: str) -> Column:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, from the archive: the header fields, and size and state of its payload as stored."""
+    """One row per record, from the archive: the header fields, and size and state of its payload as stored.
+
+    A page without an id, or without a url, has null there; a null payload was written as an empty one. Rows that were repeated are records
+    of their own. A record whose payload is missing has null payload_bytes and isn't verified. An archive of no pages has no records.
+    """
     stored = spark.read.parquet(f"{path}/payloads").select(
         F.col("address").alias("payload_address"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -133,7 +137,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The original pages: page_id, url, payload (bytes) and record, the exact bytes of the WARC record."""
+    """The original pages: page_id, url, payload (bytes) and record, the exact bytes of the WARC record.
+
+    A page for each record whose payload is there, repeated ones too; ids and urls that were null are null, and a null payload is empty.
+    """
     joined = spark.read.parquet(f"{path}/records").join(
         spark.read.parquet(f"{path}/payloads").withColumnRenamed("address", "payload_address"), "payload_address"
     )

@@ -119,6 +119,19 @@ def test_token_rows_can_be_found(spark, docs):
     assert token_output.read_tokens(spark, path).where("doc_id = 17").count() == 1
 
 
+def test_token_files_are_skipped(spark):
+    """A filter on an id reads one row group (1,000 rows) of one file, of 6,000 rows in four; so does one on an id that lies within but isn't there."""
+    path = fresh_path(spark, "tokens")
+    docs = spark.range(6000).select((F.col("id") * 3).alias("doc_id"), F.lit("some text").alias("text"))
+    token_output.write_tokens(docs, path, queries.tokenizer_path())
+    for doc_id, rows in ((3000, 1), (3001, 0)):
+        found = token_output.read_tokens(spark, path).where(F.col("doc_id") == doc_id)
+        assert len(found.collect()) == rows
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        read = scan.metrics().apply("numOutputRows").value()
+        assert read <= 1000 * rows, read
+
+
 @pytest.mark.parametrize("route", [exact_dedup.wide_hash, F.xxhash64, lambda b: F.octet_length(b) % 3])
 def test_exact_groups(docs, plain, route):
     rows = plain + [(1000, plain[5][1]), (1001, plain[5][1]), (1002, None), (1003, "")]
