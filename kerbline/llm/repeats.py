@@ -304,17 +304,22 @@ def _fetched(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     joined = docs.join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("k1", "k2", "text", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("kind", pa.int32()), ("key", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())]
-        )
+        names = ["kind", "key", "k1", "k2", "first", "last", "anchor", "bytes"]
         for batch in batches:
-            out: list = []
-            for k1, k2, text, rows in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                data = (text or "").encode()
-                for r in rows:
-                    out.append((r["kind"], r["key"], k1, k2, r["first"], r["last"], r["anchor"], data[r["first"] : r["last"] + length]))
-            for at in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 5000]), schema)], schema=schema)
+            k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
+            every, offsets = text_bytes(batch.column(2))
+            rows = batch.column(3).flatten()
+            of = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy())
+            kind, key, first, last, anchor = (rows.field(n).to_numpy() for n in ("kind", "key", "first", "last", "anchor"))
+            begin, size = offsets[of] + first, last.astype(np.int64) - first + length
+            for lo, hi in slices(size.tolist(), BATCH_BYTES):
+                n = size[lo:hi]
+                ends = np.cumsum(n)
+                data = every[np.repeat(begin[lo:hi] - (ends - n), n) + np.arange(int(ends[-1]))]
+                places = np.concatenate([[0], ends]).astype(np.int32)
+                spans = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(places), pa.py_buffer(data)])
+                columns = [pa.array(x[lo:hi]) for x in (kind, key, k1[of], k2[of], first, last, anchor)]
+                yield pa.RecordBatch.from_arrays([*columns, spans], names)
 
     return joined.mapInArrow(released(run), "kind int, key long, k1 long, k2 long, first int, last int, anchor int, bytes binary")
 
@@ -369,28 +374,40 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            n_bytes, spans, removed, kept = [], [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = (text or "").encode()
-                n_bytes.append(len(data))
-                mine, rest, at = [], [], 0
-                if found:
-                    cover = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(cover, [f["first"] for f in found], 1)
-                    np.add.at(cover, [f["last"] + length for f in found], -1)
-                    for a, b in zip(*(x.tolist() for x in runs(np.cumsum(cover[:-1]) > 0))):
-                        mine.append({"first": a, "end": b})
-                        rest.append(data[at:a])
-                        at = b
-                rest.append(data[at:])
-                spans.append(mine)
-                removed.append(sum(s["end"] - s["first"] for s in mine))
-                kept.append(b"".join(rest))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
-                ["row", "n_bytes", "spans", "n_removed", "kept"],
-            )
+            every, offsets = text_bytes(batch.column(1))
+            column = batch.column(2)
+            n = column.value_lengths().fill_null(0).to_numpy()
+            places = column.flatten()
+            first, end = places.field("first").to_numpy(), places.field("last").to_numpy() + length
+            upto = np.concatenate([[0], np.cumsum(n)])
+            for lo, hi in slices(np.diff(offsets).tolist(), BATCH_BYTES):
+                data, starts = every[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                # one more place after each text parts the runs of neighbours
+                cover = np.zeros(len(data) + hi - lo + 1, np.int64)
+                x = slice(upto[lo], upto[hi])
+                base = np.repeat(starts[:-1] + np.arange(hi - lo), n[lo:hi])
+                np.add.at(cover, base + first[x], 1)
+                np.add.at(cover, base + end[x], -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                begin, stop = runs(gone)
+                parting = starts[1:] + np.arange(hi - lo)
+                of = np.searchsorted(parting, begin)
+                shift = (starts[:-1] + np.arange(hi - lo))[of]
+                spans = pa.StructArray.from_arrays([pa.array(begin - shift), pa.array(stop - shift)], ["first", "end"])
+                edges = np.searchsorted(of, np.arange(hi - lo + 1)).astype(np.int32)
+                real = np.ones(len(gone), bool)
+                real[parting] = False
+                kept = data[~gone[real]]
+                size = np.diff(starts)
+                removed = np.bincount(of, weights=stop - begin, minlength=hi - lo).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(size - removed)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo), pa.array(size), pa.ListArray.from_arrays(pa.array(edges), spans), pa.array(removed),
+                        pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(kept)]),
+                    ],
+                    ["row", "n_bytes", "spans", "n_removed", "kept"],
+                )
 
     return joined.mapInArrow(released(run), schema)
