@@ -53,7 +53,6 @@ select concat('R-', lpad(cast(o_orderkey as string), 7, '0')) as restriction_id,
        (o_orderkey * 7919) % (m.w * 60) + (o_orderkey % 5) * 10 as x2, (o_orderkey * 104729) % (m.h * 60) + (o_orderkey % 3) * 10 as y2,
        case when o_orderkey % 29 = 0 then true else false end as malformed
 from orders cross join (select max(w) as w, max(rw) + 1 as h from fx_nodes) m
-where o_orderkey % 50 in (0, 8)
 """
 
 VIEWS["fx_predictions"] = """

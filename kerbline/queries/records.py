@@ -552,9 +552,9 @@ def f8(spark, d):
     return sequences.validation_cases(r)
 
 
-@reg.add("f8_dense_cases", "with d as (select restriction_id, candidate_edge_count as n from fx_records where k % 29 = 1 and valid_polyline and direct_count > 0) select restriction_id, 'direct-intersection baseline' as reason, 1 as place from d where restriction_id = (select min(restriction_id) from d)")
+@reg.add("f8_dense_cases", "with d as (select restriction_id, candidate_edge_count as n from fx_records where valid_polyline and direct_count > 0) select restriction_id, 'direct-intersection baseline' as reason, 1 as place from d where restriction_id = (select min(restriction_id) from d)")
 def f8b(spark, d):
-    r = view(spark, d, REC).where("k % 29 = 1 and valid_polyline and direct_count > 0").select("restriction_id", c("k").alias("pos"), (~c("valid_polyline")).alias("malformed"), c("direct_count").alias("direct"), c("proximity_count").alias("proximity"), c("candidate_edge_count").alias("n_candidates"))
+    r = view(spark, d, REC).where("valid_polyline and direct_count > 0").select("restriction_id", c("k").alias("pos"), (~c("valid_polyline")).alias("malformed"), c("direct_count").alias("direct"), c("proximity_count").alias("proximity"), c("candidate_edge_count").alias("n_candidates"))
     return sequences.validation_cases(r, 1)
 
 

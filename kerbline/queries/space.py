@@ -10,8 +10,8 @@ from kerbline.queries.registry import VIEWS, Registry, view
 reg = Registry()
 c = F.col
 
-VIEWS["fx_pois"] = "select k as point, -79.4e0 + x / 1e5 as lon, 43.6e0 + y / 1e5 as lat, k % 6 as kind from fx_nodes where k % 7 = 0"
-VIEWS["fx_vertices"] = "select cast(floor(k / 300) as bigint) as route, k, -79.4e0 + x / 1e5 as lon, 43.6e0 + y / 1e5 as lat from fx_nodes where k % 13 = 0"
+VIEWS["fx_pois"] = "select k as point, -79.4e0 + x / 1e5 as lon, 43.6e0 + y / 1e5 as lat, k % 6 as kind from fx_nodes"
+VIEWS["fx_vertices"] = "select cast(floor(k / 300) as bigint) as route, k, -79.4e0 + x / 1e5 as lon, 43.6e0 + y / 1e5 as lat from fx_nodes"
 VIEWS["fx_places"] = "select restriction_id, malformed, -79.4e0 + x1 / 1e5 as lon, 43.6e0 + y1 / 1e5 as lat, x1, y1, x2, y2 from fx_sites"
 
 
@@ -296,7 +296,7 @@ def i10(spark, d):
     return x.select("query", F.round("baseline_m", 6).alias("baseline_m"), F.round("hard_m", 6).alias("hard_m"), "hard_lost")
 
 
-_SETS = "sets as (select (u // 200)::bigint as s, seg from fx_edges where u % 200 = 3)"
+_SETS = "sets as (select (u // 100)::bigint as s, seg from fx_edges where u % 20 = 0)"
 
 
 @reg.add("i13_edge_sets", f"""
@@ -310,7 +310,7 @@ select ids.s, (select count(*) from sets where sets.s = ids.s) as removed_edges,
   (select count(*) from p where p.s = ids.s and not ok) as disconnected_pairs, (select count(distinct after) - count(distinct before) from l where l.s = ids.s) as component_increase from ids""")
 def i13(spark, d):
     e = cut(_edges(spark, d))
-    sets = e.where("u % 200 = 3").select(F.expr("u div 200").alias("s"), "edge_id")
+    sets = e.where("u % 20 = 0").select(F.expr("u div 100").alias("s"), "edge_id")
     return paths.edge_set_removal(e, sets, cut(paths.node_components(e, _nodes(spark, d))))
 
 

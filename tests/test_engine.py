@@ -13,7 +13,7 @@ from kerbline.operators import listing, network, paths, rules, sequences, spatia
 from kerbline.sources import geopackage
 
 #: Held against plain versions in test_plain; SQL of its size is not to be had.
-SLOW = {"i14_cohort_run", "m11_report", "k10_importance"}
+SLOW = {"i14_cohort_run", "m11_report", "k10_importance", "k5_k7_k10_trained_model", "k12_a24_saved_model"}
 
 
 @pytest.fixture(scope="module")
