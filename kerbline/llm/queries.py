@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, repeats, simhash, token_output, url_filter, warc
+from kerbline.llm import alignment, decontaminate, exact_dedup, language_id, line_dedup, minhash, mixing, ranked_search, repeats, simhash, token_output, url_filter, warc
 from kerbline.llm.common import fresh_path
 
 
@@ -19,6 +19,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
@@ -48,7 +54,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
-    token_output.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    token_output.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path(), special_text=False)
     return token_output.document_index(spark, path)
 
 
@@ -102,11 +108,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(_table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.cross_align(_table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path())
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_mix_sources, op3_simhash, op4_url_filter, op5_exact_dedup,
         op6_token_output, op7_decontaminate, op8_remove_repeats, op9_language_id, op10_line_dedup,
+        op11_minhash, op12_ranked_search, op13_cross_tokens,
     )
 }
 
@@ -206,9 +227,27 @@ from p0 join tree using (host, path) join judged using (host, template)
 """
 
 
+_SQL_OP12 = r"""
+with words as (select doc_id, rowid_, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws
+  from (select *, row_number() over () as rowid_ from documents)),
+terms as (select doc_id, rowid_, len(ws)::bigint as n, unnest(ws) as term from words),
+total as (select count(*)::bigint as nn, coalesce(sum(len(ws)), 0)::bigint as l from words where len(ws) > 0),
+tfs as (select doc_id, rowid_, n, term, count(*)::bigint as tf from terms group by all),
+dfs as (select term, count(*)::bigint as df from tfs group by term),
+items as (select item_id, text, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term
+  from (select distinct item_id, text from benchmark)),
+scored as (
+  select i.item_id, i.text, t.rowid_, t.doc_id, sum(floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l))))::bigint as score
+  from items i join tfs t using (term) join dfs using (term) cross join total group by all),
+ranked as (select *, row_number() over (partition by item_id, text order by score desc, doc_id nulls last)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
+
+
 ORACLE_SQL = {
     "op1_warc": _SQL_OP1,
     "op4_url_filter": _sql_op4(),
     "op5_exact_dedup": _SQL_OP5,
     "op10_line_dedup": _SQL_OP10,
+    "op12_ranked_search": _SQL_OP12,
 }

@@ -8,7 +8,7 @@ out links that connect what all pairs would connect.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -194,30 +194,24 @@ def _in_tasks(rows: DataFrame, by: list[str], similarity: float) -> DataFrame:
     return rows.select(*dict.fromkeys([*by, "part", "node", "set"])).groupBy(*by).applyInArrow(run, "u long, v long")
 
 
-def similar_components(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, part: int = PART) -> DataFrame:
-    """(node, component) of each node that links to another; docs (row, text), prints (row, node, n, keys)."""
-    keyed = prints.select(F.explode("keys").alias("key"), "node", "n").distinct()
-    ordered = keyed.repartition(shuffle_partitions(prints.sparkSession), "key").sortWithinPartitions("key")
+def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of rows (key, node, n), whose nodes with one key are compared: links (u, v) connect what similar pairs connect.
+
+    ``sets_of`` gives (node, set) of the nodes in a column w. Components are (node, component), of each node that links to another.
+    """
+    ordered = keyed.repartition(shuffle_partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
     found = cut(_candidates(ordered, part).distinct())
     pairs, large = found.where("kind = 0").select("u", "v"), found.where("kind = 1").select("key", "part", F.col("u").alias("node"))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("w")).unionByName(large.select(F.col("node").alias("w"))).distinct()
-    # one row of each node that is wanted gives its set
-    rows = prints.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("node").agg(F.min("row").alias("of"))
-    texts = docs.join(rows, F.col("row") == F.col("of")).groupBy("node").agg(F.first("text").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
-
-    sets = cut(texts.mapInArrow(released(run), "node long, set array<long>"))
+    sets = cut(sets_of(wanted))
     a, b = (sets.select(F.col("node").alias(f"n{s}"), F.col("set").alias(f"s{s}")) for s in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     near = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb")) - _EPS
     enough = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - _EPS
     links = pairs.join(a, F.col("u") == F.col("na")).join(b, F.col("v") == F.col("nb")).where(F.when(near, enough).otherwise(False)).select("u", "v")
     if large.isEmpty():
-        return components(links)
+        links = cut(links)
+        return links, components(links)
     links = cut(links.unionByName(_in_tasks(large.join(sets, "node"), ["key", "part"], similarity)))
     known = cut(components(links))
     # the parts of a key meet each other unless its nodes are one component already
@@ -225,10 +219,34 @@ def similar_components(docs: DataFrame, prints: DataFrame, similarity: float = S
     open_ = labelled.groupBy(F.col("key").alias("k")).agg(F.max("part").alias("last"), F.min("component").alias("x"), F.max("component").alias("y")).where("last > 0 and x <> y")
     open_ = cut(open_.select("k", "last"))
     if open_.isEmpty():
-        return known
+        return links, known
     dealt = large.join(open_, F.col("key") == F.col("k")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).where("other <> part")
     dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node")
-    return components(links.unionByName(_in_tasks(dealt.join(sets, "node"), ["key", "lo", "hi"], similarity)))
+    links = cut(links.unionByName(_in_tasks(dealt.join(sets, "node"), ["key", "lo", "hi"], similarity)))
+    return links, components(links)
+
+
+def sets_of_texts(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, set) of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    return texts.mapInArrow(released(run), "node long, set array<long>")
+
+
+def similar_components(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, part: int = PART) -> DataFrame:
+    """(node, component) of each node that links to another; docs (row, text), prints (row, node, n, keys)."""
+    keyed = prints.select(F.explode("keys").alias("key"), "node", "n").distinct()
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        # one row of each node that is wanted gives its set
+        rows = prints.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("node").agg(F.min("row").alias("of"))
+        return sets_of_texts(docs.join(rows, F.col("row") == F.col("of")).groupBy("node").agg(F.first("text").alias("text")), shingle)
+
+    return linked_components(keyed, sets_of, similarity, part)[1]
 
 
 def one_of_each_group(

@@ -101,11 +101,13 @@ class PieceEncoder:
     Pieces are told apart by their bytes. Those of the older generation go when the younger one is full.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_text  # whether their strings in a text are ordinary text
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole_texts = "|".join([_ODD_SPACE, *([] if special_text else added)])
         self.tokens = self.tokenizer.model.tokenize
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -136,8 +138,12 @@ class PieceEncoder:
                     self.young[p] = x
         return out
 
+    def begins(self, data: np.ndarray, starts: np.ndarray, odd: np.ndarray | None = None) -> np.ndarray:
+        """Where pieces begin that are encoded apart from all others."""
+        return piece_starts(data, starts, odd)
+
     def _part(self, data: np.ndarray, starts: np.ndarray, odd: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        begin = piece_starts(data, starts, odd)
+        begin = self.begins(data, starts, odd)
         offsets = np.append(begin, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         raw = self._known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
@@ -162,7 +168,7 @@ class PieceEncoder:
         while at < len(data):
             end = min(at + width, len(data))
             if end < len(data):
-                begin = piece_starts(data[at:end], np.array([0, end - at]))
+                begin = self.begins(data[at:end], np.array([0, end - at]))
                 begin = begin[(begin > 0) & (begin < end - at - 1)]
                 begin = begin[_CLASS[data[at + begin - 1]] > _SPACE]
                 if not len(begin):
@@ -174,32 +180,32 @@ class PieceEncoder:
         flat = np.concatenate(found)
         return flat, np.array([len(flat)])
 
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are encoded whole."""
+        return pc.fill_null(pc.match_substring_regex(texts, self.whole_texts), False).to_numpy(zero_copy_only=False)
+
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         column = pa.array(texts, pa.string())
         data, starts = text_bytes(column)
-        flat, n = self.encode(data[: starts[-1]], starts, odd_spaces(column))
+        flat, n = self.encode(data[: starts[-1]], starts, self.odd(column))
         return np.split(flat, np.cumsum(n)[:-1])
 
 
-def odd_spaces(texts: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.match_substring_regex(texts, _ODD_SPACE), False).to_numpy(zero_copy_only=False)
-
-
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> PieceEncoder:
+def shared_encoder(path: str, special_text: bool = True) -> PieceEncoder:
     """One for each worker process, which keeps its pieces from task to task."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, special_text)
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, special_text: bool = True) -> DataFrame:
     """(doc_id, ids) of (doc_id, text): whole texts, ``end_id`` after each; keeps partitions and order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path, special_text)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             every, offsets = text_bytes(texts)
-            odd = odd_spaces(texts)
+            odd = encoder.odd(texts)
             # a few texts at a time, or one long one, so that a batch's ids stay small
             for lo, hi in slices(np.diff(offsets).tolist(), BATCH_BYTES):
                 flat, n = encoder.encode(every[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], odd[lo:hi])
@@ -213,12 +219,13 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID
+    docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, special_text: bool = True
 ) -> None:
     """Write (shard, seq, doc_id, ids) as ORC below ``path``, in ascending order of doc_id across shards and within.
 
     A null text is empty: it has the end id alone. Null ids come first; rows that repeat an id stay next to one another, in the order
-    of their texts. Other columns are not read.
+    of their texts. Other columns are not read. With ``special_text`` a special token's string in a text is ordinary text, so that no text
+    can end a document; without it the tokenizer gives it the special id.
     """
     n = shuffle_partitions(docs.sparkSession)
     sorted_docs = (
@@ -226,7 +233,7 @@ def write_tokens(
         .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
-    tokens = tokenize(sorted_docs, tokenizer_path, end_id).select(
+    tokens = tokenize(sorted_docs, tokenizer_path, end_id, special_text).select(
         F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("seq"), "doc_id", "ids"
     )
     tokens.write.options(**ORC).orc(path)

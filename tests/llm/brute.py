@@ -89,7 +89,6 @@ def tokens(docs, path, end=2):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     start, out = 0, []
     for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0])):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [end]
@@ -192,3 +191,93 @@ def language(train, docs, places=1 << 21, min_rate=2e-6, min_share=0.5):
         total = sum(real)
         out.append((names[real.index(max(real))], max(real) / total) if total > 0 else (common, 0.0))
     return out
+
+
+def minhash(rows, k=3, percent=85):
+    """(doc_id, n_shingles, component_id, kept) of (id, text) without null ids, over all pairs."""
+    sets = []
+    for _, t in rows:
+        words = lower(t).split()
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)):
+                both = len(a & b)
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    parent[root(i)] = root(j)
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        smallest[root(i)] = min(d, smallest.get(root(i), d))
+    return [(d, len(sets[i]), smallest[root(i)], d == smallest[root(i)]) for i, (d, _) in enumerate(rows)]
+
+
+def search(docs, items, k=50):
+    """(item_id, rank, doc_id, score) of (id, text) and (id, text)."""
+    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    counts = [Counter(word.findall(lower(t))) for _, t in docs]
+    sizes = [sum(c.values()) for c in counts]
+    n, total = sum(x > 0 for x in sizes), sum(sizes)
+    df = Counter(t for c in counts for t in c)
+    out = []
+    for item, text in dict.fromkeys(items):
+        terms = set(word.findall(lower(text)))
+        scores = []
+        for (d, _), c, size in zip(docs, counts, sizes):
+            m = 50 + (50 * size * n) // max(1, total)
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 20 * m)) for t in terms if c[t])
+            if s > 0:
+                scores.append((-s, d is None, d, s))
+        out += [(item, i + 1, d, s) for i, (_, _, d, s) in enumerate(sorted(scores)[:k])]
+    return out
+
+
+def cross_tokens(docs, path_a, path_b):
+    """The columns of op13_cross_tokens by plain loops over whole texts."""
+    import json
+
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+    a.encode_special_tokens = True
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in printable)}
+    names = {i: t for t, i in json.load(open(path_a))["model"]["vocab"].items()}
+    linked, rows = [], []
+    for d, t in docs:
+        groups, links, x, y = [], [], [], []
+        if t:
+            x, y = a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)
+            xb = [bytes(letters[c] for c in names[i]) for i in x]
+            yb = [bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in y]
+            if not b"".join(xb) == b"".join(yb) == (" " + t).encode():
+                x, y = [], []
+        if x:
+            i = j = at_a = at_b = 0
+            first = (0, 0)
+            while i < len(x) and j < len(y):
+                links.append((x[i], y[j]))
+                end_a, end_b = at_a + len(xb[i]), at_b + len(yb[j])
+                if end_a == end_b:
+                    groups.append((x[first[0] : i + 1], y[first[1] : j + 1]))
+                    first = (i + 1, j + 1)
+                if end_a <= end_b:
+                    i, at_a = i + 1, end_a
+                if end_b <= end_a:
+                    j, at_b = j + 1, end_b
+        text = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in groups)
+        rows.append((d, len(x), len(y), len(groups), len(links), hashlib.sha256(text.encode()).hexdigest() if x else ""))
+        linked.append(links)
+    counts = Counter(p for links in linked for p in set(links))
+    most = defaultdict(int)
+    for (i, _), n in counts.items():
+        most[i] = max(most[i], n)
+    return [(*r[:5], sum(counts[p] == most[p[0]] for p in links), sum(counts[p] for p in links), r[5]) for r, links in zip(rows, linked)]
