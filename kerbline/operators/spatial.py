@@ -17,27 +17,30 @@ METRIC_CRS, SOURCE_CRS = "EPSG:26917", "EPSG:4326"
 THRESHOLDS = (2.0, 5.0, 10.0)
 
 
-# EPSG's codes of projected systems are in these ranges; geographic ones (4001 to 4999, and others) are not.
-PROJECTED = ((2000, 3999), (5041, 5042), (5105, 5130), (6931, 6933), (20000, 32799))
+# EPSG's codes of projected systems whose axes are in metres, as ranges of UTM and state or national grids and single ones.
+METRE_SYSTEMS = (
+    (2031, 2032), (2056, 2056), (2154, 2154), (2193, 2193), (2945, 2962), (3005, 3005), (3034, 3035), (3067, 3067), (3153, 3153), (3158, 3161), (3347, 3348), (3395, 3395), (3577, 3577), (3857, 3857), (3978, 3979),
+    (5041, 5042), (5070, 5070), (6931, 6933), (7846, 7859), (25828, 25838), (26901, 26923), (27700, 27700), (28348, 28358), (31370, 31370), (32601, 32660), (32661, 32661), (32701, 32760), (32761, 32761),
+)
 
 
 def is_projected(crs: str) -> bool:
-    """Whether an ``EPSG:n`` names a projected system."""
+    """Whether an ``EPSG:n`` names a projected system in metres that is known here; geographic ones, those in feet and unknown ones are not."""
     authority, _, code = crs.upper().partition(":")
-    return authority == "EPSG" and code.isdigit() and any(a <= int(code) <= b for a, b in PROJECTED)
+    return authority == "EPSG" and code.isascii() and code.isdigit() and any(a <= int(code) <= b for a, b in METRE_SYSTEMS)
 
 
 def require_metric(crs: str) -> None:
     """Refuse a geographic or unknown system, whose distances aren't metres."""
     if not is_projected(crs):
-        raise ValueError(f"distance matching requires a projected CRS, not {crs}")
+        raise ValueError(f"distance matching requires a projected CRS in metres, not {crs}")
 
 
 def refused(rows: DataFrame) -> DataFrame:
     """(crs, refused): of rows with a ``crs``, how many of each system metric matching refuses."""
-    number = F.when(F.upper("crs").rlike("^EPSG:[0-9]+$"), F.substring_index("crs", ":", -1).cast("int"))
+    number = F.when(F.upper("crs").rlike("^EPSG:[0-9]+$"), F.expr("try_cast(substring_index(crs, ':', -1) as int)"))
     projected = F.lit(False)
-    for a, b in PROJECTED:
+    for a, b in METRE_SYSTEMS:
         projected = projected | number.between(a, b)
     return rows.where(~F.coalesce(projected, F.lit(False))).groupBy("crs").agg(F.count("*").alias("refused"))
 
@@ -93,15 +96,35 @@ def match_one(path: Column, segments: DataFrame, fallback: bool = False, thresho
     return match_candidates(one, segments, thresholds)
 
 
-def near_points(left: DataFrame, right: DataFrame, left_key: str, right_key: str, metres: float, cell_deg: float = 0.003) -> DataFrame:
-    """(left_key, right_key, metres) of points (key, lon, lat) at most ``metres`` apart on a local plane. A cell and its eight neighbours
-    must cover the distance."""
-    spots = lambda df, p, key: df.select(key, F.col("lon").alias(f"{p}x"), F.col("lat").alias(f"{p}y"), geo.cell(F.col("lon"), F.lit(cell_deg)).alias("i"), geo.cell(F.col("lat"), F.lit(cell_deg)).alias("j"))
-    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    a = spots(left, "l", left_key)
-    b = spots(right, "r", right_key).withColumn("di", F.explode(around)).withColumn("dj", F.explode(around))
-    b = b.withColumns({"i": F.col("i") + F.col("di"), "j": F.col("j") + F.col("dj")}).drop("di", "dj")
-    d = geo.flat_distance(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))
+def near_points(left: DataFrame, right: DataFrame, left_key: str, right_key: str, metres: float) -> DataFrame:
+    """(left_key, right_key, metres) of points (key, lon, lat) at most ``metres`` apart on a local plane, at any latitude and over the date line.
+
+    Points meet in cells of bands as high as the distance. A band's cells are as wide as the distance is at the latitude of its neighbour that is
+    nearer to a pole, and a whole number of them goes around the earth, so a cell and its neighbours hold all that is near. Near a pole a band is
+    one cell.
+    """
+    height = metres / geo.LAT_M * (1 + 1e-9)
+
+    def band(lat):
+        return F.floor(lat / F.lit(height))
+
+    def around(j):
+        """How many cells a band has. Distance is measured at the mean of two latitudes, so no pair is at more than the next band's far edge."""
+        far = F.least(F.lit(90.0), (F.greatest(F.abs(j), F.abs(j + 1)) + 1) * F.lit(height))
+        return F.greatest(F.lit(1), F.floor(F.lit(360 * geo.LON_M / metres) * F.cos(F.radians(far)) * (1 - 1e-9))).cast("long")
+
+    def cell(lon, n):
+        return F.floor((lon + 180) / 360 * n)
+
+    turned = lambda lon: F.pmod(lon + 180, F.lit(360.0)) - 180
+    a = left.where("lon is not null and lat is not null").select(left_key, F.col("lon").alias("lx"), F.col("lat").alias("ly"), band(F.col("lat")).alias("j"))
+    a = a.withColumn("n", around(F.col("j"))).withColumn("i", F.pmod(cell(turned(F.col("lx")), F.col("n")), F.col("n")))
+    # a point on the right is listed in its own cell and those beside it of its band and of both bands beside that
+    b = right.where("lon is not null and lat is not null").select(right_key, F.col("lon").alias("rx"), F.col("lat").alias("ry"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: band(F.col("lat")) + k)).alias("j"))
+    b = b.withColumn("n", around(F.col("j"))).withColumn("c", cell(turned(F.col("rx")), F.col("n")))
+    b = b.withColumn("i", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("c") + k, F.col("n")) for k in (-1, 0, 1)])))).drop("c", "n")
+    apart = turned(F.col("rx") - F.col("lx"))
+    d = geo.flat_distance(F.col("lx"), F.col("ly"), F.col("lx") + apart, F.col("ry"))
     return a.join(b, ["i", "j"]).select(left_key, right_key, d.alias("metres")).where(F.col("metres") <= metres)
 
 
@@ -122,14 +145,17 @@ def restrictions_near(restrictions: DataFrame, vertices: DataFrame, metres: floa
     return restrictions.join(found.select("restriction_id").distinct(), "restriction_id", "left_semi")
 
 
-def nearest(points: DataFrame, nodes: DataFrame, cell: float, rounds: int = 24) -> DataFrame:
+def nearest(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
     """(point, node, d2): the node (node, x, y) nearest to each point (point, x, y); of equal ones the smallest. Points that have none within
-    a cell's width look again at twice the width."""
+    a cell's width look again at twice the width, until each has one; no point is left out unless there are no nodes."""
     from kerbline.plans.checkpoint import cut
 
     left, found, size = cut(points.where("x is not null and y is not null").select("point", "x", "y")), None, cell
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    for _ in range(rounds):
+    nodes = nodes.where("x is not null and y is not null")
+    if nodes.isEmpty():
+        return left.join(nodes.select("node"), F.lit(False)).select("point", "node", F.lit(0.0).alias("d2"))
+    while True:
         at = lambda df: df.withColumns({"i": geo.cell(F.col("x"), F.lit(size)), "j": geo.cell(F.col("y"), F.lit(size))})
         near = at(left).withColumn("di", F.explode(around)).withColumn("dj", F.explode(around)).select("point", "x", "y", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
         d2 = F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2)

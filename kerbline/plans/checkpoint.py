@@ -27,6 +27,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete what a job wrote below the shared folder and needs no longer."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into a table in the shared folder, and read it back: its lineage is cut and its generated ids hold.
 

@@ -267,13 +267,13 @@ with recursive {_B}, {_Q}, sp(q, node, dist) using key (q, node) as (select q, s
 
 @reg.add("i6_shortest_paths", _search("true") + " select q.q, q.src, q.dst, round(sp.dist, 6) as dist from q left join sp on sp.q = q.q and sp.node = q.dst")
 def i6(spark, d):
-    return paths.shortest_paths(_edges(spark, d), _queries(spark, d)).select("q", "src", "dst", F.round("dist", 6).alias("dist"))
+    return paths.shortest_paths(_edges(spark, d), _queries(spark, d), places=_nodes(spark, d)).select("q", "src", "dst", F.round("dist", 6).alias("dist"))
 
 
 @reg.add("i7_i8_path_geometry")
 def i8(spark, d):
     e = view(spark, d, "fx_edges").select(c("seg").alias("edge_id"), "u", "v", F.array(_pt("x1", "y1"), _pt("x2", "y2")).alias("coords"))
-    found = paths.shortest_paths(_edges(spark, d), _queries(spark, d), with_path=True)
+    found = paths.shortest_paths(_edges(spark, d), _queries(spark, d), with_path=True, places=_nodes(spark, d))
     found = cut(found.where("reached").select("q", "src", "path"))
     return paths.path_geometry(found, e).join(found.select("q", F.size("path").alias("edges")), "q")
 
@@ -284,7 +284,7 @@ _OWN = _search("sp.q <> b.seg").replace(_Q, _OWN_Q)
 @reg.add("i12_replacements", _OWN + " select q.q as edge_id, sp.dist is not null as path_exists, round(sp.dist, 6) as replacement_m, round(sp.dist - e.len_m, 6) as added_m, round(sp.dist / e.len_m, 6) as ratio, sp.dist is null as lost from q join fx_edges e on e.seg = q.q left join sp on sp.q = q.q and sp.node = q.dst")
 def i12(spark, d):
     e = _edges(spark, d)
-    r = paths.replacements(e, e.where("u % 20 = 0").select("edge_id"))
+    r = paths.replacements(e, e.where("u % 20 = 0").select("edge_id"), places=_nodes(spark, d))
     return r.select("edge_id", "path_exists", F.round("replacement_m", 6).alias("replacement_m"), F.round("added_m", 6).alias("added_m"), F.round("ratio", 6).alias("ratio"), "lost")
 
 
