@@ -132,9 +132,9 @@ def _shingle_counts(docs: DataFrame, windows: list[Window], shingle: int) -> dic
     return {(r["size"], int(probe.keys[r["size"]][r["which"]])): r["n"] for r in rows}
 
 
-def _with_finds(docs: DataFrame, windows: list[Window], shingle: int) -> DataFrame:
-    """Extend ``spans`` and ``items`` of docs (row, text, n_words, spans, items) by the windows' occurrences."""
-    counts = _shingle_counts(docs.select("text"), windows, shingle)
+def _with_finds(docs: DataFrame, windows: list[Window], shingle: int, texts: DataFrame) -> DataFrame:
+    """Extend ``spans`` and ``items`` of docs (row, text, n_words, spans, items) by the windows' occurrences; ``texts`` are the same texts alone."""
+    counts = _shingle_counts(texts, windows, shingle)
     prefixes: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
     keys: dict[int, set[int]] = defaultdict(set)
     for w, (words, _) in enumerate(windows):
@@ -215,10 +215,12 @@ def contamination(
         F.lit(None).cast("array<struct<first: bigint, end: bigint>>").alias("spans"),
         F.lit(None).cast("array<string>").alias("items"),
     )
+    # counted over the texts as they came, so that a part's count does not run what the parts before it found
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     parts = max(1, -(-n // broadcast_windows), -(-(size or 0) // BROADCAST_BYTES))
     for part in range(parts):
         chosen = windows.where(F.pmod(F.xxhash64("words", "items"), F.lit(parts)) == part).collect()
-        work = _with_finds(work, [(tuple(w.encode() for w in r["words"]), sorted(r["items"])) for r in chosen], shingle)
+        work = _with_finds(work, [(tuple(w.encode() for w in r["words"]), sorted(r["items"])) for r in chosen], shingle, texts)
     return work
 
 

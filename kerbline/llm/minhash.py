@@ -100,10 +100,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables = cut(_tables(nodes))
     links, known = linked_components(_keys(tables.withColumn("label", F.lit(0)), True).select("key", "node", "n"), sets_of, similarity, part)
     known = cut(known).withColumnRenamed("component", "label")
-    labelled = tables.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = cut(tables.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")))
     others = _keys(labelled, False)
     open_ = others.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    more, _ = linked_components(others.join(open_, "key", "left_semi").select("key", "node", "n"), sets_of, similarity, part)
+    more, _ = linked_components(others.join(open_, "key", "left_semi").select("key", "node", "n"), sets_of, similarity, part, labelled.select("node", "label"))
     found = cut(components(links.unionByName(more)))
     of_node = nodes.join(found, "node", "left").select("h1", "h2", "smallest", F.coalesce("component", "node").alias("component"))
     smallest = of_node.groupBy("component").agg(F.min("smallest").alias("component_id"))

@@ -150,12 +150,21 @@ def _candidates(keyed: DataFrame, part: int) -> DataFrame:
 
 
 def _forest(nodes: np.ndarray, values: np.ndarray, ends: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[list, list]:
-    """Links that connect what the similar pairs connect, of all nodes or of those on different sides."""
+    """Links that connect what the similar pairs connect, of all nodes or of those on different sides.
+
+    Of two nodes on different sides one isn't on the largest, so searches begin at the others, those of the smallest sides first.
+    """
     size = np.diff(ends, prepend=0)
     owner = np.repeat(np.arange(len(nodes)), size)
     waiting = np.ones(len(nodes), bool)
     us, vs = [], []
-    for first in range(len(nodes)):
+    begins = np.arange(len(nodes))
+    if side is not None:
+        _, of, n = np.unique(side, return_inverse=True, return_counts=True)
+        largest = int(n.argmax())
+        begins = np.lexsort((of, n[of]))
+        begins = begins[of[begins] != largest]
+    for first in begins.tolist():
         if not waiting[first]:
             continue
         waiting[first] = False
@@ -180,28 +189,34 @@ def _forest(nodes: np.ndarray, values: np.ndarray, ends: np.ndarray, side: np.nd
 
 
 def _in_tasks(rows: DataFrame, by: list[str], similarity: float) -> DataFrame:
-    """Links of rows (by..., part, node, set); where a group has two parts, only links between them."""
+    """Links of rows (by..., part, node, set); where rows have a label, only links between labels, else where a group has two parts between these."""
+    named = "label" in rows.columns
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, part = table["node"].to_numpy(), table["part"].to_numpy()
+        node, part = table["node"].to_numpy(), table["label" if named else "part"].to_numpy()
         sets = table["set"].combine_chunks()
         values = sets.flatten().to_numpy().view(np.uint64)
         ends = np.cumsum(sets.value_lengths().to_numpy().astype(np.int64))
         u, v = _forest(node, values, ends, None if (part == part[0]).all() else part, similarity)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return rows.select(*dict.fromkeys([*by, "part", "node", "set"])).groupBy(*by).applyInArrow(run, "u long, v long")
+    return rows.select(*dict.fromkeys([*by, "part", "node", "set", *(["label"] if named else [])])).groupBy(*by).applyInArrow(run, "u long, v long")
 
 
-def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, part: int = PART) -> tuple[DataFrame, DataFrame]:
+def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, part: int = PART, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, components) of rows (key, node, n), whose nodes with one key are compared: links (u, v) connect what similar pairs connect.
 
-    ``sets_of`` gives (node, set) of the nodes in a column w. Components are (node, component), of each node that links to another.
+    ``sets_of`` gives (node, set) of the nodes in a column w. Components are (node, component), of each node that links to another. With
+    ``labels`` (node, label), a row for each node, only nodes of different labels are compared.
     """
     ordered = keyed.repartition(shuffle_partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
     found = cut(_candidates(ordered, part).distinct())
     pairs, large = found.where("kind = 0").select("u", "v"), found.where("kind = 1").select("key", "part", F.col("u").alias("node"))
+    if labels is not None:
+        a, b = (labels.select(F.col("node").alias(f"n{s}"), F.col("label").alias(f"l{s}")) for s in "ab")
+        pairs = cut(pairs.join(a, F.col("u") == F.col("na")).join(b, F.col("v") == F.col("nb")).where("la <> lb").select("u", "v"))
+        large = large.join(labels, "node")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("w")).unionByName(large.select(F.col("node").alias("w"))).distinct()
     sets = cut(sets_of(wanted))
     a, b = (sets.select(F.col("node").alias(f"n{s}"), F.col("set").alias(f"s{s}")) for s in "ab")
@@ -215,13 +230,13 @@ def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     links = cut(links.unionByName(_in_tasks(large.join(sets, "node"), ["key", "part"], similarity)))
     known = cut(components(links))
     # the parts of a key meet each other unless its nodes are one component already
-    labelled = large.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = large.select("key", "part", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = labelled.groupBy(F.col("key").alias("k")).agg(F.max("part").alias("last"), F.min("component").alias("x"), F.max("component").alias("y")).where("last > 0 and x <> y")
     open_ = cut(open_.select("k", "last"))
     if open_.isEmpty():
         return links, known
     dealt = large.join(open_, F.col("key") == F.col("k")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).where("other <> part")
-    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node")
+    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", *([] if labels is None else ["label"]))
     links = cut(links.unionByName(_in_tasks(dealt.join(sets, "node"), ["key", "lo", "hi"], similarity)))
     return links, components(links)
 
