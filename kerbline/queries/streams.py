@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from kerbline.operators.summaries import BASELINE
-from kerbline.queries.registry import Registry, table
+from kerbline.plans import model
+from kerbline.plans.checkpoint import fresh_path
+from kerbline.queries.registry import Registry, table, view
 from kerbline.streaming import feeds
 
 reg = Registry()
@@ -31,6 +33,16 @@ def j2(spark, d):
     return feeds.run_to_table(feeds.scored(s, rule), "messages").drop("_batch")
 
 
+@reg.add("j2_model_messages")
+def j2m(spark, d):
+    """A saved model over the feed's new restrictions, as the stream brings them."""
+    rows = view(spark, d, "fx_restrictions")
+    path = fresh_path(spark, "model")
+    model.training_job(rows, path, logistic=True)
+    feed = feeds.read_stream(spark, d, "orders").select("o_orderkey")
+    return feeds.scored_by_model(feed, path, lambda batch: rows.join(batch, rows["k"] == F.col("o_orderkey"), "left_semi"))
+
+
 @reg.add("j3_batch_status", "select 'ok' as status, count(*) as rows from events")
 def j3(spark, d):
     return feeds.batch_status(feeds.read_stream(spark, d, "events")).groupBy("status").agg(F.sum("rows").alias("rows"))
@@ -67,7 +79,7 @@ def j6(spark, d):
 
 @reg.add("j6_burst_stream")
 def j6s(spark, d):
-    s = feeds.burst_stream(feeds.read_stream(spark, d, "events"), "user_id", "ts", limit=3, window_s=86400.0)
+    s = feeds.burst_stream(feeds.read_stream(spark, d, "events", files=8), "user_id", "ts", limit=3, window_s=86400.0)
     return feeds.run_to_table(s, "bursts").drop("_batch")
 
 

@@ -13,14 +13,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from kerbline.plans.checkpoint import cut, fresh_path
 
 
-def read_stream(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` below ``path`` as a stream of its files."""
+def read_stream(spark: SparkSession, path: str, name: str, files: int | None = None) -> DataFrame:
+    """The Parquet table ``name`` below ``path`` as a stream of its files, up to ``files`` of them at a time."""
     schema = spark.read.parquet(f"{path}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{path}/{name}*")
+    reader = spark.readStream if files is None else spark.readStream.option("maxFilesPerTrigger", files)
+    return reader.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{path}/{name}*")
 
 
 def _folders(spark: SparkSession, name: str, place: str | None) -> tuple[str, str]:
@@ -73,6 +75,24 @@ def scored(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFr
     return s.select(F.lit("prediction").alias("type"), "restriction_id", F.col("prediction").alias("impact"), "confidence")
 
 
+def scored_by_model(stream: DataFrame, path: str, prepare: Callable[[DataFrame], DataFrame], place: str | None = None) -> DataFrame:
+    """Messages (type, restriction_id, impact, confidence) of each new restriction by the model saved at ``path``, which is loaded once; ``prepare``
+    makes a batch's restrictions. Label and confidence are the model's; a restriction that lacks a feature has no message."""
+    from kerbline.plans import model
+
+    spark = stream.sparkSession
+    out, checkpoint = _folders(spark, "messages", place)
+    fitted, _ = model.load(spark, path)
+    key = dict(prepare(spark.createDataFrame([], stream.schema)).dtypes)["restriction_id"]
+    _start(spark, f"type string, restriction_id {key}, impact string, confidence double", out)
+
+    def write(batch: DataFrame, number: int) -> None:
+        _keep(scored(prepare(batch), lambda rows: model.predict(fitted, model.features(rows))), out, number)
+
+    _run(stream, write, checkpoint)
+    return spark.read.parquet(out).drop("_batch")
+
+
 def batch_status(stream: DataFrame, place: str | None = None) -> DataFrame:
     """(batch, status, rows): one row for each batch; an error becomes a row too."""
     spark = stream.sparkSession
@@ -216,18 +236,48 @@ def _timed(events: DataFrame, key: str, ts: str) -> DataFrame:
     return rows.where("key is not null and at is not null")
 
 
-def burst_stream(stream: DataFrame, key: str, ts: str, limit: int = 240, window_s: float = 60.0) -> DataFrame:
-    """burst_flags of a stream: each key's state has the last ``limit`` times that passed. A batch's events are taken in order, those of
-    later batches as they come; a key's events of one batch are what a task holds, so batches are to be kept small by the source's limits."""
+class _Bursts(StatefulProcessor):
+    """Which of a key's events pass. Its state is a list of the last times that passed, and goes when the watermark has passed the window."""
+
+    def __init__(self, limit: int, window_s: float):
+        self.limit, self.window_s = limit, window_s
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.passed = handle.getListState("passed", "at double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = deque(x[0] for x in self.passed.get())
+        last = passed[-1] if passed else None
+        for frame in rows:  # a frame has a bounded number of rows, and no more are held
+            at = np.sort(frame["at"].to_numpy(), kind="stable")
+            accepted, wait = _accept(at, passed, self.limit, self.window_s)
+            last = float(at[-1]) if last is None else max(last, float(at[-1]))
+            yield pd.DataFrame({"key": key[0], "at": at, "accepted": accepted, "retry_after_s": wait})
+        self.passed.put([(float(x),) for x in passed])
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if last is not None:
+            self.handle.registerTimer(int((last + self.window_s) * 1000) + 1)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at = np.sort(np.concatenate([f["at"].to_numpy() for f in frames]), kind="stable")
-        passed = deque(state.get[0] if state.exists else [])
-        accepted, wait = _accept(at, passed, limit, window_s)
-        state.update(([*passed],))
-        yield pd.DataFrame({"key": key[0], "at": at, "accepted": accepted, "retry_after_s": wait})
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.passed.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "at": pd.Series([], dtype="float64"), "accepted": pd.Series([], dtype="bool"), "retry_after_s": pd.Series([], dtype="float64")})
 
-    return _timed(stream, key, ts).groupBy("key").applyInPandasWithState(run, _FLAGS, "passed array<double>", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def burst_stream(stream: DataFrame, key: str, ts: str, limit: int = 240, window_s: float = 60.0, late: str = "1 day") -> DataFrame:
+    """burst_flags of a stream: each key's state has the last ``limit`` times that passed, and a timer that removes it when the watermark, ``late``
+    behind the newest event, has passed the key's window. Events older than the watermark are left out.
+
+    A key's events of a batch come in frames of ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows; those of a frame are taken in order, frames
+    and batches as they come. The source's ``maxFilesPerTrigger`` bounds a batch.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = _timed(stream, key, ts).withColumn("time", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).withWatermark("time", late)
+    return timed.groupBy("key").transformWithStateInPandas(_Bursts(limit, window_s), _FLAGS, "Append", "eventTime")
 
 
 def prediction_feed(log: DataFrame, places: DataFrame, n: int = 20, place: str | None = None) -> DataFrame:
