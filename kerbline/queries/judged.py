@@ -300,6 +300,20 @@ def e23(spark, d):
     return summaries.classification_report(r.select(c("curr_impact").alias("truth"), F.when(c("k") % 4 == 0, "Low").otherwise(c("curr_impact")).alias("predicted")))
 
 
+@reg.add("e23_confusion", "select curr_impact as truth, count(*) filter (k % 4 = 0 or curr_impact = 'Low') as \"Low\", count(*) filter (k % 4 <> 0 and curr_impact = 'Medium') as \"Medium\", count(*) filter (k % 4 <> 0 and curr_impact = 'High') as \"High\" from fx_restrictions where curr_impact is not null group by 1")
+def e23c(spark, d):
+    r = view(spark, d, "fx_restrictions").where("curr_impact is not null")
+    return summaries.confusion(r.select(c("curr_impact").alias("truth"), F.when(c("k") % 4 == 0, "Low").otherwise(c("curr_impact")).alias("predicted")), ["Low", "Medium", "High"])
+
+
+@reg.add("k6_geographic_split", "with h as (select min(district) as held from fx_restrictions) select case when district = held then 'test' else 'train' end as part, count(*) as n, count(distinct district) as districts from fx_restrictions, h where district is not null group by 1")
+def k6g(spark, d):
+    rows = view(spark, d, "fx_restrictions").where("district is not null")
+    train, test = model.geographic_split(rows, [rows.agg(F.min("district")).first()[0]])
+    part = lambda df, name: df.agg(F.count("*").alias("n"), F.count_distinct("district").alias("districts")).select(F.lit(name).alias("part"), "n", "districts")
+    return part(train, "train").unionByName(part(test, "test"))
+
+
 def _parts(spark, d):
     """Rows before and after the turn of a year, with every feature and a part of their own each."""
     return model.temporal_split(model.features(view(spark, d, "fx_restrictions")), 1999)
