@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.plans.checkpoint import cut
+from kerbline.plans.ranks import numbered
+
 
 def distributions(records: DataFrame, columns: list[str]) -> DataFrame:
     """(field, value, n) for each of the columns, in one pass; (null field, null value, n) counts all rows."""
@@ -30,15 +33,31 @@ def crosstab(records: DataFrame, a: str, b: str) -> DataFrame:
 QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
+def exact_quantiles(values: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(by, one column for each quantile) of rows (by, value): interpolated linearly, over all values that aren't null.
+
+    The values are sorted by ranges and counted by range, which gives each its place; then the places next to a quantile are picked. So no task
+    holds more than its range, however many values a group has. What is broadcast is a row for each group and quantile; groups are few.
+    """
+    rows = numbered(values.where(F.col(value).isNotNull()).select(by, value), [F.col(by), F.col(value)], "place", 0)
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    at = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("n") - 1)).alias("at")) for name, q in quantiles.items()])
+    wanted = cut(sizes.select("_by", "first", F.inline(at)))
+    low, high = F.floor("at"), F.ceil("at")
+    ends = wanted.select("_by", "name", "at", F.explode(F.array_distinct(F.array(low, high))).alias("k"), (F.col("first") + F.col("k")).alias("wanted"))
+    picked = rows.join(F.broadcast(ends), (F.col(by) == F.col("_by")) & (F.col("place") == F.col("wanted")))
+    weight = F.when(low == high, 1.0).when(F.col("k") == low, high - F.col("at")).otherwise(F.col("at") - low)
+    found = picked.groupBy(by, "name").agg(F.sum(F.col(value) * weight).alias("v"))
+    return found.groupBy(by).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in quantiles])
+
+
 def distribution_summary(records: DataFrame, metrics: list[str]) -> DataFrame:
-    """(metric, count, missing, min, mean, p25 ... p99, max), quantiles interpolated linearly."""
+    """(metric, count, missing, min, mean, p25 ... p99, max), quantiles exact and interpolated linearly."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
-    q = F.percentile("v", F.array(*[F.lit(x) for x in QUANTILES.values()]))
-    out = records.select(F.inline(pairs)).groupBy("metric").agg(
-        F.count("v").alias("count"), F.count_if(F.col("v").isNull()).alias("missing"), F.min("v").alias("min"),
-        F.avg("v").alias("mean"), q.alias("q"), F.max("v").alias("max"),
-    )
-    return out.select("metric", "count", "missing", "min", "mean", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(QUANTILES)], "max")
+    values = records.select(F.inline(pairs))
+    out = values.groupBy("metric").agg(F.count("v").alias("count"), F.count_if(F.col("v").isNull()).alias("missing"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
+    found = exact_quantiles(values, "metric", "v", QUANTILES).withColumnRenamed("metric", "_metric")
+    return out.join(found, F.col("metric") == F.col("_metric"), "left").select("metric", "count", "missing", "min", "mean", *QUANTILES, "max")
 
 
 def match_summary(restrictions: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
