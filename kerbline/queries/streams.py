@@ -26,6 +26,13 @@ def j1(spark, d):
     return feeds.ingest_snapshots(s)
 
 
+@reg.add("j1_interval_ingest")
+def j1i(spark, d):
+    """Polls of each source count once in 90 days."""
+    s = feeds.read_stream(spark, d, "orders").select(c("o_custkey").alias("source"), F.sha2("o_orderpriority", 256).alias("sha256"), c("o_orderdate").cast("timestamp").alias("at"))
+    return feeds.ingest_snapshots(s, at="at", interval_s=90 * 86400.0).select("source", "sha256")
+
+
 @reg.add("j2_scored_messages", "select 'prediction' as type, o_orderkey as restriction_id, case when o_totalprice > 250000 then 'High' else 'Low' end as impact, 0.5e0 as confidence from orders")
 def j2(spark, d):
     s = feeds.read_stream(spark, d, "orders").withColumnRenamed("o_orderkey", "restriction_id")

@@ -55,15 +55,33 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", place: str
     return spark.read.parquet(out)
 
 
-def ingest_snapshots(stream: DataFrame, key: str = "source", sha: str = "sha256", place: str | None = None) -> DataFrame:
-    """Append each payload whose hash its source has not had yet; the manifest table is the state."""
+def ingest_snapshots(stream: DataFrame, key: str = "source", sha: str = "sha256", place: str | None = None, at: str | None = None, interval_s: float | None = None) -> DataFrame:
+    """Append each payload whose hash its source has not had yet; the manifest table is the state.
+
+    With ``at`` (a poll's time) and ``interval_s`` a poll counts only if that long has passed since the last one of its source that counted;
+    others write nothing. Polls that counted are a table beside the manifest, changed payload or not; those without source or time don't count.
+    """
     spark = stream.sparkSession
     out, checkpoint = _folders(spark, "manifest", place)
+    polls = f"{out}-polls"
     _start(spark, stream.schema, out)
+    if at is not None:
+        _start(spark, "poll_key long, poll_at double", polls)
+
+    def due(batch: DataFrame, number: int) -> DataFrame:
+        timed = batch.withColumns({"poll_key": F.xxhash64(key), "poll_at": F.unix_micros(F.col(at).cast("timestamp")) / 1e6}).where(F.col(key).isNotNull() & F.col(at).isNotNull())
+        last = spark.read.parquet(polls).where(F.col("_batch") < number).groupBy("poll_key").agg(F.max("poll_at").alias("poll_at"))
+        every = timed.select("poll_key", "poll_at").unionByName(last).select("poll_key", F.timestamp_micros((F.col("poll_at") * 1e6).cast("long")).alias("t"))
+        counted = cut(burst_flags(every.distinct(), "poll_key", "t", 1, interval_s).where("accepted").select(F.col("key").alias("_ck"), F.col("at").alias("_ct")))
+        found = cut(timed.join(counted, (F.col("poll_key") == F.col("_ck")) & (F.col("poll_at") == F.col("_ct")), "left_semi").join(last.select(F.col("poll_key").alias("_k"), F.col("poll_at").alias("_before")), F.col("poll_key") == F.col("_k"), "left"))
+        found = found.where("_before is null or poll_at > _before").drop("_k", "_before")
+        _keep(found.select("poll_key", "poll_at").distinct(), polls, number)
+        return found.drop("poll_key", "poll_at")
 
     def write(batch: DataFrame, number: int) -> None:
         seen = spark.read.parquet(out).where(F.col("_batch") < number).select(key, sha).distinct()
-        _keep(batch.dropDuplicates([key, sha]).join(seen, [key, sha], "left_anti"), out, number)
+        new = batch if at is None else due(batch, number)
+        _keep(new.dropDuplicates([key, sha]).join(seen, [key, sha], "left_anti"), out, number)
 
     _run(stream, write, checkpoint)
     return spark.read.parquet(out).drop("_batch")

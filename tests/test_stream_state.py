@@ -39,3 +39,14 @@ def test_the_stream_scores_as_the_batch_does(spark, sf):
     assert len(got) == len(want) > 0
     for r in want:
         assert got[r["restriction_id"]]["impact"] == r["prediction"] and got[r["restriction_id"]]["confidence"] == pytest.approx(r["confidence"], abs=1e-6)
+
+
+def test_a_poll_within_the_interval_writes_nothing(spark):
+    folder, place = fresh_path(spark, "polls-in"), fresh_path(spark, "polls")
+    # (source, hash, second); a source's unchanged payload counts as a poll, one that came too soon does not
+    files = [[("a", "h1", 1000), ("a", "h2", 1030), ("b", "h1", 1000)], [("a", "h3", 1059), ("b", "h1", 1060)], [("a", "h4", 1061), ("b", "h2", 1119), (None, "h9", 5000)], [("b", "h5", 1120), ("a", "h6", 1100)]]
+    found = []
+    for rows in files:
+        spark.createDataFrame(rows, "source string, sha256 string, s long").selectExpr("source", "sha256", "timestamp_seconds(s) as at").coalesce(1).write.mode("append").parquet(f"{folder}/polls.parquet")
+        found = feeds.ingest_snapshots(feeds.read_stream(spark, folder, "polls", files=1), place=place, at="at", interval_s=60.0).collect()
+    assert sorted((r["source"], r["sha256"]) for r in found) == [("a", "h1"), ("a", "h4"), ("b", "h1"), ("b", "h5")]
