@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbline.plans.ranks import numbered
+from kerbline.plans.checkpoint import fresh_path
+from kerbline.plans.ranks import ROW_BITS, numbered
+
+#: Ranges of a page index: the rows of one for each of them come to the driver.
+RANGES = 1024
 
 
 def filtered(records: DataFrame, **equal) -> DataFrame:
@@ -16,12 +22,61 @@ def filtered(records: DataFrame, **equal) -> DataFrame:
     return records
 
 
+def index_pages(records: DataFrame, order: str = "restriction_id", folder: str | None = None, ranges: int | None = None) -> str:
+    """Write ``records`` so that pages in the order of a column can be read from any place, and return the folder.
+
+    The rows are dealt into up to ``ranges`` ranges (unset: as many as a shuffle has partitions, RANGES at most) of (order, then all that can be ordered), each a folder of its own whose rows are sorted and have
+    their ``_row`` in the range, from 0; beside them stands the index, the rows of each range. Nulls come first, ties have a fixed order.
+    """
+    spark = records.sparkSession
+    folder = folder or fresh_path(spark, "pages")
+    ranges = ranges or min(int(spark.conf.get("spark.sql.shuffle.partitions")), RANGES)
+    ties = [F.col(f"`{n}`") for n, t in records.dtypes if n != order and not t.startswith(("map", "variant"))]
+    key = [F.col(f"`{order}`"), *ties]
+    dealt = records.repartitionByRange(ranges, *key).sortWithinPartitions(*key)
+    dealt = dealt.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))})
+    dealt.sortWithinPartitions("_range", "_row").write.partitionBy("_range").parquet(f"{folder}/rows")
+    dealt.limit(0).write.parquet(f"{folder}/columns")
+    _rows(spark, folder).groupBy("_range").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{folder}/index")
+    return folder
+
+
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    columns = spark.read.parquet(f"{folder}/columns").schema
+    return spark.read.schema(columns).parquet(f"{folder}/rows")
+
+
+def indexed_page(spark: SparkSession, folder: str, offset: int = 0, limit: int = 25, **equal) -> DataFrame:
+    """The page ``page`` gives, from a folder that ``index_pages`` wrote, in order.
+
+    Only the ranges that hold a part of the page are read: their folders, and without a filter only the row groups with the rows. With one, the
+    rows that pass are counted for each range first, which reads the filter's columns alone. What comes to the driver is a row for each range.
+    """
+    rows = _rows(spark, folder)
+    wanted = {k: v for k, v in equal.items() if v is not None}
+    counts = filtered(rows, **wanted).groupBy("_range").agg(F.count("*").alias("n")) if wanted else spark.read.parquet(f"{folder}/index")
+    total, chosen = 0, []
+    for r in sorted(counts.collect()):
+        if r["n"] and total < offset + limit and total + r["n"] > offset:
+            chosen.append((r["_range"], total))
+        total += r["n"]
+    if not chosen:
+        return rows.where(F.lit(False)).drop("_range", "_row").withColumns({"total": F.lit(total).cast("long"), "pages": F.ceil(F.lit(total) / limit)})
+    before = F.create_map(*[F.lit(x) for pair in chosen for x in pair])[F.col("_range")]
+    here = filtered(rows.where(F.col("_range").isin([r for r, _ in chosen])), **wanted)
+    if wanted:
+        at = F.row_number().over(Window.partitionBy("_range").orderBy("_row")) - 1 + before
+        here = here.withColumn("_at", at).where(F.col("_at").between(offset, offset + limit - 1)).drop("_at")
+    else:
+        parts = [(F.col("_range") == r) & F.col("_row").between(offset - n, offset + limit - 1 - n) for r, n in chosen]
+        here = here.where(reduce(lambda x, y: x | y, parts))
+    return here.orderBy("_range", "_row").drop("_range", "_row").withColumns({"total": F.lit(total).cast("long"), "pages": F.ceil(F.lit(total) / limit)})
+
+
 def page(records: DataFrame, offset: int = 0, limit: int = 25, order: str = "restriction_id", **equal) -> DataFrame:
-    """One page of the filtered list, with the number of all rows that pass and of all pages."""
-    kept = filtered(records, **equal)
-    total = kept.agg(F.count("*").alias("total"))
-    rows = kept.orderBy(order).offset(offset).limit(limit)
-    return rows.crossJoin(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / limit))  # total is one row
+    """One page of the filtered list, with the number of all rows that pass and of all pages. Writes an index of the rows that pass; where more
+    than one page is wanted, ``index_pages`` keeps one."""
+    return indexed_page(records.sparkSession, index_pages(filtered(records, **equal), order), offset, limit)
 
 
 def search(records: DataFrame, fields: list[str], query: str = "", sort_key: str = "restriction_id", descending: bool = False, **equal) -> DataFrame:

@@ -91,11 +91,31 @@ def exact_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def geometry_quality(rows: DataFrame) -> DataFrame:
-    """One row over (geom_type, parts, error, blob): counts by type, null, failed, duplicate blobs and the share that is valid."""
-    of = lambda t: F.count_if(F.col("geom_type") == t)
-    out = rows.agg(F.count("*").alias("n"), of("LineString").alias("lines"), of("MultiLineString").alias("multilines"), F.count_if(F.col("blob").isNull()).alias("null_blobs"),
-                   F.count_if(F.col("error").isNotNull()).alias("failed"), (F.count("blob") - F.count_distinct(F.sha2("blob", 256))).alias("duplicates"))
-    return out.withColumn("valid_percent", _percent(F.col("lines") + F.col("multilines"), F.col("n")))
+    """One row over decoded blobs (geom_type, parts, error, blob): counts by type, null and empty blobs, those that can't be read, invalid ones,
+    repeats of a blob, the valid ones with their share, and the extent of these.
+
+    A geometry is valid if it has a line, each line has two points or more, and all coordinates are finite; one that can't be read is invalid too.
+    Crossing itself makes no line invalid. Of an empty table the counts are 0 and the extent is null.
+    """
+    kind = lambda t: F.count_if(F.col("geom_type") == t)
+    empty = F.coalesce(F.col("error") == "empty", F.lit(False))
+    there, failed = F.col("blob").isNotNull(), F.coalesce(F.col("error").isNotNull(), F.lit(False)) & ~empty
+    finite = lambda v: (F.abs(v) < F.lit(float("inf")))
+    whole = (F.size("parts") > 0) & ~F.exists("parts", lambda line: (F.size(line) < 2) | F.exists(line, lambda p: ~(finite(p["x"]) & finite(p["y"]))))
+    valid = there & F.col("parts").isNotNull() & whole
+    all_points = F.when(F.col("_valid"), F.flatten("parts"))
+    edge = lambda f, axis: f(all_points if axis is None else F.transform(all_points, lambda p: p[axis]))
+    marked = rows.select("geom_type", "error", "blob", "parts", F.coalesce(valid, F.lit(False)).alias("_valid"))
+    marked = marked.select("geom_type", "error", "blob", "_valid", *[edge(f, axis).alias(f"_{n}") for n, f, axis in (("west", F.array_min, "x"), ("south", F.array_min, "y"), ("east", F.array_max, "x"), ("north", F.array_max, "y"))])
+    invalid = there & ~empty & ~F.col("_valid")
+    out = marked.agg(
+        F.count("*").alias("n"), kind("LineString").alias("lines"), kind("MultiLineString").alias("multilines"), F.count_if(~there).alias("null_blobs"), F.count_if(there & empty).alias("empty"),
+        F.count_if(there & failed).alias("failed"), F.count_if(invalid).alias("invalid"), F.count_if("_valid").alias("valid"),
+        F.min("_west").alias("west"), F.min("_south").alias("south"), F.max("_east").alias("east"), F.max("_north").alias("north"),
+    )
+    # repeats of a blob are counted by its hash, so that a blob that stands in a third of all rows is summed before it is shuffled
+    repeats = rows.where("blob is not null").groupBy(F.sha2("blob", 256).alias("h")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    return out.crossJoin(F.broadcast(repeats)).withColumn("valid_percent", _percent(F.col("valid"), F.col("n")))  # one row each
 
 
 def identifier_fields(profile: DataFrame, total_field: str = "count") -> DataFrame:

@@ -1,7 +1,7 @@
 """Spatial joins on grid cells.
 
-Every path is cut into two-point pieces. A piece is listed under each cell that its box touches, one side's box grown by the largest distance
-asked for; pieces meet on equal cells, once (in the first cell that both are listed under), and then the exact test decides.
+Every path is cut into two-point pieces, and long pieces into parts. A part is listed under each cell that its box touches, one side's box grown
+by the largest distance asked for; parts meet on equal cells, once, and then the exact test decides. Crowded cells are split.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from kerbline.functions import geo
 
 METRIC_CRS, SOURCE_CRS = "EPSG:26917", "EPSG:4326"
 THRESHOLDS = (2.0, 5.0, 10.0)
+#: Pairs of parts that a cell may hold before it is split into FINER by FINER cells.
+CROWDED, FINER = 1_000_000, 4
 
 
 # EPSG's codes of projected systems whose axes are in metres, as ranges of UTM and state or national grids and single ones.
@@ -46,29 +48,75 @@ def refused(rows: DataFrame) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, key: str, prefix: str, grow: float, size: float) -> DataFrame:
-    """One row per piece and cell of rows (key, path); a single point is a piece of no length."""
+    """One row per part of a piece and cell (i, j) of rows (key, path); a single point is a piece of no length,
+    and one without finite ends is near nothing.
+
+    Pieces longer than a cell are cut into parts no longer than that, so a long diagonal is listed where it runs and not all over its box. A part
+    keeps the ends of its piece for the exact test, and the corners of its own box, grown by ``grow``.
+    """
     n = F.size("path")
     ends = F.zip_with(F.when(n > 1, F.slice("path", 1, n - 1)).otherwise(F.col("path")), F.when(n > 1, F.slice("path", 2, n - 1)).otherwise(F.col("path")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     p = rows.where("size(path) > 0").select(key, F.explode(ends).alias("e")).select(
         key, F.col("e.a.x").cast("double").alias(f"{prefix}ax"), F.col("e.a.y").cast("double").alias(f"{prefix}ay"), F.col("e.b.x").cast("double").alias(f"{prefix}bx"), F.col("e.b.y").cast("double").alias(f"{prefix}by")
     )
-    low = lambda c: geo.cell(F.least(f"{prefix}a{c}", f"{prefix}b{c}") - grow, F.lit(size))
-    high = lambda c: geo.cell(F.greatest(f"{prefix}a{c}", f"{prefix}b{c}") + grow, F.lit(size))
-    return (
-        p.withColumns({f"{prefix}i": low("x"), f"{prefix}j": low("y"), "hi": high("x"), "hj": high("y")})
-        .withColumn("i", F.explode(F.sequence(f"{prefix}i", "hi"))).withColumn("j", F.explode(F.sequence(f"{prefix}j", "hj"))).drop("hi", "hj")
-    )
+    span = F.greatest(*[F.abs(F.col(f"{prefix}b{c}") - F.col(f"{prefix}a{c}")) for c in "xy"])
+    p = p.where(span < float("inf")).withColumn("parts", F.greatest(F.lit(1), F.ceil(span / size))).withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"))))
+
+    def at(c, k):
+        a, b = F.col(f"{prefix}a{c}"), F.col(f"{prefix}b{c}")
+        return F.when(k == 0, a).when(k == F.col("parts"), b).otherwise(a + (b - a) * k / F.col("parts"))
+
+    corners = {}
+    for c in "xy":
+        here, there = at(c, F.col("part") - 1), at(c, F.col("part"))
+        slack = F.when(F.col("parts") > 1, F.abs(here) * F.lit(1e-12)).otherwise(F.lit(0.0))  # what rounding moves a cut by
+        corners |= {f"{prefix}l{c}": F.least(here, there) - grow - slack, f"{prefix}h{c}": F.greatest(here, there) + grow + slack}
+    p = p.withColumns(corners).drop("parts", "part")
+    return _listed(p, prefix, size)
+
+
+def _listed(parts: DataFrame, prefix: str, size: float, inside: bool = False) -> DataFrame:
+    """One row per part and cell that its box touches; with ``inside``, only the cells within the row's cell (i, j) of FINER times the size."""
+    for k, c in (("i", "x"), ("j", "y")):
+        low, high = geo.cell(F.col(f"{prefix}l{c}"), F.lit(size)), geo.cell(F.col(f"{prefix}h{c}"), F.lit(size))
+        if inside:
+            low, high = F.greatest(low, F.col(k) * FINER), F.least(high, F.col(k) * FINER + (FINER - 1))
+        parts = parts.withColumn(k, F.explode(F.sequence(low, high)))
+    return parts
+
+
+def _tested(a: DataFrame, b: DataFrame, left_key: str, right_key: str, size: float) -> DataFrame:
+    """(left_key, right_key, distance) of the parts that meet, each two of them in one cell: that of the lower corner their boxes share."""
+    first = lambda k, c: F.col(k) == F.greatest(geo.cell(F.col(f"ll{c}"), F.lit(size)), geo.cell(F.col(f"rl{c}"), F.lit(size)))
+    met = a.join(b, ["i", "j"]).where(first("i", "x") & first("j", "y"))
+    names = [f"{s}{e}{c}" for s in "lr" for e in "ab" for c in "xy"]
+    return geo.with_piece_distance(met, *names).select(left_key, right_key, "distance")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, within: float, cell: float | None = None, crowded: int = CROWDED) -> DataFrame:
+    """(left_key, right_key, distance) of all pairs of paths at most ``within`` apart; distance 0 if they touch or cross.
 
+    A cell in which more than ``crowded`` pairs of parts would meet is split into FINER by FINER ones, and these again, while cells are wider
+    than ``within`` and a metre. Two parts meet in the one smallest cell that holds the lower corner of what their boxes share, at any depth,
+    so a pair is neither lost nor tested twice. Counting the cells is one aggregate over both sides; the crowded ones are a joined table.
+    """
+    from kerbline.plans.checkpoint import cut
 
-def near_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, within: float, cell: float | None = None) -> DataFrame:
-    """(left_key, right_key, distance) of all pairs of paths at most ``within`` apart; distance 0 if they touch or cross."""
     size = cell or max(50.0, 2 * within)
-    a, b = _pieces(left, left_key, "l", within, size), _pieces(right, right_key, "r", 0.0, size)
-    met = a.join(b, ["i", "j"]).where((F.col("i") == F.greatest("li", "ri")) & (F.col("j") == F.greatest("lj", "rj")))
-    names = [f"{s}{e}{c}" for s in "lr" for e in "ab" for c in "xy"]
+    a, b, tested = _pieces(left, left_key, "l", within, size), _pieces(right, right_key, "r", 0.0, size), []
+    while size / FINER >= max(within, 1.0):
+        full = a.groupBy("i", "j").agg(F.count("*").alias("n")).join(b.groupBy("i", "j").agg(F.count("*").alias("m")), ["i", "j"]).where(F.col("n") * F.col("m") > crowded)
+        full = cut(full.select("i", "j"))
+        if full.isEmpty():
+            break
+        tested.append(_tested(a.join(full, ["i", "j"], "left_anti"), b, left_key, right_key, size))
+        size /= FINER
+        a, b = _listed(a.join(full, ["i", "j"], "left_semi"), "l", size, True), _listed(b.join(full, ["i", "j"], "left_semi"), "r", size, True)
+    found = _tested(a, b, left_key, right_key, size)
+    for rows in tested:
+        found = found.unionByName(rows)
     # the filter stands after the minimum: pushed below it, the long expression would be evaluated twice
-    nearest_ = geo.with_piece_distance(met, *names).groupBy(left_key, right_key).agg(F.min("distance").alias("distance"))
-    return nearest_.where(F.col("distance") <= within)
+    return found.groupBy(left_key, right_key).agg(F.min("distance").alias("distance")).where(F.col("distance") <= within)
 
 
 def match_candidates(restrictions: DataFrame, segments: DataFrame, thresholds: Iterable[float] = THRESHOLDS, crs: str = METRIC_CRS) -> DataFrame:
@@ -203,3 +251,9 @@ def network_nearby(restrictions: DataFrame, segments: DataFrame, metres: float =
     pairs = near_pairs(restrictions, segments, "restriction_id", "segment_id", metres).join(segments.select("segment_id", "len_m"), "segment_id")
     n = pairs.groupBy("restriction_id").agg(F.count("*").alias("edges"), F.sum("len_m").alias("length_m"))
     return restrictions.select("restriction_id").join(n, "restriction_id", "left").na.fill({"edges": 0, "length_m": 0.0})
+
+
+def nearby_by(found: DataFrame, records: DataFrame, field: str) -> DataFrame:
+    """(value, restrictions, mean_edges, mean_length_m) of ``network_nearby``'s rows by a field of their records; unknown ones under null."""
+    rows = found.join(records.select("restriction_id", F.col(field).alias("value")), "restriction_id", "left")
+    return rows.groupBy("value").agg(F.count("*").alias("restrictions"), F.avg("edges").alias("mean_edges"), F.avg("length_m").alias("mean_length_m"))

@@ -40,7 +40,8 @@ def a2(spark, d):
 
 @reg.add("a3_feature_scan", "select k::varchar as segment_id, 'LineString' as geom_type from fx_nodes where k % 5 in (0, 1, 2)")
 def a3(spark, d):
-    from kerbline.sources.geopackage import decoded, encoded_lines
+    from kerbline.queries.blobs import encoded_lines
+    from kerbline.sources.geopackage import decoded
 
     rows = decoded(encoded_lines(view(spark, d, "fx_nodes").select("k", "x", "y")))
     return rows.where("geom_type = 'LineString'").select(c("k").cast("string").alias("segment_id"), "geom_type")

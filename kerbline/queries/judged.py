@@ -224,12 +224,30 @@ def l6(spark, d):
 
 @reg.add("b9_l8_geometry_blobs", "select count(*) as n, count(*) filter (k % 5 in (0, 1, 2)) as lines, count(*) filter (k % 5 = 3) as multilines, 0::bigint as null_blobs, count(*) filter (k % 5 = 4) as failed from fx_nodes")
 def l8(spark, d):
-    from kerbline.sources.geopackage import decoded, encoded_lines
+    from kerbline.queries.blobs import encoded_lines
+    from kerbline.sources.geopackage import decoded
 
     rows = encoded_lines(view(spark, d, "fx_nodes").select("k", "x", "y"))
     return profile.geometry_quality(decoded(rows)).select("n", "lines", "multilines", "null_blobs", "failed")
 
 
+@reg.add("l8_geometry_quality", """
+with b as (select case when k % 7 = 0 then 'none' when k % 11 = 0 then 'empty' when k % 5 = 4 then 'cut' when k % 13 = 0 then 'point' when k % 17 = 0 then 'far' when k % 5 = 3 then 'two' else 'one' end as kind,
+                  case when k % 3 = 0 then 0 else x end::double as px, case when k % 3 = 0 then 0 else y end::double as py from fx_nodes)
+select count(*) as n, count(*) filter (kind in ('one', 'point', 'far')) as lines, count(*) filter (kind = 'two') as multilines, count(*) filter (kind = 'none') as null_blobs, count(*) filter (kind = 'empty') as empty,
+  count(*) filter (kind = 'cut') as failed, count(*) filter (kind in ('cut', 'point', 'far')) as invalid, count(*) filter (kind in ('one', 'two')) as valid,
+  min(px) filter (kind in ('one', 'two')) as west, min(py) filter (kind in ('one', 'two')) as south, max(px + 1) filter (kind in ('one', 'two')) as east, max(py + 1) filter (kind in ('one', 'two')) as north,
+  count(*) filter (kind <> 'none') - count(distinct case when kind = 'empty' then 'empty' when kind <> 'none' then concat(kind, ' ', px, ' ', py) end) as duplicates,
+  round(count(*) filter (kind in ('one', 'two')) * 100e0 / count(*), 4) as valid_percent from b""")
+def l8_whole(spark, d):
+    from kerbline.queries.blobs import mixed_blobs
+    from kerbline.sources.geopackage import decoded
+
+    third = c("k") % 3 == 0
+    points = view(spark, d, "fx_nodes").select("k", *[F.when(third, 0).otherwise(c(n)).alias(n) for n in "xy"])
+    return profile.geometry_quality(decoded(mixed_blobs(points)))
+
+
 # ---- model ----
 
 @reg.add("k1_features", "select restriction_id, case when curr_impact = 'Medium' then 'Low' else curr_impact end as target, (epoch_ms(end_ts) - epoch_ms(start_ts)) / 86400000e0 as duration_days, year(start_ts)::int as year, (isodow(start_ts) - 1)::int as weekday, month(start_ts)::int as month, case when isodow(start_ts) >= 6 then 1 else 0 end as weekend, round(sqrt(pow((lat - 43.6532e0) * 111, 2) + pow((lon + 79.3832e0) * 111 * cos(radians(lat)), 2)), 9) as centre_km from fx_restrictions")

@@ -566,6 +566,22 @@ def g1(spark, d):
     return listing.page(view(spark, d, REC), 0, 25, impact_severity="HIGH").select("pages", "total").distinct()
 
 
+@reg.add("g1_last_page", """
+with r as (select restriction_id, impact_severity, row_number() over (order by restriction_id) - 1 as pl, count(*) over () as total from fx_records)
+select restriction_id, impact_severity, total, ceil(total / 25)::bigint as pages from r where pl >= 25 * ((total - 1) // 25)
+union all
+(with f as (select restriction_id, impact_severity, row_number() over (order by restriction_id) - 1 as pl, count(*) over () as total from fx_records where impact_severity = 'LOW')
+select restriction_id, impact_severity, total, ceil(total / 25)::bigint from f where pl >= 25 * ((total - 1) // 25))""")
+def g1_last(spark, d):
+    folder = listing.index_pages(view(spark, d, REC))
+    out = None
+    for equal in ({}, {"impact_severity": "LOW"}):
+        n = listing.indexed_page(spark, folder, 0, 1, **equal).first()
+        last = listing.indexed_page(spark, folder, 25 * ((n["total"] - 1) // 25) if n else 0, 25, **equal).select("restriction_id", "impact_severity", "total", "pages")
+        out = last if out is None else out.unionByName(last)
+    return out
+
+
 @reg.add("g3_by_count", "select evidence_confidence as value, count(*) as n, row_number() over (order by count(*) desc, evidence_confidence)::int as place from fx_records group by 1")
 def g3(spark, d):
     return summaries.top_values(view(spark, d, REC), {"evidence_confidence": 100}).drop("field")

@@ -93,6 +93,12 @@ def d17(spark, d):
     return spatial.network_nearby(_sites(spark, d), _segments(spark, d)).select("restriction_id", "edges", F.round("length_m", 6).alias("length_m"))
 
 
+@reg.add("d17_by_impact", f"with p as ({_pairs_sql(100)}), n as (select restriction_id, count(*) as edges, sum(len_m) as length_m from p where distance <= 100 group by 1) select r.curr_impact as value, count(*) as restrictions, round(avg(coalesce(edges, 0)), 6) as mean_edges, round(avg(coalesce(length_m, 0)), 6) as mean_length_m from fx_sites s left join n using (restriction_id) left join fx_restrictions r using (restriction_id) group by 1")
+def d17_by_impact(spark, d):
+    found = spatial.nearby_by(spatial.network_nearby(_sites(spark, d), _segments(spark, d)), view(spark, d, "fx_restrictions"), "curr_impact")
+    return found.select("value", "restrictions", F.round("mean_edges", 6).alias("mean_edges"), F.round("mean_length_m", 6).alias("mean_length_m"))
+
+
 @reg.add("d7_last_part", "select s.seg as segment_id, (case when u % 10 = 0 then 1 else 0 end)::int as part, (case when u % 10 = 0 then 2 else 1 end)::bigint as part_count from fx_edges s")
 def d7(spark, d):
     e = view(spark, d, "fx_edges")

@@ -83,19 +83,3 @@ def decoded(rows: DataFrame) -> DataFrame:
 
     schema = rows.withColumns({"geom_type": F.lit(None).cast("string"), "parts": F.lit(None).cast(PARTS), "error": F.lit(None).cast("string")}).schema
     return rows.mapInArrow(run, schema)
-
-
-def encoded_lines(points: DataFrame) -> DataFrame:
-    """Blobs (k, blob) made from points (k, x, y): lines, two-part lines and, where k mod 5 is 4, damaged ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k, x, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                line = struct.pack("<BII4d", 1, LINE, 2, x, y, x + 1, y + 1)
-                body = struct.pack("<BII", 1, MULTILINE, 2) + line + line if k % 5 == 3 else line
-                blob = MAGIC + struct.pack("<BBi", 0, 1, 4326) + body
-                out.append(blob[:-3] if k % 5 == 4 else blob)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["k", "blob"])
-
-    return points.select("k", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInArrow(run, "k long, blob binary")
