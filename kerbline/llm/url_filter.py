@@ -1,6 +1,6 @@
 """URL filtering by rules and by a path-template tree that is learned from labelled pages.
 
-Per host, the tree is built from the root, one path segment at a time, to the last segment of the longest path. Under a node,
+Per host, the tree is built from the root, one branching at a time, to the last segment of each path. Under a node,
 segments with digits become a wildcard. A child whose share of bad labels can't be told from its siblings' merges with the wildcard
 too, however many or few they are. The children that can are merged with one another where their shares are alike: those whose
 shares fall into one of BINS bins, and neighbouring bins that can't be told apart. Such a branch is called by its first child's name
@@ -61,6 +61,21 @@ def _apart(b1: Column, n1: Column, b2: Column, n2: Column, min_z: float) -> Colu
     return gap * gap > F.lit(min_z * min_z) * (pooled * (1 - pooled) * (1 / (n1 + 2) + 1 / (n2 + 2)))
 
 
+def _few(min_z: float) -> int:
+    """The most labels, MIN_LABELS at most, that can be dealt to two children in no way that tells these apart; -1 if there is no such number."""
+
+    def apart(b1, n1, b2, n2):
+        pooled, gap = (b1 + b2 + 1) / (n1 + n2 + 2), (b1 + 1) / (n1 + 2) - (b2 + 1) / (n2 + 2)
+        return gap * gap > min_z * min_z * pooled * (1 - pooled) * (1 / (n1 + 2) + 1 / (n2 + 2))
+
+    ok = -1
+    for n in range(MIN_LABELS + 1):
+        if any(apart(b1, n1, b2, n - n1) for n1 in range(n + 1) for b1 in range(n1 + 1) for b2 in range(n - n1 + 1)):
+            break
+        ok = n
+    return ok
+
+
 def _merged(named: DataFrame, min_z: float) -> DataFrame:
     """(host, template, bin, as): the names of merged branches of the children (host, template, seg, c_labelled, c_bad, bin) that stand out."""
     c = F.col
@@ -76,44 +91,62 @@ def _merged(named: DataFrame, min_z: float) -> DataFrame:
 def template_tree(urls: DataFrame, min_z: float = MIN_Z) -> DataFrame:
     """(host, path, template) for each distinct (host, path) of ``urls`` (host, path, labelled, bad).
 
-    The table is reduced to distinct paths first, with counts. Each round takes the paths that have a further segment.
+    The table is reduced to distinct paths first, with counts. Each round takes the paths that have a further segment. A node with too few labels
+    for any children to be told apart is done at once: all below is wildcards. Where all paths of a node go on with the same segments, which
+    is seen by the first and the last of them, it takes these in one step. So rounds follow the branchings that labels can tell, not the
+    longest path.
     """
-    seg = F.filter(F.split("path", "/"), lambda s: s != "")
+    c = F.col
+    few = _few(min_z)
+    seg = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s))
     paths = cut(
         urls.groupBy("host", "path")
         .agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        .withColumn("segments", seg)
-        .withColumn("template", F.lit(""))
+        .select("host", "path", "labelled", "bad", seg.alias("segments"), F.lit("").alias("template"), F.lit(0).alias("pos"))
     )
-    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
     whole = paths.where(F.size("segments") == 0)
-    for d in range(1, deepest + 1):
-        here = F.get(F.col("segments"), F.lit(d - 1))
-        rows = paths.where(F.size("segments") >= d).withColumn("seg", F.when(here.rlike("[0-9]"), "*").otherwise(here))
+    rows = paths.where(F.size("segments") > 0)
+    while not rows.isEmpty():
+        rows = rows.withColumn("seg", F.get("segments", c("pos"))).withColumn("rest", F.slice("segments", c("pos") + 2, F.size("segments")))
         children = rows.groupBy("host", "template", "seg").agg(
-            F.sum("labelled").alias("c_labelled"), F.sum("bad").alias("c_bad")
+            F.sum("labelled").alias("c_labelled"), F.sum("bad").alias("c_bad"), F.min("rest").alias("low"), F.max("rest").alias("high")
         )
         # nodes are summed from their children: no task sees more than one row for each of these
         nodes = children.groupBy("host", "template").agg(
             F.sum("c_labelled").alias("n_labelled"),
             F.sum("c_bad").alias("n_bad"),
         )
-        rest_labelled, rest_bad = F.col("n_labelled") - F.col("c_labelled"), F.col("n_bad") - F.col("c_bad")
-        differs = (F.col("seg") != "*") & _apart(F.col("c_bad"), F.col("c_labelled"), rest_bad, rest_labelled, min_z)
-        share = (F.col("c_bad") + 1) / (F.col("c_labelled") + 2)
+        rest_labelled, rest_bad = c("n_labelled") - c("c_labelled"), c("n_bad") - c("c_bad")
+        differs = (c("seg") != "*") & _apart(c("c_bad"), c("c_labelled"), rest_bad, rest_labelled, min_z)
+        share = (c("c_bad") + 1) / (c("c_labelled") + 2)
         marked = children.join(nodes, ["host", "template"]).select(
-            "host", "template", "seg", "c_labelled", "c_bad", F.when(differs, F.floor(share * BINS)).otherwise(-1).alias("bin")
+            "host", "template", "seg", "c_labelled", "c_bad", "low", "high", F.when(differs, F.floor(share * BINS)).otherwise(-1).alias("bin")
         )
         marked = cut(marked)
-        step = marked.join(_merged(marked.where("bin >= 0"), min_z), ["host", "template", "bin"], "left").select(
-            "host", "template", "seg", F.coalesce("as", F.lit("*")).alias("as")
+        named = marked.join(_merged(marked.where("bin >= 0"), min_z), ["host", "template", "bin"], "left").withColumn("as", F.coalesce("as", F.lit("*")))
+        below = named.groupBy("host", "template", "as").agg(
+            F.sum("c_labelled").alias("n"), F.sum("c_bad").alias("b"), F.min("low").alias("low"), F.max("high").alias("high")
+        )
+        # an only child stands apart from no siblings or doesn't; along a chain of these the answer is one
+        same = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False)
+        chain = F.when(c("n") <= few, F.array().cast("array<string>")).otherwise(F.slice("low", 1, F.when(same == 0, F.size("low")).otherwise((same - 1).cast("int"))))
+        alone = _apart(c("b"), c("n"), F.lit(0), F.lit(0), min_z)
+        below = below.select(
+            "host", "template", "as", (c("n") <= few).alias("few"), (F.size(chain) + 1).alias("step"),
+            F.array_join(F.concat(F.array(F.lit(""), c("as")), F.transform(chain, lambda s: F.when(alone, s).otherwise("*"))), "/").alias("on"),
         )
+        step = named.select("host", "template", "seg", "as").join(below, ["host", "template", "as"]).drop("as")
+        pos = c("pos") + c("step")
+        left = F.size("segments") - pos
+        ended = F.when(c("few"), F.repeat(F.lit("/*"), left)).otherwise("")
         paths = cut(
             rows.join(step, ["host", "template", "seg"]).select(
-                "host", "path", "labelled", "bad", "segments", F.concat("template", F.lit("/"), "as").alias("template")
+                "host", "path", "labelled", "bad", "segments", F.concat("template", "on", ended).alias("template"),
+                F.when(c("few"), F.size("segments")).otherwise(pos).alias("pos"),
             )
         )
-        whole = whole.unionByName(paths.where(F.size("segments") == d))
+        whole = whole.unionByName(paths.where(c("pos") >= F.size("segments")))
+        rows = paths.where(c("pos") < F.size("segments"))
     return whole.select("host", "path", "template", "labelled", "bad")
 
 
