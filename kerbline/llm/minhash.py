@@ -5,8 +5,9 @@ a table, so COLLECTION ** 2 tables of keys of 2 * ROWS minima cost 2 * COLLECTIO
 had its own. A pair of similarity s shares no key with a probability of up to 2 * (1 - s ** ROWS) ** COLLECTION: 3.3 in a million at 0.85.
 Every candidate is compared by its whole set before it links.
 
-A key can only be shared if both its halves are, so hashes that no other set has are left out before keys are formed. The tables with equal
-numbers in both collections come first; of the others, only keys whose sets are not one component yet are compared.
+A key can only be shared if both its halves are, so hashes that no other set has are left out before keys are formed. FIRST tables with equal
+numbers in both collections are compared first; of all others, only keys whose sets are not one component yet. Sets that are nearly equal
+share most keys, so few tables join them, and a group of copies isn't sent once for each table.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from kerbline.operators.components import components
 
 SHINGLE, SIMILARITY = 3, 0.85
 COLLECTION, ROWS = 14, 3
+#: Tables that are compared before the others.
+FIRST = 4
 SEED = 42
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(0, 1 << 63, (2 * COLLECTION * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,9 +75,9 @@ def _tables(nodes: DataFrame) -> DataFrame:
     return live.select("node", "n", F.expr(f"filter(h, x -> x.at < {COLLECTION})").alias("first"), F.expr(f"filter(h, x -> x.at >= {COLLECTION})").alias("second")).where("size(first) > 0 and size(second) > 0")
 
 
-def _keys(tables: DataFrame, diagonal: bool) -> DataFrame:
-    """(key, node, n, label) of the tables whose numbers are equal, or are not."""
-    pair = f"f.at {'=' if diagonal else '<>'} s.at - {COLLECTION}"
+def _keys(tables: DataFrame, first: bool) -> DataFrame:
+    """(key, node, n, label) of the FIRST tables whose numbers are equal, or of all others."""
+    pair = f"{'' if first else 'not '}(f.at < {FIRST} and f.at = s.at - {COLLECTION})"
     both = tables.select("node", "n", "label", "second", F.explode("first").alias("f")).select("node", "n", "label", "f", F.explode("second").alias("s")).where(pair)
     return both.select(F.xxhash64("f.half", "s.half").alias("key"), "node", "n", "label")
 
