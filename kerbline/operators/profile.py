@@ -46,7 +46,8 @@ def id_uniqueness(df: DataFrame, key: str) -> DataFrame:
 
 
 def coordinate_quality(df: DataFrame, lon: str, lat: str) -> DataFrame:
-    """One row of counts over text coordinates: parsed, failed, missing, outside the globe, outside the city, and their range."""
+    """One row of counts over text coordinates: parsed, failed, missing, outside the globe (both read, or each for itself), outside the city, and the
+    range of what could be read."""
     from kerbline.functions.geo import BOUNDS, within
     from kerbline.functions.text import finite
 
@@ -55,20 +56,29 @@ def coordinate_quality(df: DataFrame, lon: str, lat: str) -> DataFrame:
     both = x.isNotNull() & y.isNotNull()
     return df.agg(
         F.count_if(both).alias("parsed"), F.count_if(x.isNull() & ~blank(lon)).alias("lon_failed"), F.count_if(y.isNull() & ~blank(lat)).alias("lat_failed"), F.count_if(blank(lon) | blank(lat)).alias("missing"),
-        F.count_if(both & ~(x.between(-180, 180) & y.between(-90, 90))).alias("outside_globe"), F.count_if(both & ~within(x, y, BOUNDS)).alias("outside_city"), F.min(x).alias("west"), F.max(y).alias("north"),
+        F.count_if(both & ~(x.between(-180, 180) & y.between(-90, 90))).alias("outside_globe"), F.count_if(both & ~within(x, y, BOUNDS)).alias("outside_city"),
+        F.count_if(~x.between(-180, 180)).alias("lon_outside"), F.count_if(~y.between(-90, 90)).alias("lat_outside"),
+        F.min(x).alias("west"), F.min(y).alias("south"), F.max(x).alias("east"), F.max(y).alias("north"),
     )
 
 
 def polyline_quality(df: DataFrame, column: str) -> DataFrame:
-    """One row: filled, parsed and malformed polylines, their vertices and those outside the city."""
+    """One row: filled, blank, parsed and malformed polylines, their vertices, those outside the city, and the extent of the parsed ones."""
     from kerbline.functions.geo import BOUNDS, within
     from kerbline.functions.text import points
 
     p = points(F.col(column), finite_only=True)
     filled = F.coalesce(F.trim(column) != "", F.lit(False))
     outside = F.size(F.filter(p, lambda v: ~within(v["x"], v["y"], BOUNDS)))
-    return df.agg(F.count_if(filled).alias("filled"), F.count_if(p.isNotNull()).alias("parsed"), F.count_if(filled & p.isNull()).alias("malformed"),
-                  F.coalesce(F.sum(F.when(p.isNotNull(), F.size(p))), F.lit(0)).alias("vertices"), F.coalesce(F.sum(F.when(p.isNotNull(), outside)), F.lit(0)).alias("outside_city"))
+    edge = lambda f, axis: f(F.transform(p, lambda v: v[axis]))
+    extent = [F.min(edge(F.array_min, "x")).alias("west"), F.min(edge(F.array_min, "y")).alias("south"), F.max(edge(F.array_max, "x")).alias("east"), F.max(edge(F.array_max, "y")).alias("north")]
+    return df.agg(F.count_if(filled).alias("filled"), F.count_if(~filled).alias("blank"), F.count_if(p.isNotNull()).alias("parsed"), F.count_if(filled & p.isNull()).alias("malformed"),
+                  F.coalesce(F.sum(F.when(p.isNotNull(), F.size(p))), F.lit(0)).alias("vertices"), F.coalesce(F.sum(F.when(p.isNotNull(), outside)), F.lit(0)).alias("outside_city"), *extent)
+
+
+def observed_values(df: DataFrame, field: str) -> DataFrame:
+    """(value, n): what a text field holds and how often, trimmed; null and blank are one value, the empty text."""
+    return df.groupBy(F.trim(F.coalesce(F.col(field).cast("string"), F.lit(""))).alias("value")).agg(F.count("*").alias("n"))
 
 
 def temporal_quality(df: DataFrame, fields: list[str]) -> DataFrame:

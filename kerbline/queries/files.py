@@ -77,15 +77,36 @@ def a6(spark, d):
     return tables.xml_problems(_feed(spark, d), ["Id", "Name", "Planned"])
 
 
-@reg.add("a7_artifact_check", "select restriction_id, 'duplicate feature ids' as problem from fx_matches where k % 10 = 0 group by 1 union all select restriction_id, 'unknown geometry status' from fx_matches where k % 15 = 0 group by 1")
+@reg.add("a6_xml_roots", "select 'Closures' as root, count(*) as records, 'ok' as state from fx_restrictions union all select 'Roads', count(*), 'unexpected root' from fx_restrictions where k % 3 = 0")
+def a6_roots(spark, d):
+    p = _path(spark, "feeds")
+    r = _closures(spark, d)
+    tables.write_closures(r, f"{p}/right")
+    tables.write_closures(r.where(F.substring("Id", 3, 9).cast("long") % 3 == 0), f"{p}/wrong", root="Roads")
+    return tables.xml_roots(spark, f"{p}/*").select("root", "records", "state")
+
+
+_BAD = {
+    10: "missing or duplicate feature ids", 15: "unknown geometry status", 11: "malformed restriction geometry", 13: "malformed feature geometry", 14: "identity differs",
+    17: "no geometry provenance", 18: "no source snapshot", 19: "unexpected CRS", 21: "unsupported schema version",
+}
+
+
+@reg.add("a7_artifact_check", " union all ".join(f"select restriction_id, '{problem}' as problem from fx_matches where k % {n} = 0 group by 1" for n, problem in _BAD.items()))
 def a7(spark, d):
     from kerbline.plans.artifact import problems
 
-    ids = view(spark, d, "fx_matches").groupBy("restriction_id", "k").agg(F.collect_set("segment_id").alias("segment_ids"))
-    a = ids.select("restriction_id", F.lit("spatial-v1").alias("schema_version"), F.lit("EPSG:4326").alias("crs"), F.when(c("k") % 10 == 0, F.concat("segment_ids", "segment_ids")).otherwise(c("segment_ids")).alias("segment_ids"), F.when(c("k") % 15 == 0, "?").otherwise("PARTIAL").alias("status"))
+    off = lambda n: c("k") % n == 0
+    ids = view(spark, d, "fx_matches").groupBy("restriction_id", "k").agg(F.collect_set("segment_id").alias("ids"))  # the candidates of one restriction
+    point, short = '{"type":"Point","coordinates":[-79.4,43.6]}', '{"type":"LineString","coordinates":[[-79.4,43.6]]}'
+    features = F.transform(F.when(off(10), F.concat("ids", "ids")).otherwise(c("ids")), lambda i: F.struct(i.alias("feature_id"), F.when(off(13), short).when(~off(2), point).alias("geometry")))
+    a = ids.select(
+        "restriction_id", F.when(off(21), "spatial-v0").otherwise("spatial-v1").alias("schema_version"), F.when(off(19), "EPSG:26917").otherwise("EPSG:4326").alias("crs"),
+        F.when(~off(18), "snap-1").alias("source_snapshot"), F.when(off(14), "R-0").otherwise(c("restriction_id")).alias("source_id"), F.when(~off(17), "EPSG:4326").alias("provenance_crs"),
+        F.when(off(15), "?").otherwise("PARTIAL").alias("status"), F.when(off(11), short).when(off(3), point).alias("restriction_geometry"), features.alias("features"))
     p = _path(spark, "artifact")
     tables.as_json_lines(a).write.text(p)
-    return problems(spark.read.schema("schema_version string, crs string, restriction_id string, segment_ids array<string>, status string").json(p))
+    return problems(spark.read.schema("restriction_id string, schema_version string, crs string, source_snapshot string, source_id string, provenance_crs string, status string, restriction_geometry string, features array<struct<feature_id: string, geometry: string>>").json(p))
 
 
 @reg.add("a8_layer_resource", "select p_brand as package, arg_min(p_name, [case when p_type like '%A%' then 0 else 1 end, p_partkey]) as name from part group by 1")
@@ -179,9 +200,24 @@ def a19(spark, d):
     return spark.read.csv(p, header=True, escape='"')
 
 
-@reg.add("a20_json_artifact")
+_KEPT = ["restriction_id", "k", "impact_severity", "evidence_confidence", "impact_evaluable", "name", "lon"]
+_LINE = """'{"evidence_confidence":"' || evidence_confidence || '","impact_evaluable":' || impact_evaluable || ',"impact_severity":"' || impact_severity || '","k":' || k || ',"lon":' || lon ||
+  coalesce(',"name":"' || name || '"', '') || ',"restriction_id":"' || restriction_id || '"}'"""
+
+
+def _tree(levels):
+    sql = f"select row_number() over (order by restriction_id) - 1 as i, sha256({_LINE}) as h, 1 as n from fx_records"
+    for _ in range(levels):
+        sql = f"select i // 1024 as i, sha256(string_agg(h, '' order by i)) as h, sum(n) as n from ({sql}) group by i // 1024"
+    return f"select sum(n)::bigint as n, sha256(string_agg(h, '' order by i)) as sha256 from ({sql})"
+
+
+@reg.add("a20_json_artifact", _tree(3))
 def a20(spark, d):
-    return tables.table_hash(tables.as_json_lines(view(spark, d, "fx_records")))
+    p = _path(spark, "artifact")
+    tables.write_json_artifact(view(spark, d, "fx_records").select(*_KEPT), "restriction_id", p)
+    kept = spark.read.schema("restriction_id string, k long, impact_severity string, evidence_confidence string, impact_evaluable boolean, name string, lon double").json(p)
+    return tables.artifact_hash(kept, "restriction_id")
 
 
 @reg.add("a21_feature_collections", "select restriction_id, count(*) as n from fx_matches group by 1")

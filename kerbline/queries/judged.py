@@ -129,6 +129,42 @@ def m7(spark, d):
     return explain.route_texts(r).select("q", "headline", "narrative", F.array_join("bullets", "; ").alias("bullets"))
 
 
+def _asked(spark, d):
+    """A request for each order: for a restriction (some not there), a route, the overview, or nothing."""
+    k = c("o_orderkey")
+    kind = k % 5
+    return table(spark, d, "orders").select(
+        F.concat(F.lit("ask-"), k.cast("string")).alias("request_id"), F.when(kind == 0, F.format_string("R-%07d", k + F.when(k % 3 == 0, 1 << 24).otherwise(0))).alias("restriction_id"),
+        F.when(kind.isin(1, 2), k).alias("q"), kind.isin(2, 3).alias("overview"))
+
+
+@reg.add("m6_dispatch", f"""
+with asked as (select 'ask-' || o_orderkey as request_id, o_orderkey as k, o_orderkey % 5 as kind from orders), total as (select count(*) as n from fx_records),
+r as (select restriction_id, k, {_say('restriction_headline', severity=_TITLE, n='candidate_edge_count', confidence='evidence_confidence')} as headline from fx_records)
+select request_id, 'restriction' as kind, headline, case when r.k is null then 'RESTRICTION_NOT_FOUND' end as error, case when r.k is not null then 'Toronto Open Data' end as publisher, case when r.k is not null then 'snap-' || (r.k % 3) end as source_snapshot
+  from asked a left join r on r.k = a.k and a.k % 3 <> 0 where a.kind = 0
+union all select request_id, 'route', case when a.k % 7 = 0 then {_q(explain.SENTENCES['unreachable_headline'])} else {_q(explain.SENTENCES['clear_headline'])} end, null, 'Toronto Open Data', null from asked a where kind in (1, 2)
+union all select request_id, 'overview', {_say('overview_headline', total='n')}, null, 'Toronto Open Data', null from asked, total where kind = 3
+union all select request_id, null, null, 'INVALID_EXPLANATION_CONTEXT', null, null from asked where kind = 4""")
+def m6_dispatch(spark, d):
+    r = view(spark, d, "fx_records").withColumns({"impact_status": c("evaluation_status"), "alternative_edges": F.lit(0), "loss_count": F.lit(0), "source_snapshot": F.concat(F.lit("snap-"), (c("k") % 3).cast("string"))})
+    k = c("o_orderkey")
+    none = F.lit(None).cast("double")
+    routes = table(spark, d, "orders").select(
+        k.alias("q"), (k % 7 != 0).alias("reachable"), F.lit(None).cast("string").alias("avoid"), F.lit(100.0).alias("base_m"), F.lit(4).alias("base_edges"), F.lit(0).alias("barriers_on_path"),
+        none.alias("added_m"), none.alias("ratio"), F.lit(None).cast("int").alias("avoided"), none.alias("recommended_m"), F.lit(None).cast("int").alias("recommended_edges"))
+    answers = explain.answered(_asked(spark, d), r, routes, view(spark, d, "fx_records"))
+    return answers.select("request_id", "kind", "headline", "error", c("provenance.publisher").alias("publisher"), c("provenance.source_snapshot").alias("source_snapshot"))
+
+
+@reg.add("m7_routes_explained")
+def m7_routes(spark, d):
+    from kerbline.queries.space import _routes
+
+    t = explain.route_texts(_routes(spark, d))
+    return t.select("q", "headline", "narrative", F.array_join("bullets", "; ").alias("bullets"))
+
+
 def _phrases(f):
     return f"(select string_agg(n || ' ' || v, ', ' order by n desc, v) from (select {f} as v, count(*) as n from fx_records group by 1))"
 
@@ -155,11 +191,48 @@ def m9(spark, d):
     return geometry_status(view(spark, d, "fx_matches").withColumn("geom", F.when(c("pos") % 2 == 0, "g")))
 
 
-@reg.add("e19_integrity", f"select count(*) as records, sum(candidates)::bigint as candidates, sum(with_geometry)::bigint as with_geometry, count(*) filter (with_geometry = candidates) as available, count(*) filter (with_geometry > 0 and with_geometry < candidates) as partial from ({_GEOM})")
+_POINT = "'{\"type\":\"Point\",\"coordinates\":[' || pos || '.5,43.5]}'"
+_FEATURES = f"(select restriction_id, segment_id, pos, signal, confidence, distance_m, k % 6 <> 0 as segment_known, case when pos % 2 = 0 and k % 6 <> 0 then {_POINT} end as geometry from fx_matches)"
+_LINES = """(select restriction_id, evidence_confidence, 'snap-' || (k % 3) as source_snapshot, malformed, case when not malformed then '{"type":"LineString","coordinates":[[' || p[1] || ',' || p[2] || '],[' || p[3] || ',' || p[4] || ']]}' end as geometry
+  from (select r.restriction_id, r.k, regexp_extract_all(polyline_text, '[-0-9.]+')::double[] as p, polyline_text in ('BAD', '') as malformed, evidence_confidence from fx_restrictions r join fx_records using (restriction_id)))"""
+_EVIDENCE = f"""(select l.*, coalesce(candidates, 0) as candidates, coalesce(matched, 0) as matched, case when coalesce(matched, 0) + (l.geometry is not null)::int = 0 then 'NOT_AVAILABLE' when coalesce(matched, 0) + (l.geometry is not null)::int = coalesce(candidates, 0) + 1 then 'AVAILABLE' else 'PARTIAL' end as geometry_status
+  from {_LINES} l left join (select restriction_id, count(*) as candidates, count(geometry) as matched from {_FEATURES} group by 1) using (restriction_id))"""
+
+
+def _features(spark, d):
+    """Every second candidate has a point; of others the geometry is missing, or a line of one point that is refused."""
+    point = F.concat(F.lit('{"type": "Point", "coordinates": ['), c("pos").cast("string"), F.lit(".5, 43.5]}"))
+    geometry = F.when(c("k") % 6 == 0, F.lit(None)).when(c("pos") % 2 == 0, point).when(c("pos") % 3 == 0, '{"type":"LineString","coordinates":[[1,2]]}')
+    return view(spark, d, "fx_matches").withColumns({"geometry": geometry, "segment_known": c("k") % 6 != 0, "candidate_rank": F.when(c("pos") % 2 == 1, c("pos"))})
+
+
+def _lines(spark, d):
+    r = view(spark, d, "fx_restrictions").select("restriction_id", c("polyline_text").isin("BAD", "").alias("malformed"), F.concat(F.lit('{"type":"LineString","coordinates":['), c("polyline_text"), F.lit("]}")).alias("geometry"))
+    q = view(spark, d, "fx_records").select("restriction_id", "evidence_confidence", F.concat(F.lit("snap-"), (c("k") % 3).cast("string")).alias("source_snapshot"))
+    return r.join(q, "restriction_id")
+
+
+@reg.add("m9_spatial_features", f"select restriction_id, segment_id as feature_id, geometry, signal as match_type, confidence, case when signal <> 'direct_intersection' then distance_m end as distance_m, pos as candidate_rank, 'CANDIDATE_AFFECTED_SEGMENT' as candidate_status, geometry is not null as matched from {_FEATURES}")
+def m9_features(spark, d):
+    from kerbline.plans.artifact import spatial_features
+
+    return spatial_features(_features(spark, d))
+
+
+@reg.add("m9_spatial_evidence", f"select restriction_id, geometry as restriction_geometry, candidates, matched, geometry_status, 'EPSG:4326' as crs, evidence_confidence, source_snapshot from {_EVIDENCE}")
+def m9_evidence(spark, d):
+    from kerbline.plans.artifact import spatial_evidence, spatial_features
+
+    return spatial_evidence(_lines(spark, d), spatial_features(_features(spark, d)))
+
+
+@reg.add("e19_integrity", f"""select count(*) as restriction_records, sum(candidates)::bigint as candidate_features, count(geometry) as restriction_geometries, sum(matched)::bigint as candidate_geometries,
+  count(*) filter (geometry_status = 'AVAILABLE') as available, count(*) filter (geometry_status = 'PARTIAL') as partial, count(*) filter (geometry_status = 'NOT_AVAILABLE') as not_available,
+  count(*) filter (geometry is null and malformed) + (select count(*) from {_FEATURES} where geometry is null and segment_known) as rejected_geometries, (count(*) + sum(candidates) - count(geometry) - sum(matched))::bigint as null_geometries from {_EVIDENCE}""")
 def e19(spark, d):
     from kerbline.plans.artifact import integrity
 
-    return integrity(view(spark, d, "fx_matches").withColumn("geom", F.when(c("pos") % 2 == 0, "g")))
+    return integrity(_lines(spark, d), _features(spark, d))
 
 
 @reg.add("m10_network_impact", "select restriction_id, s.scenario, case when k % 2 = 0 then ['A', 'B'] else [] end as limitations from fx_records, (values ('HIGH_ONLY'), ('HIGH_MEDIUM')) s(scenario)")
@@ -197,14 +270,17 @@ def l2(spark, d):
     return profile.id_uniqueness(table(spark, d, "orders").select(c("o_custkey").cast("string").alias("id")), "id")
 
 
-@reg.add("l3_coordinates", "select count(*) filter (k % 5 > 1) as parsed, count(*) filter (k % 5 = 0) as lon_failed, 0::bigint as lat_failed, count(*) filter (k % 5 = 1) as missing, count(*) filter (k % 5 = 2) as outside_globe, count(*) filter (k % 5 = 2) as outside_city, min(case when k % 5 = 2 then lon - 300 when k % 5 > 2 then lon end) as west, max(lat) as north from fx_restrictions")
+@reg.add("l3_coordinates", "select count(*) filter (k % 5 > 1) as parsed, count(*) filter (k % 5 = 0) as lon_failed, 0::bigint as lat_failed, count(*) filter (k % 5 = 1) as missing, count(*) filter (k % 5 = 2) as outside_globe, count(*) filter (k % 5 = 2) as outside_city, count(*) filter (k % 5 = 2) as lon_outside, 0::bigint as lat_outside, min(case when k % 5 = 2 then lon - 300 when k % 5 > 2 then lon end) as west, min(lat) as south, max(case when k % 5 = 2 then lon - 300 when k % 5 > 2 then lon end) as east, max(lat) as north from fx_restrictions")
 def l3(spark, d):
     k = c("k") % 5
     lon = F.when(k == 0, "x").when(k == 1, "").when(k == 2, (c("lon") - 300).cast("string")).otherwise(c("lon").cast("string"))
     return profile.coordinate_quality(view(spark, d, "fx_restrictions").select(lon.alias("lon"), c("lat").cast("string").alias("lat")), "lon", "lat")
 
 
-@reg.add("l4_polylines", "select count(*) filter (polyline_text <> '') as filled, count(*) filter (polyline_text not in ('', 'BAD')) as parsed, count(*) filter (polyline_text = 'BAD') as malformed, 2 * count(*) filter (polyline_text not in ('', 'BAD')) as vertices, 0::bigint as outside_city from fx_restrictions")
+_ENDS = "select restriction_id, polyline_text, unnest(regexp_extract_all(polyline_text, '\\[([^,]*),', 1))::double as x, unnest(regexp_extract_all(polyline_text, ',([^,]*)\\]', 1))::double as y from fx_restrictions"
+
+
+@reg.add("l4_polylines", f"select count(*) filter (polyline_text <> '') as filled, count(*) filter (polyline_text = '') as blank, count(*) filter (polyline_text not in ('', 'BAD')) as parsed, count(*) filter (polyline_text = 'BAD') as malformed, 2 * count(*) filter (polyline_text not in ('', 'BAD')) as vertices, 0::bigint as outside_city, (select min(x) from ({_ENDS})) as west, (select min(y) from ({_ENDS})) as south, (select max(x) from ({_ENDS})) as east, (select max(y) from ({_ENDS})) as north from fx_restrictions")
 def l4(spark, d):
     return profile.polyline_quality(view(spark, d, "fx_restrictions"), "polyline_text")
 
@@ -216,6 +292,12 @@ def l5(spark, d):
     return profile.temporal_quality(o, ["a", "b"]).withColumns({"first": c("first").cast("timestamp_ntz"), "last": c("last").cast("timestamp_ntz")})
 
 
+@reg.add("l5_observed_values", "select case when k % 7 = 0 then '' else work_period end as value, count(*) as n from fx_restrictions group by 1")
+def l5_values(spark, d):
+    planned = F.when(c("k") % 14 == 0, " ").when(c("k") % 7 != 0, F.concat(c("work_period"), F.lit(" ")))
+    return profile.observed_values(view(spark, d, "fx_restrictions").select(planned.alias("planned")), "planned")
+
+
 @reg.add("l6_duplicates", "with r as (select c_nationkey, case when c_custkey % 2 = 0 then c_mktsegment end as s from customer), x as (select c_nationkey, s, count(*) as n from r group by all) select sum(n - 1)::bigint as duplicate_rows, (select count(distinct s is null) from r) as field_sets from x")
 def l6(spark, d):
     r = table(spark, d, "customer").select("c_nationkey", F.when(c("c_custkey") % 2 == 0, c("c_mktsegment")).alias("s"))

@@ -435,12 +435,12 @@ def h2(spark, d):
     return view(spark, d, "fx_matches").groupBy("restriction_id").agg(F.count_distinct("segment_id").alias("n"))
 
 
-@reg.add("h3_layer_union", "select 'bench' as kind, p_partkey as id, p_name as name from part where p_partkey % 7 = 0 union all select 'transit', s_suppkey, s_name from supplier union all select 'library', n_nationkey, n_name from nation")
+@reg.add("h3_layer_union", "select 'bench' as kind, p_partkey as id, p_name as name from part union all select 'transit', s_suppkey, s_name from supplier union all select 'library', n_nationkey, n_name from nation")
 def h3(spark, d):
     from kerbline.sources.poi import union_layers
 
-    layer = lambda t, i, n, k, w="true": table(spark, d, t).where(w).select(F.lit(k).alias("kind"), c(i).cast("long").alias("id"), c(n).alias("name"))
-    return union_layers([layer("part", "p_partkey", "p_name", "bench", "p_partkey % 7 = 0"), layer("supplier", "s_suppkey", "s_name", "transit"), layer("nation", "n_nationkey", "n_name", "library")])
+    layer = lambda t, i, n, k: table(spark, d, t).select(F.lit(k).alias("kind"), c(i).cast("long").alias("id"), c(n).alias("name"))
+    return union_layers([layer("part", "p_partkey", "p_name", "bench"), layer("supplier", "s_suppkey", "s_name", "transit"), layer("nation", "n_nationkey", "n_name", "library")])
 
 
 @reg.add("h4_all_barriers", "select distinct segment_id as segment from fx_matches where signal = 'direct_intersection'")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.text import blank_to_null, finite, points
+from kerbline.plans.ranks import numbered
 
 #: The feed's row tag and the columns that its CSV form must have.
 ROW_TAG = "Closure"
@@ -17,8 +18,8 @@ def read_closures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", ROW_TAG).option("inferSchema", "false").load(path)
 
 
-def write_closures(rows: DataFrame, path: str) -> None:
-    rows.write.format("xml").option("rowTag", ROW_TAG).option("rootTag", "Closures").save(path)
+def write_closures(rows: DataFrame, path: str, root: str = "Closures") -> None:
+    rows.write.format("xml").option("rowTag", ROW_TAG).option("rootTag", root).save(path)
 
 
 def typed_restrictions(closures: DataFrame) -> DataFrame:
@@ -38,6 +39,19 @@ def xml_problems(closures: DataFrame, required: list[str]) -> DataFrame:
     return counts.select("n", F.inline(rows)).select("field", "present", F.when(F.col("present") == 0, "missing").when(F.col("present") < F.col("n"), "incomplete").otherwise("ok").alias("state"))
 
 
+def xml_roots(spark: SparkSession, path: str, root: str = "Closures") -> DataFrame:
+    """(root, files, records, state) of the XML files below ``path``: ok, no records, or unexpected root.
+
+    A file's root is its first tag; declarations, and comments of one line, are none. Files are read by lines, and each is one row before any shuffle.
+    """
+    text = F.regexp_replace("value", r"<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>", "")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), text.alias("value"))
+    tags = lines.select("file", "block", "at", F.regexp_extract("value", r"<([A-Za-z_][\w.:-]*)", 1).alias("tag"), F.regexp_count("value", F.lit(rf"<{ROW_TAG}[\s/>]")).alias("n"))
+    files = tags.groupBy("file").agg(F.min_by(F.when(F.col("tag") != "", F.col("tag")), F.when(F.col("tag") != "", F.struct("block", "at"))).alias("root"), F.sum("n").alias("n"))
+    out = files.groupBy("root").agg(F.count("*").alias("files"), F.sum("n").alias("records"))
+    return out.withColumn("state", F.when(~F.col("root").eqNullSafe(F.lit(root)), "unexpected root").when(F.col("records") == 0, "no records").otherwise("ok"))
+
+
 def read_csv_with_preamble(spark: SparkSession, path: str, required=REQUIRED) -> DataFrame:
     """Rows of a CSV whose header comes after other lines: the first line that holds the required names. Lines with another number of fields are
     refused. The header is found with one small aggregate; the lines stay where they are."""
@@ -119,11 +133,29 @@ def as_json_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
 
 
-def table_hash(lines: DataFrame) -> DataFrame:
-    """One row: the number of lines and a hash over all of them that doesn't depend on their order."""
-    h = lines.select(F.sha2("value", 256).alias("h"))
-    part = lambda i: F.bit_xor(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("long"))
-    return h.agg(F.count("*").alias("n"), part(0).alias("a"), part(1).alias("b"))
+def write_json_artifact(rows: DataFrame, key: str, path: str) -> None:
+    """JSON lines with sorted keys in the order of ``key``, which is unique: the files by name, one after the other, are the artifact."""
+    ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
+    as_json_lines(ordered).write.text(path)
+
+
+#: Lines, and then hashes, that one hash of the next level stands for.
+HASHED = 1024
+
+
+def artifact_hash(rows: DataFrame, key: str) -> DataFrame:
+    """One row (n, sha256): a hash of the rows' JSON lines in the order of ``key``, whatever files or partitions they are in.
+
+    A tree: the SHA-256 of each line, of the joined hashes of each 1,024 lines, of each 1,024 of these, and so for a third level; the last is over what
+    that leaves, one hash for 2**30 lines. Of an empty table it is the hash of the empty text.
+    """
+    placed = numbered(rows.select(F.col(key).alias("_key"), F.struct(*sorted(rows.columns)).alias("line")), [F.col("_key")], "_at", 0)
+    level = placed.select(F.col("_at").alias("at"), F.sha2(F.to_json("line"), 256).alias("h"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256)  # HASHED of them at most
+    level = level.withColumn("n", F.lit(1).cast("long"))
+    for _ in range(3):
+        level = level.groupBy(F.expr(f"at div {HASHED}").alias("up")).agg(joined.alias("h"), F.sum("n").alias("n")).withColumnRenamed("up", "at")
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined.alias("sha256"))
 
 
 def feature_collections(features: DataFrame) -> DataFrame:
