@@ -257,9 +257,9 @@ def similar_components(docs: DataFrame, prints: DataFrame, similarity: float = S
     keyed = prints.select(F.explode("keys").alias("key"), "node", "n").distinct()
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        # one row of each node that is wanted gives its set
+        # one row of each node that is wanted gives its set; rows that are equal in every column have one key, by which the join has dealt them
         rows = prints.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("node").agg(F.min("row").alias("of"))
-        return sets_of_texts(docs.join(rows, F.col("row") == F.col("of")).groupBy("node").agg(F.first("text").alias("text")), shingle)
+        return sets_of_texts(docs.join(rows, F.col("row") == F.col("of")).dropDuplicates(["of"]).select("node", "text"), shingle)
 
     return linked_components(keyed, sets_of, similarity, part)[1]
 
