@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.byte_runs import released
-from kerbline.llm.common import cut, row_keys, shuffle_partitions
+from kerbline.llm.common import cut, freed_shuffles, fresh_path, row_keys, shuffle_partitions
 from kerbline.operators.components import components
+from kerbline.plans.checkpoint import drop
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -81,10 +82,15 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(released(run), typed.schema)
 
 
-def _candidates(keyed: DataFrame, part: int) -> DataFrame:
+def _sizes_fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can be similar."""
+    return np.minimum(a, b) >= similarity * np.maximum(a, b) - _EPS
+
+
+def _candidates(keyed: DataFrame, part: int, similarity: float) -> DataFrame:
     """Of rows (key, node, n) sorted by key: pairs (kind 0: u, v) of small keys, and (kind 1: key, part, u) of the nodes of larger ones.
 
-    Each part of a larger key has the key's first node as well.
+    Pairs whose sizes alone keep them below ``similarity`` are left out. Each part of a larger key has the key's first node as well.
     """
     names = ["kind", "key", "part", "u", "v"]
 
@@ -116,6 +122,7 @@ def _candidates(keyed: DataFrame, part: int) -> DataFrame:
             us, vs = [], []
             for shift in range(1, min(SMALL, len(k))):
                 at = np.flatnonzero((k[shift:] == k[:-shift]) & few[shift:])
+                at = at[_sizes_fit(n[at], n[at + shift], similarity)]
                 us.append(np.minimum(x[at], x[at + shift]))
                 vs.append(np.maximum(x[at], x[at + shift]))
             if us:
@@ -171,7 +178,7 @@ def _forest(nodes: np.ndarray, values: np.ndarray, ends: np.ndarray, side: np.nd
         frontier = [first]
         while frontier:
             at = frontier.pop()
-            may = waiting & (np.minimum(size, size[at]) >= similarity * np.maximum(size, size[at]) - _EPS)
+            may = waiting & _sizes_fit(size, size[at], similarity)
             if side is not None:
                 may &= side != side[at]
             if not may.any():
@@ -211,14 +218,23 @@ def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     ``labels`` (node, label), a row for each node, only nodes of different labels are compared.
     """
     ordered = keyed.repartition(shuffle_partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
-    found = cut(_candidates(ordered, part).distinct())
+    found = cut(_candidates(ordered, part, similarity).distinct())
     pairs, large = found.where("kind = 0").select("u", "v"), found.where("kind = 1").select("key", "part", F.col("u").alias("node"))
     if labels is not None:
         a, b = (labels.select(F.col("node").alias(f"n{s}"), F.col("label").alias(f"l{s}")) for s in "ab")
         pairs = cut(pairs.join(a, F.col("u") == F.col("na")).join(b, F.col("v") == F.col("nb")).where("la <> lb").select("u", "v"))
         large = large.join(labels, "node")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("w")).unionByName(large.select(F.col("node").alias("w"))).distinct()
-    sets = cut(sets_of(wanted))
+    path = fresh_path(keyed.sparkSession, "sets")
+    with freed_shuffles(keyed.sparkSession):
+        sets_of(wanted).write.parquet(path)
+    found = _linked_by_sets(pairs, large, keyed.sparkSession.read.schema("node long, set array<long>").parquet(path), similarity, labels is not None)
+    drop(keyed.sparkSession, path)
+    return found
+
+
+def _linked_by_sets(pairs: DataFrame, large: DataFrame, sets: DataFrame, similarity: float, named: bool) -> tuple[DataFrame, DataFrame]:
+    """``linked_components`` of candidate pairs (u, v) and of larger keys' rows (key, part, node), whose sets (node, set) are compared."""
     a, b = (sets.select(F.col("node").alias(f"n{s}"), F.col("set").alias(f"s{s}")) for s in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     near = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb")) - _EPS
@@ -236,7 +252,7 @@ def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     if open_.isEmpty():
         return links, known
     dealt = large.join(open_, F.col("key") == F.col("k")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).where("other <> part")
-    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", *([] if labels is None else ["label"]))
+    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", *(["label"] if named else []))
     links = cut(links.unionByName(_in_tasks(dealt.join(sets, "node"), ["key", "lo", "hi"], similarity)))
     return links, components(links)
 
