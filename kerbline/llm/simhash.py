@@ -105,6 +105,41 @@ def _times(row: np.ndarray, other: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return left, first[row[left]] + step
 
 
+def fingerprint_words(hashes: np.ndarray, count: int) -> np.ndarray:
+    """``count`` words of 23 bits of a set's fingerprint, from the 64-bit hashes of its members: a bit is 1 if set in over half of them."""
+    factors, offsets = _mixers(-(-count * 23 // 64))
+    ones = np.zeros(64 * len(factors), np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte counts
+        x = hashes[at : at + 255, None] * factors + offsets
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    bits = (ones * 2 > len(hashes))[: count * 23].reshape(count, 23)
+    return bits @ (1 << np.arange(23, dtype=np.int64))
+
+
+@lru_cache(maxsize=2)
+def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(SEED + 1)
+    return random.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, 1 << 63, n, np.uint64)
+
+
+def codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, codeword) of the one or six codewords that each 23-bit word and its neighbours decode to."""
+    return _near(words, 23)[1:]
+
+
+def share_codeword(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether words of 23 bits share a codeword: all do that differ in two bits at most, and none that differ in over eight."""
+    bits = np.bitwise_count(x ^ y)
+    found = bits <= 2
+    at = np.flatnonzero(~found & (bits <= 8))
+    (a, code_a), (b, code_b) = codewords(x[at]), codewords(y[at])
+    found[at[b[np.isin(b << 12 | code_b, a << 12 | code_a)]]] = True
+    return found
+
+
 def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of each fingerprint's keys, of 33 or 34 bits for two segments, and of 36 for three."""
     value = fp.view(np.uint64)

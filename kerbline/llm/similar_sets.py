@@ -1,9 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of their sets of word shingles.
-
-Texts with one set are one node. MinHash bands give the candidates: with BANDS bands of ROWS minima each, a pair of similarity 0.8 shares no
-key with probability (1 - 0.8 ** ROWS) ** BANDS, about three in a million. Every candidate is then compared by its whole set before it
-links. Keys with few nodes give pairs, each compared once; the nodes of larger keys are compared in tasks of bounded size, which give
-out links that connect what all pairs would connect.
+"""Near-duplicates by SimHash and Golay-code fuzzy hashing, confirmed by the Jaccard similarity of sets of word shingles.
+
+Texts with one set are one node. A set has a SimHash fingerprint of TABLES words of 23 bits; of two sets that are similar at 0.8 a bit
+differs with probability 0.152, and 0.188 for the smallest ones (four shingles of five). A word, and the words one bit away from it, decode to
+one or six words of the Golay code; two words at most two bits apart share one, and so do some further apart: 0.604 (0.466) of all. A
+codeword has 12 bits, too few for a key, so each goes with three minima of the set, which are equal with probability 0.512. A pair of
+similarity 0.8 shares no key in any table with probability (1 - 0.512 * 0.604) ** TABLES, 0.4 in a million; 18 in a million for the
+smallest sets. Every candidate is then compared by its whole set before it links.
+
+Minima that no two nodes share can't give a shared key. Where few nodes share them, the codewords are compared at once; else they become keys.
+Keys with few nodes give pairs, each compared once; the nodes of larger keys are compared in tasks of bounded size, which give
+out links that connect what all pairs would connect. Sets that are nearly equal share most keys, so larger keys of the FIRST tables
+are compared first, and of all others those whose nodes are not one component yet.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.llm import simhash
 from kerbline.llm.byte_runs import released
 from kerbline.llm.common import cut, freed_shuffles, fresh_path, row_keys, shuffle_partitions
 from kerbline.operators.components import components
@@ -23,7 +31,9 @@ from kerbline.plans.checkpoint import drop
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 4
+TABLES, ROWS = 40, 3
+#: Tables whose larger keys are compared before those of the others.
+FIRST = 8
 SEED = 42
 #: Keys with up to this many nodes give pairs.
 SMALL = 8
@@ -31,8 +41,8 @@ SMALL = 8
 PART = 4_000_000
 _EPS = 1e-9
 _RANDOM = np.random.default_rng(SEED)
-_FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+_FACTORS = _RANDOM.integers(0, 1 << 63, (TABLES * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _RANDOM.integers(0, 1 << 63, (TABLES * ROWS, 1), np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,38 +60,107 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(found, np.uint64))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key for each band; none for an empty set, which is like no other."""
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """A hash of each table's ROWS minima; none for an empty set, which is like no other."""
     if not len(shingles):
         return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(TABLES * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 2048):
         x = shingles[at : at + 2048] * _FACTORS + _OFFSETS
         x ^= x >> np.uint64(29)
         x *= _MIX
         least = np.minimum(least, x.min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
-        key = (key ^ rows[:, i]) * _MIX
+    return _mixed(np.arange(1, TABLES + 1, dtype=np.uint64), *least.reshape(TABLES, ROWS).T)
+
+
+def _mixed(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    for x in more:
+        key = (key ^ x) * _MIX
         key ^= key >> np.uint64(32)
     return key
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(row, node, n, keys) of docs (row, text): the set's hash, its size and its keys."""
+    """(row, node, n, minima, words) of docs (row, text): the set's hash, its size, its minima and the words of its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), keys], ["row", "node", "n", "keys"])
-
-    typed = docs.select("row", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("keys"))
+            node, n, least, words = [], [], [], []
+            for t in batch.column(1):
+                s = shingle_set(t.as_py(), shingle)
+                node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                n.append(len(s))
+                least.append(minima(s).view(np.int64))
+                words.append(simhash.fingerprint_words(s, TABLES if len(s) else 0).astype(np.int32))
+            arrays = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", "node", "n", "minima", "words"])
+
+    zero = F.lit(0).cast("long")
+    typed = docs.select("row", zero.alias("node"), zero.alias("n"), F.array(zero).alias("minima"), F.array(F.lit(0)).alias("words"))
     return docs.select("row", "text").mapInArrow(released(run), typed.schema)
 
 
+def _meetings(tabled: DataFrame, similarity: float) -> DataFrame:
+    """Of rows (minima, at, word, node, n) sorted by minima, ``at`` their table: pairs (kind 0: u, v) of the nodes that share minima with few
+    others and a codeword, and (kind 1: key, u, n) keys of minima and codeword of all that share minima with more. ``at`` is the key's last bits.
+    """
+    names = ["kind", "key", "u", "v", "n"]
+
+    def out(kind, key, u, v, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), *(pa.array(x) for x in (key, u, v, n))], names)
+
+    def keys(least, at, word, node, n):
+        for a in range(0, len(word), 50_000):
+            row, code = simhash.codewords(word[a : a + 50_000])
+            row += a
+            key = _mixed(least[row].view(np.uint64), code.astype(np.uint64)) & ~np.uint64(63) | at[row].astype(np.uint64)
+            yield out(1, key.view(np.int64), node[row], np.zeros(len(row), np.int64), n[row])
+
+    def settle(rows):
+        least, at, word, node, n = rows
+        starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        size = np.diff(starts, append=len(least))
+        few = np.repeat(size <= SMALL, size)
+        if not few.all():
+            yield from keys(*(x[~few] for x in rows))
+        us, vs = [], []
+        for shift in range(1, min(SMALL, len(least))):
+            i = np.flatnonzero((least[shift:] == least[:-shift]) & few[shift:])
+            i = i[_sizes_fit(n[i], n[i + shift], similarity)]
+            i = i[simhash.share_codeword(word[i], word[i + shift])]
+            us.append(np.minimum(node[i], node[i + shift]))
+            vs.append(np.maximum(node[i], node[i + shift]))
+        if us:
+            u, v = np.concatenate(us), np.concatenate(vs)
+            zero = np.zeros(len(u), np.int64)
+            yield out(0, zero, u, v, zero)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.zeros(0, np.int64)] * 5
+        opened = None  # minima that more than a few nodes share and that go on
+        for batch in batches:
+            rows = [np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(rows)]
+            if opened is not None and len(rows[0]):
+                end = int(np.searchsorted(rows[0], opened, side="right"))
+                yield from keys(*(x[:end] for x in rows))
+                rows = [x[end:] for x in rows]
+            if not len(rows[0]):
+                continue
+            opened = None
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                yield from settle([x[:last] for x in rows])
+                rows = [x[last:] for x in rows]
+            if len(rows[0]) > SMALL:
+                opened = int(rows[0][0])
+                yield from keys(*rows)
+                rows = [np.zeros(0, np.int64)] * 5
+        if len(rows[0]):
+            yield from settle(rows)
+
+    return tabled.select("minima", "at", "word", "node", "n").mapInArrow(released(run), "kind int, key long, u long, v long, n long")
+
+
 def _sizes_fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of these sizes can be similar."""
     return np.minimum(a, b) >= similarity * np.maximum(a, b) - _EPS
@@ -211,14 +290,18 @@ def _in_tasks(rows: DataFrame, by: list[str], similarity: float) -> DataFrame:
     return rows.select(*dict.fromkeys([*by, "part", "node", "set", *(["label"] if named else [])])).groupBy(*by).applyInArrow(run, "u long, v long")
 
 
-def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, part: int = PART, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, part: int = PART, labels: DataFrame | None = None, more: DataFrame | None = None, first: str = "true") -> tuple[DataFrame, DataFrame]:
     """(links, components) of rows (key, node, n), whose nodes with one key are compared: links (u, v) connect what similar pairs connect.
 
     ``sets_of`` gives (node, set) of the nodes in a column w. Components are (node, component), of each node that links to another. With
-    ``labels`` (node, label), a row for each node, only nodes of different labels are compared.
+    ``labels`` (node, label), a row for each node, only nodes of different labels are compared. ``more`` are pairs (u, v) that are compared
+    too. Of larger keys, those for which ``first`` holds are compared before the others.
     """
     ordered = keyed.repartition(shuffle_partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
-    found = cut(_candidates(ordered, part, similarity).distinct())
+    found = _candidates(ordered, part, similarity)
+    if more is not None:
+        found = found.unionByName(more.selectExpr("0 as kind", "0L as key", "0 as part", "u", "v"))
+    found = cut(found.distinct())
     pairs, large = found.where("kind = 0").select("u", "v"), found.where("kind = 1").select("key", "part", F.col("u").alias("node"))
     if labels is not None:
         a, b = (labels.select(F.col("node").alias(f"n{s}"), F.col("label").alias(f"l{s}")) for s in "ab")
@@ -228,9 +311,18 @@ def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     path = fresh_path(keyed.sparkSession, "sets")
     with freed_shuffles(keyed.sparkSession):
         sets_of(wanted).write.parquet(path)
-    found = _linked_by_sets(pairs, large, keyed.sparkSession.read.schema("node long, set array<long>").parquet(path), similarity, labels is not None)
+    sets = keyed.sparkSession.read.schema("node long, set array<long>").parquet(path)
+    links, known = _linked_by_sets(pairs, large.where(first), sets, similarity, labels is not None)
+    late = large.where(f"not ({first})")
+    if not late.isEmpty():
+        known = cut(known).withColumnRenamed("component", "label")
+        late = late.select("key", "part", "node").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = late.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
+        late = cut(late.join(open_, F.col("key") == F.col("k"), "left_semi"))
+        links = cut(links.unionByName(_linked_by_sets(pairs.limit(0), late, sets, similarity, True)[0]))
+        known = cut(components(links))
     drop(keyed.sparkSession, path)
-    return found
+    return links, known
 
 
 def _linked_by_sets(pairs: DataFrame, large: DataFrame, sets: DataFrame, similarity: float, named: bool) -> tuple[DataFrame, DataFrame]:
@@ -269,15 +361,19 @@ def sets_of_texts(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, part: int = PART) -> DataFrame:
-    """(node, component) of each node that links to another; docs (row, text), prints (row, node, n, keys)."""
-    keyed = prints.select(F.explode("keys").alias("key"), "node", "n").distinct()
+    """(node, component) of each node that links to another; docs (row, text), prints (row, node, n, minima, words)."""
+    nodes = prints.where("n > 0").dropDuplicates(["node"])
+    tabled = nodes.select("node", "n", F.posexplode(F.arrays_zip("minima", "words")).alias("at", "x")).select(F.col("x.minima").alias("minima"), "at", F.col("x.words").alias("word"), "node", "n")
+    dealt = tabled.repartition(shuffle_partitions(prints.sparkSession), "minima").sortWithinPartitions("minima")
+    found = cut(_meetings(dealt, similarity))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         # one row of each node that is wanted gives its set; rows that are equal in every column have one key, by which the join has dealt them
         rows = prints.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("node").agg(F.min("row").alias("of"))
         return sets_of_texts(docs.join(rows, F.col("row") == F.col("of")).dropDuplicates(["of"]).select("node", "text"), shingle)
 
-    return linked_components(keyed, sets_of, similarity, part)[1]
+    keyed = found.where("kind = 1").select("key", F.col("u").alias("node"), "n")
+    return linked_components(keyed, sets_of, similarity, part, more=found.where("kind = 0").select("u", "v"), first=f"(key & 63) < {FIRST}")[1]
 
 
 def one_of_each_group(
@@ -294,7 +390,7 @@ def one_of_each_group(
     narrow = keyed.select(F.struct(F.col(f"whole.`{id_col}`").isNull().alias("last"), F.col(f"whole.`{id_col}`").alias("id"), "k1", "k2").alias("row"), F.col(f"whole.`{text_col}`").alias("text"))
     prints = cut(_sketches(narrow, shingle))
     by_key = F.struct(F.col("row.k1"), F.col("row.k2"))
-    found = cut(similar_components(narrow.select(by_key.alias("row"), "text"), prints.select(by_key.alias("row"), "node", "n", "keys"), similarity, shingle, part))
+    found = cut(similar_components(narrow.select(by_key.alias("row"), "text"), prints.select(by_key.alias("row"), "node", "n", "minima", "words"), similarity, shingle, part))
     labelled = prints.join(found.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left")
     labelled = labelled.select("row", F.coalesce("component", "node").alias("group"))
     stay = cut(labelled.groupBy("group").agg(F.min("row").alias("p")).select(F.col("p.k1").alias("s1"), F.col("p.k2").alias("s2")))
