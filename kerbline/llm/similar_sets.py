@@ -7,8 +7,9 @@ codeword has 12 bits, too few for a key, so each goes with three minima of the s
 similarity 0.8 shares no key in any table with probability (1 - 0.512 * 0.604) ** TABLES, 0.4 in a million; 18 in a million for the
 smallest sets. Every candidate is then compared by its whole set before it links.
 
-Minima that no two nodes share can't give a shared key. Where few nodes share them, the codewords are compared at once; else they become keys.
-Keys with few nodes give pairs, each compared once; the nodes of larger keys are compared in tasks of bounded size, which give
+Minima that no two nodes share can't give a shared key. Where few nodes share them, the codewords are compared at once. Where more do, but no
+more than a task holds, nodes that shared codewords connect are one key, and the task compares those of them that share one: so a node stands
+once for a table, not for each of its codewords. Else the codewords become keys. Keys with few nodes give pairs, each compared once; the nodes of larger keys are compared in tasks of bounded size, which give
 out links that connect what all pairs would connect. Sets that are nearly equal share most keys, so larger keys of the FIRST tables
 are compared first, and of all others those whose nodes are not one component yet.
 """
@@ -39,6 +40,8 @@ SEED = 42
 SMALL = 8
 #: Shingles that a task of a larger key holds at once, about; its nodes are split into parts of this many.
 PART = 4_000_000
+#: Nodes with one minima that are kept together at most.
+HELD = 50_000
 _EPS = 1e-9
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(0, 1 << 63, (TABLES * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,32 +103,73 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(released(run), typed.schema)
 
 
-def _meetings(tabled: DataFrame, similarity: float) -> DataFrame:
+def _connected(least: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Per row, the first row to which shared codewords lead, among rows of equal minima."""
+    row, code = simhash.codewords(word)
+    key = _mixed(least[row].view(np.uint64), code.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    bucket = np.empty(len(row), np.int64)
+    bucket[order] = np.cumsum(new) - 1
+    begins, own = np.flatnonzero(new), np.searchsorted(row, np.arange(len(word)))
+    group = np.arange(len(word))
+    while True:
+        low = np.minimum.reduceat(group[row[order]], begins)
+        found = np.minimum.reduceat(low[bucket], own)
+        found = found[found]
+        if (found == group).all():
+            return group
+        group = found
+
+
+def _meetings(tabled: DataFrame, similarity: float, whole: int = 0) -> DataFrame:
     """Of rows (minima, at, word, node, n) sorted by minima, ``at`` their table: pairs (kind 0: u, v) of the nodes that share minima with few
     others and a codeword, and (kind 1: key, u, n) keys of minima and codeword of all that share minima with more. ``at`` is the key's last bits.
+
+    Nodes with one minima and up to ``whole`` shingles in all have one key where shared codewords connect them, and their word with it; only
+    those that share a codeword are candidates. The word of others is 0.
     """
-    names = ["kind", "key", "u", "v", "n"]
+    names = ["kind", "key", "u", "v", "n", "word"]
 
-    def out(kind, key, u, v, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), *(pa.array(x) for x in (key, u, v, n))], names)
+    def out(kind, key, u, v, n, word):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), *(pa.array(x) for x in (key, u, v, n, word.astype(np.int32)))], names)
 
     def keys(least, at, word, node, n):
         for a in range(0, len(word), 50_000):
             row, code = simhash.codewords(word[a : a + 50_000])
             row += a
             key = _mixed(least[row].view(np.uint64), code.astype(np.uint64)) & ~np.uint64(63) | at[row].astype(np.uint64)
-            yield out(1, key.view(np.int64), node[row], np.zeros(len(row), np.int64), n[row])
+            zero = np.zeros(len(row), np.int64)
+            yield out(1, key.view(np.int64), node[row], zero, n[row], zero)
 
     def settle(rows):
-        least, at, word, node, n = rows
+        least, _, _, _, n = rows
         starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         size = np.diff(starts, append=len(least))
+        few = size <= SMALL
+        held = ~few & (size <= HELD) & (np.add.reduceat(n, starts) <= whole)
+        few, held = np.repeat(few, size), np.repeat(held, size)
+        if not (few | held).all():
+            yield from keys(*(x[~few & ~held] for x in rows))
+        yield from pairs(least[few], *(x[few] for x in rows[2:]))
+        if held.any():
+            yield from connected(*(x[held] for x in rows))
+
+    def connected(least, at, word, node, n):
+        group = _connected(least, word)
+        key = _mixed(least.view(np.uint64), node[group].view(np.uint64)) & ~np.uint64(63) | at.astype(np.uint64)
+        order = np.argsort(group, kind="stable")
+        group, key, word, node, n = (x[order] for x in (group, key.view(np.int64), word, node, n))
+        size = np.unique(group, return_counts=True)[1]
         few = np.repeat(size <= SMALL, size)
-        if not few.all():
-            yield from keys(*(x[~few] for x in rows))
+        yield from pairs(group[few], word[few], node[few], n[few])
+        yield out(1, key[~few], node[~few], np.zeros((~few).sum(), np.int64), n[~few], word[~few])
+
+    def pairs(group, word, node, n):
+        """Of groups of a few rows."""
         us, vs = [], []
-        for shift in range(1, min(SMALL, len(least))):
-            i = np.flatnonzero((least[shift:] == least[:-shift]) & few[shift:])
+        for shift in range(1, min(SMALL, len(group))):
+            i = np.flatnonzero(group[shift:] == group[:-shift])
             i = i[_sizes_fit(n[i], n[i + shift], similarity)]
             i = i[simhash.share_codeword(word[i], word[i + shift])]
             us.append(np.minimum(node[i], node[i + shift]))
@@ -133,11 +177,11 @@ def _meetings(tabled: DataFrame, similarity: float) -> DataFrame:
         if us:
             u, v = np.concatenate(us), np.concatenate(vs)
             zero = np.zeros(len(u), np.int64)
-            yield out(0, zero, u, v, zero)
+            yield out(0, zero, u, v, zero, zero)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.zeros(0, np.int64)] * 5
-        opened = None  # minima that more than a few nodes share and that go on
+        opened = None  # minima that more nodes share than are kept together and that go on
         for batch in batches:
             rows = [np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(rows)]
             if opened is not None and len(rows[0]):
@@ -151,14 +195,14 @@ def _meetings(tabled: DataFrame, similarity: float) -> DataFrame:
             if last:
                 yield from settle([x[:last] for x in rows])
                 rows = [x[last:] for x in rows]
-            if len(rows[0]) > SMALL:
+            if len(rows[0]) > SMALL and (len(rows[0]) > HELD or rows[4].sum() > whole):
                 opened = int(rows[0][0])
                 yield from keys(*rows)
                 rows = [np.zeros(0, np.int64)] * 5
         if len(rows[0]):
             yield from settle(rows)
 
-    return tabled.select("minima", "at", "word", "node", "n").mapInArrow(released(run), "kind int, key long, u long, v long, n long")
+    return tabled.select("minima", "at", "word", "node", "n").mapInArrow(released(run), "kind int, key long, u long, v long, n long, word int")
 
 
 def _sizes_fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -167,18 +211,22 @@ def _sizes_fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _candidates(keyed: DataFrame, part: int, similarity: float) -> DataFrame:
-    """Of rows (key, node, n) sorted by key: pairs (kind 0: u, v) of small keys, and (kind 1: key, part, u) of the nodes of larger ones.
+    """Of rows (key, node, n) sorted by key: pairs (kind 0: u, v) of small keys, and (kind 1: key, part, u, word) of the nodes of larger ones.
+
+    Rows may have a word; where a key's words differ, only nodes whose words share a codeword are candidates.
 
     Pairs whose sizes alone keep them below ``similarity`` are left out. Each part of a larger key has the key's first node as well.
     """
-    names = ["kind", "key", "part", "u", "v"]
+    names = ["kind", "key", "part", "u", "v", "word"]
+    if "word" not in keyed.columns:
+        keyed = keyed.withColumn("word", F.lit(0))
 
-    def out(kind, key, number, u, v):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(key), pa.array(number.astype(np.int32)), pa.array(u), pa.array(v)], names)
+    def out(kind, key, number, u, v, word):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(key), pa.array(number.astype(np.int32)), pa.array(u), pa.array(v), pa.array(word.astype(np.int32))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, n = (np.zeros(0, np.int64) for _ in range(3))
-        opened = None  # the large key that goes on: [key, first node, shingles so far, last part]
+        key, node, n, word = (np.zeros(0, np.int64) for _ in range(4))
+        opened = None  # the large key that goes on: [key, first node, shingles so far, last part, first word]
 
         def large(a, b, state):
             sums = state[2] + np.cumsum(n[a:b]) - n[a:b]
@@ -188,7 +236,7 @@ def _candidates(keyed: DataFrame, part: int, similarity: float) -> DataFrame:
             state[3] = int(number[-1])
             u = np.concatenate([node[a:b], np.full(len(new), state[1])])
             number = np.concatenate([number, np.array(new, np.int64)])
-            return out(1, np.full(len(u), state[0]), number, u, np.zeros(len(u), np.int64))
+            return out(1, np.full(len(u), state[0]), number, u, np.zeros(len(u), np.int64), np.concatenate([word[a:b], np.full(len(new), state[4])]))
 
         def settle(end):
             """The small keys among the first ``end`` rows."""
@@ -196,52 +244,52 @@ def _candidates(keyed: DataFrame, part: int, similarity: float) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(starts, append=len(k))
             for a, m in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
-                yield large(a, a + m, [int(k[a]), int(x[a]), 0, 0])
+                yield large(a, a + m, [int(k[a]), int(x[a]), 0, 0, int(word[a])])
             few = np.repeat(size <= SMALL, size)
             us, vs = [], []
             for shift in range(1, min(SMALL, len(k))):
                 at = np.flatnonzero((k[shift:] == k[:-shift]) & few[shift:])
                 at = at[_sizes_fit(n[at], n[at + shift], similarity)]
+                at = at[simhash.share_codeword(word[at], word[at + shift])]
                 us.append(np.minimum(x[at], x[at + shift]))
                 vs.append(np.maximum(x[at], x[at + shift]))
             if us:
                 pair = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
                 zero = np.zeros(len(pair), np.int64)
-                yield out(0, zero, zero, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
+                yield out(0, zero, zero, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]), zero)
 
         for batch in batches:
-            key, node, n = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((key, node, n)))
+            key, node, n, word = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((key, node, n, word)))
             if not len(key):
                 continue
             if opened is not None:
                 end = int(np.searchsorted(key, opened[0], side="right"))
                 if end:
                     yield large(0, end, opened)
-                    key, node, n = key[end:], node[end:], n[end:]
+                    key, node, n, word = key[end:], node[end:], n[end:], word[end:]
                 if not len(key):
                     continue
                 opened = None
             last = int(np.searchsorted(key, key[-1]))
             if last:
                 yield from settle(last)
-                key, node, n = key[last:], node[last:], n[last:]
+                key, node, n, word = key[last:], node[last:], n[last:], word[last:]
             if len(key) > SMALL:
-                opened = [int(key[0]), int(node[0]), 0, 0]
+                opened = [int(key[0]), int(node[0]), 0, 0, int(word[0])]
                 yield large(0, len(key), opened)
-                key, node, n = (np.zeros(0, np.int64) for _ in range(3))
+                key, node, n, word = (np.zeros(0, np.int64) for _ in range(4))
         if len(key):
             yield from settle(len(key))
 
-    return keyed.mapInArrow(released(run), "kind int, key long, part int, u long, v long")
+    return keyed.select("key", "node", "n", "word").mapInArrow(released(run), "kind int, key long, part int, u long, v long, word int")
 
 
-def _forest(nodes: np.ndarray, values: np.ndarray, ends: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[list, list]:
-    """Links that connect what the similar pairs connect, of all nodes or of those on different sides.
+def _forest(nodes: np.ndarray, values: np.ndarray, ends: np.ndarray, side: np.ndarray | None, similarity: float, words: np.ndarray | None = None) -> tuple[list, list]:
+    """Links that connect what the similar pairs connect, of all nodes, of those on different sides, or of those whose words share a codeword.
 
     Of two nodes on different sides one isn't on the largest, so searches begin at the others, those of the smallest sides first.
     """
     size = np.diff(ends, prepend=0)
-    owner = np.repeat(np.arange(len(nodes)), size)
     waiting = np.ones(len(nodes), bool)
     us, vs = [], []
     begins = np.arange(len(nodes))
@@ -250,6 +298,18 @@ def _forest(nodes: np.ndarray, values: np.ndarray, ends: np.ndarray, side: np.nd
         largest = int(n.argmax())
         begins = np.lexsort((of, n[of]))
         begins = begins[of[begins] != largest]
+    if words is not None:
+        row, code = simhash.codewords(words)
+        order = np.argsort(code, kind="stable")
+        low, high = (np.searchsorted(code[order], code, x) for x in ("left", "right"))
+        met, own_codes = row[order], np.searchsorted(row, np.arange(len(nodes) + 1))
+
+    def others(at):
+        if words is None:
+            return np.flatnonzero(waiting)
+        every = np.concatenate([met[low[k] : high[k]] for k in range(own_codes[at], own_codes[at + 1])])
+        return np.unique(every[waiting[every]])
+
     for first in begins.tolist():
         if not waiting[first]:
             continue
@@ -257,16 +317,19 @@ def _forest(nodes: np.ndarray, values: np.ndarray, ends: np.ndarray, side: np.nd
         frontier = [first]
         while frontier:
             at = frontier.pop()
-            may = waiting & _sizes_fit(size, size[at], similarity)
+            may = others(at)
+            may = may[_sizes_fit(size[may], size[at], similarity)]
             if side is not None:
-                may &= side != side[at]
-            if not may.any():
+                may = may[side[may] != side[at]]
+            if not len(may):
                 continue
             own = values[ends[at] - size[at] : ends[at]]
-            some = may[owner]
-            place = np.minimum(np.searchsorted(own, values[some]), len(own) - 1)
-            both = np.bincount(owner[some][own[place] == values[some]], minlength=len(nodes))
-            hit = np.flatnonzero(may & (both >= similarity * (size + size[at] - both) - _EPS))
+            n = size[may]
+            stop = np.cumsum(n)
+            theirs = values[np.arange(stop[-1]) + np.repeat(ends[may] - stop, n)]
+            place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            both = np.bincount(np.repeat(np.arange(len(may)), n)[own[place] == theirs], minlength=len(may))
+            hit = may[both >= similarity * (n + size[at] - both) - _EPS]
             us += [nodes[at]] * len(hit)
             vs += nodes[hit].tolist()
             waiting[hit] = False
@@ -275,7 +338,7 @@ def _forest(nodes: np.ndarray, values: np.ndarray, ends: np.ndarray, side: np.nd
 
 
 def _in_tasks(rows: DataFrame, by: list[str], similarity: float) -> DataFrame:
-    """Links of rows (by..., part, node, set); where rows have a label, only links between labels, else where a group has two parts between these."""
+    """Links of rows (by..., part, node, word, set); where rows have a label, only links between labels, else where a group has two parts between these."""
     named = "label" in rows.columns
 
     def run(table: pa.Table) -> pa.Table:
@@ -284,15 +347,18 @@ def _in_tasks(rows: DataFrame, by: list[str], similarity: float) -> DataFrame:
         sets = table["set"].combine_chunks()
         values = sets.flatten().to_numpy().view(np.uint64)
         ends = np.cumsum(sets.value_lengths().to_numpy().astype(np.int64))
-        u, v = _forest(node, values, ends, None if (part == part[0]).all() else part, similarity)
+        words = table["word"].to_numpy().astype(np.int64)
+        u, v = _forest(node, values, ends, None if (part == part[0]).all() else part, similarity, None if (words == words[0]).all() else words)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return rows.select(*dict.fromkeys([*by, "part", "node", "set", *(["label"] if named else [])])).groupBy(*by).applyInArrow(run, "u long, v long")
+    return rows.select(*dict.fromkeys([*by, "part", "node", "word", "set", *(["label"] if named else [])])).groupBy(*by).applyInArrow(run, "u long, v long")
 
 
 def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, part: int = PART, labels: DataFrame | None = None, more: DataFrame | None = None, first: str = "true") -> tuple[DataFrame, DataFrame]:
     """(links, components) of rows (key, node, n), whose nodes with one key are compared: links (u, v) connect what similar pairs connect.
 
+    Where rows have a word, those nodes of a key are compared that share a codeword.
+
     ``sets_of`` gives (node, set) of the nodes in a column w. Components are (node, component), of each node that links to another. With
     ``labels`` (node, label), a row for each node, only nodes of different labels are compared. ``more`` are pairs (u, v) that are compared
     too. Of larger keys, those for which ``first`` holds are compared before the others.
@@ -300,9 +366,9 @@ def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     ordered = keyed.repartition(shuffle_partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
     found = _candidates(ordered, part, similarity)
     if more is not None:
-        found = found.unionByName(more.selectExpr("0 as kind", "0L as key", "0 as part", "u", "v"))
+        found = found.unionByName(more.selectExpr("0 as kind", "0L as key", "0 as part", "u", "v", "0 as word"))
     found = cut(found.distinct())
-    pairs, large = found.where("kind = 0").select("u", "v"), found.where("kind = 1").select("key", "part", F.col("u").alias("node"))
+    pairs, large = found.where("kind = 0").select("u", "v"), found.where("kind = 1").select("key", "part", F.col("u").alias("node"), "word")
     if labels is not None:
         a, b = (labels.select(F.col("node").alias(f"n{s}"), F.col("label").alias(f"l{s}")) for s in "ab")
         pairs = cut(pairs.join(a, F.col("u") == F.col("na")).join(b, F.col("v") == F.col("nb")).where("la <> lb").select("u", "v"))
@@ -316,7 +382,7 @@ def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     late = large.where(f"not ({first})")
     if not late.isEmpty():
         known = cut(known).withColumnRenamed("component", "label")
-        late = late.select("key", "part", "node").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        late = late.select("key", "part", "node", "word").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_ = late.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
         late = cut(late.join(open_, F.col("key") == F.col("k"), "left_semi"))
         links = cut(links.unionByName(_linked_by_sets(pairs.limit(0), late, sets, similarity, True)[0]))
@@ -326,7 +392,7 @@ def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame
 
 
 def _linked_by_sets(pairs: DataFrame, large: DataFrame, sets: DataFrame, similarity: float, named: bool) -> tuple[DataFrame, DataFrame]:
-    """``linked_components`` of candidate pairs (u, v) and of larger keys' rows (key, part, node), whose sets (node, set) are compared."""
+    """``linked_components`` of candidate pairs (u, v) and of larger keys' rows (key, part, node, word), whose sets (node, set) are compared."""
     a, b = (sets.select(F.col("node").alias(f"n{s}"), F.col("set").alias(f"s{s}")) for s in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     near = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb")) - _EPS
@@ -344,7 +410,7 @@ def _linked_by_sets(pairs: DataFrame, large: DataFrame, sets: DataFrame, similar
     if open_.isEmpty():
         return links, known
     dealt = large.join(open_, F.col("key") == F.col("k")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).where("other <> part")
-    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", *(["label"] if named else []))
+    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "word", *(["label"] if named else []))
     links = cut(links.unionByName(_in_tasks(dealt.join(sets, "node"), ["key", "lo", "hi"], similarity)))
     return links, components(links)
 
@@ -365,14 +431,14 @@ def similar_components(docs: DataFrame, prints: DataFrame, similarity: float = S
     nodes = prints.where("n > 0").dropDuplicates(["node"])
     tabled = nodes.select("node", "n", F.posexplode(F.arrays_zip("minima", "words")).alias("at", "x")).select(F.col("x.minima").alias("minima"), "at", F.col("x.words").alias("word"), "node", "n")
     dealt = tabled.repartition(shuffle_partitions(prints.sparkSession), "minima").sortWithinPartitions("minima")
-    found = cut(_meetings(dealt, similarity))
+    found = cut(_meetings(dealt, similarity, part))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         # one row of each node that is wanted gives its set; rows that are equal in every column have one key, by which the join has dealt them
         rows = prints.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("node").agg(F.min("row").alias("of"))
         return sets_of_texts(docs.join(rows, F.col("row") == F.col("of")).dropDuplicates(["of"]).select("node", "text"), shingle)
 
-    keyed = found.where("kind = 1").select("key", F.col("u").alias("node"), "n")
+    keyed = found.where("kind = 1").select("key", F.col("u").alias("node"), "n", "word")
     return linked_components(keyed, sets_of, similarity, part, more=found.where("kind = 0").select("u", "v"), first=f"(key & 63) < {FIRST}")[1]
 
 

@@ -81,3 +81,56 @@ def test_meetings_are_shared_minima_with_a_shared_codeword(spark):
         assert all(k & 63 == rows[group[0][0]][1] for k, group in by_key.items())
         pairs |= {(u, v) for g in by_key.values() for u, n in g for v, n2 in g if u < v and min(n, n2) >= 0.8 * max(n, n2)}
         assert pairs == expected
+
+
+def test_meetings_kept_together_lose_no_pair_and_repeat_no_node(spark):
+    rng = random.Random(4)
+    rows, node = [], 0
+    for least in range(30):
+        bases = [rng.getrandbits(23) for _ in range(3)]
+        for _ in range(rng.choice([1, 5, 12, 60])):  # some codewords lead from one base to another
+            word = rng.choice(bases)
+            for bit in rng.sample(range(23), rng.randrange(6)):
+                word ^= 1 << bit
+            rows.append((least, least % similar_sets.TABLES, word, node, rng.choice([100, 90, 60])))
+            node += 1
+    tabled = spark.createDataFrame(rows, "minima long, at int, word int, node long, n long").coalesce(1).sortWithinPartitions("minima")
+    near = {(u, v) for u in range(node) for v in range(u + 1, node) if rows[u][0] == rows[v][0] and codes(rows[u][2]) & codes(rows[v][2])}
+    fit = {(u, v) for u, v in near if min(rows[u][4], rows[v][4]) >= 0.8 * max(rows[u][4], rows[v][4])}
+    for whole, batch in ((10**6, "10000"), (10**6, "7"), (3000, "7")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found = similar_sets._meetings(tabled, 0.8, whole).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        pairs = {(r["u"], r["v"]) for r in found if r["kind"] == 0}
+        by_key = {}
+        for r in found:
+            if r["kind"] == 1:
+                by_key.setdefault(r["key"], {})[r["u"]] = r["word"]
+                assert r["word"] == rows[r["u"]][2] or whole == 3000 and r["word"] == 0
+        if whole == 10**6:
+            assert sum(r["kind"] for r in found) == len({r["u"] for r in found if r["kind"]})
+        for group in by_key.values():
+            pairs |= {(u, v) for u in group for v in group if u < v and codes(group[u]) & codes(group[v]) and (u, v) in fit | near}
+        assert fit <= pairs <= near
+
+
+def test_a_group_of_near_copies_goes_to_tasks_once_for_a_table(spark, monkeypatch):
+    sent, in_tasks = [], similar_sets._in_tasks
+
+    def counted(rows, by, similarity):
+        sent.append(rows.count())
+        return in_tasks(rows, by, similarity)
+
+    monkeypatch.setattr(similar_sets, "_in_tasks", counted)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert [r["doc_id"] for r in similar_sets.one_of_each_group(docs).collect()] == [0]
+    assert 0 < sent[0] <= 120 * similar_sets.FIRST
