@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.text import blank_to_null, finite, points
+from kerbline.plans.checkpoint import cut
 from kerbline.plans.ranks import numbered
 
 #: The feed's row tag and the columns that its CSV form must have.
@@ -53,20 +54,28 @@ def xml_roots(spark: SparkSession, path: str, root: str = "Closures") -> DataFra
 
 
 def read_csv_with_preamble(spark: SparkSession, path: str, required=REQUIRED) -> DataFrame:
-    """Rows of a CSV whose header comes after other lines: the first line that holds the required names. Lines with another number of fields are
-    refused. The header is found with one small aggregate; the lines stay where they are."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-    width = F.size(F.split("value", ","))
+    """Rows of CSV files whose header comes after other lines: in each file, the first line that holds the required names. Lines with another number
+    of fields are flagged as ragged. Headers that differ give the columns of all. A file with text but without a header is an error.
+
+    What comes to the driver is a row for each different header; what is broadcast, a place for each file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"))
+    lines = lines.where(F.trim("value") != "")
+    bare = lambda x: F.trim(F.replace(x, F.lit('"'), F.lit("")))
     named = F.lit(True)
     for r in required:
-        named = named & F.array_contains(F.transform(F.split("value", ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit("")))), r)
-    head = lines.where(named).agg(F.min(F.struct("at", "value")).alias("h")).select("h.*").first()
-    if head is None or head["value"] is None:
+        named = named & F.array_contains(F.transform(F.split("value", ","), bare), r)
+    heads = cut(lines.groupBy("file").agg(F.min(F.when(named, F.struct("place", "value"))).alias("h")).select(F.col("file").alias("_file"), F.col("h.place").alias("_from"), F.col("h.value").alias("_head")))
+    if heads.isEmpty() or not heads.where("_head is null").isEmpty():
         raise ValueError(f"no header line holds {', '.join(required)}")
-    names = [n.strip().strip('"') for n in head["value"].split(",")]
-    schema = ", ".join(f"`{n}` string" for n in [*names, "_more"])
-    body = lines.where(F.col("at") > head["at"]).where(F.trim("value") != "").select(F.col("value"), F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r"), width.alias("w"))
-    return body.select(F.col("r.*"), ((F.col("r._more").isNotNull()) | F.col(f"r.`{names[-1]}`").isNull() & (F.col("w") < len(names))).alias("ragged")).drop("_more")
+    body = lines.join(F.broadcast(heads), F.col("file") == F.col("_file")).where(F.col("place") > F.col("_from"))
+    out = None
+    for head in sorted(x[0] for x in heads.select("_head").distinct().collect()):
+        names = [n.strip().strip('"') for n in head.split(",")]
+        schema = ", ".join(f"`{n}` string" for n in [*names, "_more"])
+        rows = body.where(F.col("_head") == head).select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.size(F.split("value", ",")).alias("w"))
+        rows = rows.select(F.col("r.*"), ((F.col("r._more").isNotNull()) | F.col(f"r.`{names[-1]}`").isNull() & (F.col("w") < len(names))).alias("ragged")).drop("_more")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def location_sidecar(closures: DataFrame) -> DataFrame:
